@@ -165,3 +165,50 @@ def mask_sessions(
         )
     keep = V.remember(members.unionByName(spellings), full, remembered)
     return MaskOutput(masked, placed, full, keep, V.mark_merged(placed, merged))
+
+
+def mask_json_rows(df: DataFrame, column: str, **options) -> DataFrame:
+    """Mask a JSON column, every row a session of its own; one narrow stage.
+
+    All strings of a row, keys too, are found as one text joined by a mark
+    that no value can contain, so that they share the row's placeholders.
+    Adds ``masked_json`` and ``entities``.
+    """
+    from ..operators.jsondata import string_tokens, to_json_string
+
+    seam = "\ufdd2"
+    body = F.col(column)
+    out = df.withColumn("_tokens", string_tokens(body))
+    out = out.withColumn(
+        "_text",
+        F.array_join(F.transform("_tokens", lambda t: F.coalesce(t["text"], F.lit(""))), f"\n{seam}\n"),
+    )
+    out = mask_rows(out, "_text", warnings=False, **options)
+    # A span that reached over a seam would join two strings: cut it there.
+    pieces = F.split("masked", f"\n{seam}\n", -1)
+    whole = F.size(pieces) == F.size("_tokens")
+    edits = F.filter(
+        F.transform(
+            "_tokens",
+            lambda t, i: F.struct(
+                t["start"].alias("start"), t["end"].alias("end"),
+                F.when(F.get(pieces, i) != t["text"], to_json_string(F.get(pieces, i))).alias("new"),
+            ),
+        ),
+        lambda e: e["new"].isNotNull(),
+    )
+    done = F.when(whole, P.splice(body, edits)).otherwise(
+        F.raise_error(F.lit("a value reaches over two JSON strings"))
+    )
+    return out.withColumn("masked_json", F.when(F.size("_tokens") > 0, done).otherwise(body)).drop(
+        "_tokens", "_text", "masked"
+    )
+
+
+def restore_json_rows(df: DataFrame, column: str, entities: str = "entities") -> DataFrame:
+    """Restore inside the strings of a JSON column that carries its entities."""
+    from ..operators.jsondata import restore_json_in_row
+    from ..operators.restore import restore_in_row
+
+    one = lambda text: restore_in_row(text, F.col(entities), tolerant=False)["text"]
+    return df.withColumn("restored_json", restore_json_in_row(F.col(column), one))

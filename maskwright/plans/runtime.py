@@ -13,21 +13,25 @@ HOT_ROWS = 100_000
 HOT_SHARE = 10_000
 
 
-def pin(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` to the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder: ``spark.checkpoint.dir`` of the session.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only a local
-    session without one (a test) gets a temporary folder.
+    Only a local session without one (a test) gets a temporary folder.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not sc.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder")
             folder = tempfile.mkdtemp(prefix="maskwright-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def pin(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` to the cluster's shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
