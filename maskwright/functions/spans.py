@@ -111,6 +111,17 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def fence(value: Column) -> Column:
+    """``value``, computed once.
+
+    A filter or explode above a projection is pushed below it with the whole
+    expression copied in, for every place the column is used; over a chain of
+    span columns the copies multiply. An expression that is not deterministic
+    stays where it is.
+    """
+    return F.when(F.rand(0) >= 0, value)
+
+
 def first(items: Column) -> Column:
     """First element, or null."""
     return F.get(items, F.lit(0))

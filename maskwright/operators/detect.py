@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..functions import pii, secrets
-from ..functions.spans import SPANS, guard, let, marked, no_spans, scratch
+from ..functions.spans import SPANS, fence, guard, let, marked, no_spans, scratch
 
 
 def cues_of(text: Column) -> Column:
@@ -95,8 +95,8 @@ def detect(df: DataFrame, text: str = "text", *, field: str | None = None, **opt
             "value", F.substr(F.col(text), s["start"] + 1, s["end"] - s["start"])
         ),
     )
-    out = staged.withColumn("spans", F.coalesce(spans, no_spans())).drop("_copy", "_cues")
-    return out.withColumn("spans", F.when(marked(F.col(text)), original).otherwise(F.col("spans")))
+    out = staged.withColumn("spans", fence(F.coalesce(spans, no_spans()))).drop("_copy", "_cues")
+    return out.withColumn("spans", fence(F.when(marked(F.col(text)), original).otherwise(F.col("spans"))))
 
 
 def validate(df: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:

@@ -7,7 +7,7 @@ the work grows with the size of the islands, not with the text.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.spans import SPAN, SPANS, let, ordered
+from ..functions.spans import SPAN, SPANS, fence, let, ordered
 
 MEMBER = "struct<value:string,entity_type:string>"
 KEPT = SPAN.replace("rule:int>", f"rule:int,members:array<{MEMBER}>>")
@@ -147,7 +147,7 @@ def resolve_merged(text: Column, spans: Column) -> Column:
 
 def resolve(df: DataFrame, spans: str = "spans", text: str = "text") -> DataFrame:
     """Add ``kept``: non-overlapping spans that hide every detected character."""
-    return df.withColumn("kept", resolve_merged(F.col(text), F.col(spans)))
+    return df.withColumn("kept", fence(resolve_merged(F.col(text), F.col(spans))))
 
 
 def resolve_leftmost(spans: Column) -> Column:

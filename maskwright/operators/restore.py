@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..functions import placeholders as P
-from ..functions.spans import let
+from ..functions.spans import fence, let
 from ..plans.runtime import lookup_join, pin
 
 REPAIRED = "struct<written:string,placeholder:string>"
@@ -69,7 +69,7 @@ def restore_rows(
     df: DataFrame, text: str = "masked", entities: str = "entities", tolerant: bool = True
 ) -> DataFrame:
     """Restore rows that carry their own entities."""
-    out = df.withColumn("_r", restore_in_row(F.col(text), F.col(entities), tolerant))
+    out = df.withColumn("_r", fence(restore_in_row(F.col(text), F.col(entities), tolerant)))
     return out.withColumns(
         {
             "restored": F.col("_r.text"),
@@ -146,29 +146,33 @@ def trace_masks(df: DataFrame, masked: str = "masked", entities: str = "entities
     Adds ``traced`` (type, start, end; literal text left out) and ``exact``:
     whether putting the values back gives the original.
     """
+    mark = "struct<entity_type:string,start:int,end:int>"
+    staged = restore_rows(df, masked, entities, tolerant=False)
     names = F.map_from_entries(
         F.array_distinct(F.transform(entities, lambda e: F.struct(e["placeholder"], e["value"])))
     )
-    mark = "struct<entity_type:string,start:int,end:int>"
+    staged = staged.withColumn("_names", fence(names))
+    known = F.transform(
+        F.filter(P.tokens(F.col(masked), False), lambda t: F.col("_names")[t["value"]].isNotNull()),
+        lambda t: F.struct(
+            P.placeholder_type(t["value"]).alias("kind"), t["start"].alias("start"),
+            F.length(t["value"]).alias("written"), F.length(F.col("_names")[t["value"]]).alias("size"),
+        ),
+    )
+    staged = staged.withColumn("_known", fence(known))
+    begin = F.struct(F.lit(0).alias("shift"), F.expr(f"cast(array() as array<{mark}>)").alias("out"))
 
-    def walk(names):
-        known = F.filter(P.tokens(F.col(masked), False), lambda t: names[t["value"]].isNotNull())
-        begin = F.struct(F.lit(0).alias("shift"), F.expr(f"cast(array() as array<{mark}>)").alias("out"))
-
-        def step(acc, t):
-            start = t["start"] + acc["shift"]
-            size = F.length(names[t["value"]])
-            item = F.struct(
-                P.placeholder_type(t["value"]).alias("entity_type"),
-                start.cast("int").alias("start"), (start + size).cast("int").alias("end"),
-            )
-            return F.struct(
-                (acc["shift"] + size - F.length(t["value"])).alias("shift"),
-                F.when(item["entity_type"] != X.LITERAL, F.concat(acc["out"], F.array(item)))
-                .otherwise(acc["out"]).alias("out"),
-            )
-
-        return F.aggregate(known, begin, step, lambda a: a["out"])
-
-    back = restore_in_row(F.col(masked), F.col(entities), tolerant=False)["text"]
-    return df.withColumn("traced", let(names, walk)).withColumn("exact", back == F.col(original))
+    def step(acc, t):
+        start = (t["start"] + acc["shift"]).cast("int")
+        item = F.struct(t["kind"].alias("entity_type"), start.alias("start"), (start + t["size"]).alias("end"))
+        return F.struct(
+            (acc["shift"] + t["size"] - t["written"]).alias("shift"),
+            F.when(t["kind"] != X.LITERAL, F.concat(acc["out"], F.array(item))).otherwise(acc["out"]).alias("out"),
+        )
+
+    traced = F.aggregate("_known", begin, step, lambda a: a["out"])
+    return (
+        staged.withColumn("traced", fence(traced))
+        .withColumn("exact", F.col("restored") == F.col(original))
+        .drop("_names", "_known", "restored", "restored_count", "unknown", "repaired")
+    )

@@ -272,7 +272,7 @@ def restore_unknown(spark, sf):
 
 
 def trace_documents(spark, sf):
-    out = trace_masks(mask_rows(documents(spark, sf), warnings=False))
+    out = trace_masks(pin(mask_rows(documents(spark, sf), warnings=False)))
     return out.select("doc_id", F.explode("traced").alias("t"), "exact").select(
         "doc_id", "t.entity_type", F.col("t.start").cast("bigint").alias("start"), F.col("t.end").cast("bigint").alias("end"), "exact"
     )
@@ -330,7 +330,7 @@ def quarantine(spark, sf):
     rows = table(spark, sf, "supplier").select(
         "s_suppkey", F.when(F.col("s_suppkey") % 3 == 0, "see [EMAIL_1]").otherwise("nothing here").alias("text")
     )
-    _, bad = checks.route(mask_rows(rows))
+    _, bad = checks.route(pin(mask_rows(rows).select("s_suppkey", "warnings")))
     return bad.select("s_suppkey")
 
 
@@ -386,7 +386,7 @@ def dedupe_spans(spark, sf):
 
 def normalize_documents(spark, sf):
     out = mask_rows(documents(spark, sf), warnings=False)
-    e = out.select(F.explode("entities").alias("e")).select("e.entity_type", "e.value").distinct()
+    e = pin(out.select(F.explode("entities").alias("e")).select("e.entity_type", "e.value").distinct())
     keyed = e.where(F.col("entity_type").isin("EMAIL", "PHONE", "CREDIT_CARD"))
     return keyed.select("entity_type", "value", normalize.value_key(F.col("entity_type"), F.col("value")).alias("key"))
 
@@ -470,7 +470,7 @@ def review_findings(spark, sf):
         F.col("c_custkey"),
         F.explode(
             F.array(
-                F.concat(F.lit("Recovery code: "), v, F.lit(". Keep it.")),
+                F.concat(F.lit("Recovery code: "), v, F.lit("-9. Keep it.")),
                 F.concat(F.lit("passport number "), F.upper(F.substr(v, F.lit(1), F.lit(8))), F.lit("7, valid")),
                 F.concat(F.lit("born 19"), F.lpad((F.col("c_custkey") % 90 + 10).cast("string"), 2, "0"), F.lit("-04-17; ok")),
                 F.concat(F.lit("Home address: "), F.col("c_custkey") + 1, F.lit(" Cedar Meadow Road.")),
@@ -566,7 +566,7 @@ def ledger_replay(spark, sf):
     """Even turns were recorded; replies that match are sent as recorded."""
     c = _replies(spark, sf)
     recorded = c.where((F.col("role") == "assistant") & (F.col("seq") % 4 == 1)).select(
-        "session", F.col("text").alias("restored"), F.upper("text").alias("masked"),
+        "session", F.col("text").alias("restored"), F.concat(F.lit("recorded "), "text").alias("masked"),
         F.timestamp_seconds(F.col("seq")).alias("used"),
     )
     book = ledger.record(None, ledger.text_rows(recorded))
@@ -601,9 +601,9 @@ def ledger_tools(spark, sf):
 
 def _gold_and_spans(spark, sf):
     out = mask_rows(documents(spark, sf), warnings=False)
-    spans = out.select(
+    spans = pin(out.select(
         F.col("doc_id").alias("doc"), F.lit(0).alias("section"), F.explode("entities").alias("e")
-    ).select("doc", "section", "e.entity_type", F.col("e.start").cast("bigint").alias("start"), F.col("e.end").cast("bigint").alias("end"))
+    ).select("doc", "section", "e.entity_type", F.col("e.start").cast("bigint").alias("start"), F.col("e.end").cast("bigint").alias("end")))
     return spans, spans.where("doc % 3 <> 0").unionByName(
         spans.where("doc % 3 = 0").withColumn("end", F.col("end") - 2)
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import placeholders as P
-from ..functions.spans import let
+from ..functions.spans import fence, let
 from ..operators import checks, vault as V
 from ..operators.detect import detect
 from ..operators.normalize import assign_normalized
@@ -87,15 +87,17 @@ def mask_rows(
     """
     found = df if detected else detect(df, text, **options)
     out = resolve(found, text=text)
-    out = out.withColumn("entities", number_in_row(F.col("kept")))
-    out = out.withColumn("masked", apply_mask(F.col(text), F.col("entities")))
+    out = out.withColumn("entities", fence(number_in_row(F.col("kept"))))
+    out = out.withColumn("masked", fence(apply_mask(F.col(text), F.col("entities"))))
     if warnings:
         used = F.array_distinct(F.transform("entities", lambda e: e["entity_type"]))
         out = out.withColumn(
             "warnings",
-            F.concat(
-                checks.placeholder_like(F.col(text), F.col("kept"), used, tolerant),
-                checks.leaks_in_row(F.col(text), F.col("kept"), F.col("spans"), F.col("entities")),
+            fence(
+                F.concat(
+                    checks.placeholder_like(F.col(text), F.col("kept"), used, tolerant),
+                    checks.leaks_in_row(F.col(text), F.col("kept"), F.col("spans"), F.col("entities")),
+                )
             ),
         )
     return out.drop("spans", "kept")
@@ -178,7 +180,7 @@ def mask_json_rows(df: DataFrame, column: str, **options) -> DataFrame:
 
     seam = "\ufdd2"
     body = F.col(column)
-    out = df.withColumn("_tokens", string_tokens(body))
+    out = df.withColumn("_tokens", fence(string_tokens(body)))
     out = out.withColumn(
         "_text",
         F.array_join(F.transform("_tokens", lambda t: F.coalesce(t["text"], F.lit(""))), f"\n{seam}\n"),

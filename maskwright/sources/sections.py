@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.spans import MARK, hits
+from ..functions.spans import MARK, fence, hits
 
 SECTIONS = (
     "session string, seq bigint, section int, role string, surface string, "
@@ -98,7 +98,7 @@ def unpack(df: DataFrame, text: str = "text") -> DataFrame:
             (h["start"] + F.length(h["value"])).cast("int").alias("end"),
         ),
     )
-    return df.withColumn("gold", gold).withColumn(text, plain)
+    return df.withColumn("gold", fence(gold)).withColumn(text, plain)
 
 
 def read_annotated(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
