@@ -26,8 +26,6 @@ def main() -> None:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
-        # One file of documents is one split otherwise: detection is CPU-bound.
-        .config("spark.sql.files.maxPartitionBytes", str(2 << 20))
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="maskwright-bench-"))
         .getOrCreate()
     )

@@ -18,7 +18,7 @@ from ..sources import registry as reg
 from ..sources.sections import sections_from_messages, unpack
 from ..streaming import activity
 from .masking import KEYS, mask_rows, mask_sessions
-from .runtime import pin
+from .runtime import pin, spread
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -26,14 +26,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def documents(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
 
 
 def sections(spark, sf):
     """Documents as sections: one session a source."""
-    return table(spark, sf, "documents").select(
+    rows = table(spark, sf, "documents").select(
         F.col("source").alias("session"), F.col("doc_id").alias("seq"), F.lit(0).alias("section"), "text"
     )
+    return spread(rows, "seq")
 
 
 def _flat(found: DataFrame, key: str) -> DataFrame:

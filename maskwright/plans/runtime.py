@@ -75,6 +75,16 @@ def running_total(
     )
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give every core work when the input is one small unsplittable file.
+
+    Matching is bound by computing, not reading. An input that already has a
+    partition for every core, as any large one has, is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores * 2, key) if df.rdd.getNumPartitions() <= cores // 2 else df
+
+
 def small(df: DataFrame, limit: int | None = None) -> bool:
     """Whether ``df`` has at most ``limit`` rows (reads at most one more)."""
     limit = BROADCAST_ROWS if limit is None else limit
