@@ -801,6 +801,6 @@ for _f in (
     ledger_replay, ledger_seen, ledger_tools, evaluate_scores, evaluate_coverage, evaluate_characters,
     evaluate_overmasked, evaluate_leaks, evaluate_restoration, evaluate_latency, evaluate_regressions,
     corpus_fingerprints, activity_summary, activity_occurrences, activity_retention, probes_verified,
-    support_totals, stream_masked, stream_settled,
+    support_totals, stream_settled,
 ):
     QUERIES[_f.__name__] = _f
