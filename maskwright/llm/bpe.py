@@ -10,6 +10,7 @@ text must begin a new token: there the pieces agree with the whole.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import os
@@ -127,6 +128,12 @@ class Codec:
         return got
 
 
+@functools.lru_cache(maxsize=1)
+def codec_of(path: str) -> Codec:
+    """One codec per worker process, with what it has encoded, for all its tasks."""
+    return Codec(path)
+
+
 def _byte_letters() -> dict[str, int]:
     """Which letter stands for which byte in a byte-level vocabulary: visible ones for
     themselves, all others for letters from U+0100 on, in order."""
@@ -177,7 +184,7 @@ def segments(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encode_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    codec = Codec(path)
+    codec = codec_of(path)
     for batch in batches:
         for texts in pieces(batch.column(1)):
             begin, row = segments(texts)
@@ -228,7 +235,7 @@ def encode_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
     rows = gathered(docs, key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        codec = codec_of(path)
         for batch in batches:
             for texts in pieces(batch.column(1)):
                 begin, row = segments(texts)
