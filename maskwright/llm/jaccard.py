@@ -287,16 +287,9 @@ def leaves_of(sets: DataFrame) -> DataFrame:
     return done.select("class", "node", "n")
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", recall: float = RECALL) -> DataFrame:
-    """``key``, ``class_id``, ``n_copies``, ``n_links``: one row per row of ``docs``.
-
-    ``class_id`` is the smallest key in the group of texts that links connect,
-    ``n_copies`` the rows with the same words, ``n_links`` the other rows whose
-    shingles are similar (copies included). Null, empty and wordless texts link
-    to nothing and form groups of their own. A text of fewer than five words
-    links only to the same words. Rows of one key with different texts are
-    different rows; other columns are ignored.
-    """
+def linked(docs: DataFrame, key: str, text: str, recall: float) -> tuple[DataFrame, DataFrame]:
+    """Every row's ``_key`` and ``class``; every class's ``root`` (the smallest class that
+    links lead to), first key ``_rep``, ``copies`` and ``links`` (null without any)."""
     rows = pin(classes_of(docs, key, text, runs(recall)))
     reps = rows.where(F.col("class").isNotNull()).groupBy("class").agg(
         F.min("_key").alias("_rep"), F.count(F.lit(1)).alias("copies"), F.min("nodes").alias("nodes")
@@ -332,14 +325,55 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", recall: float
     links = compared.groupBy("class").agg(F.sum("links").alias("links"))
     group = components(compared.where(F.col("class") != F.col("root")).select(F.col("class").alias("a"), F.col("root").alias("b")))
     known = reps.select("class", "_rep", "copies").join(links, "class", "left").join(group.withColumnRenamed("node", "class"), "class", "left")
-    known = known.withColumn("root", F.coalesce("root", "class"))
+    return rows.select("_key", "class"), known.withColumn("root", F.coalesce("root", "class"))
+
+
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", recall: float = RECALL) -> DataFrame:
+    """``key``, ``class_id``, ``n_copies``, ``n_links``: one row per row of ``docs``.
+
+    ``class_id`` is the smallest key in the group of texts that links connect,
+    ``n_copies`` the rows with the same words, ``n_links`` the other rows whose
+    shingles are similar (copies included). Null, empty and wordless texts link
+    to nothing and form groups of their own. A text of fewer than five words
+    links only to the same words. Rows of one key with different texts are
+    different rows; other columns are ignored.
+    """
+    rows, known = linked(docs, key, text, recall)
     smallest = known.where(F.col("links").isNotNull()).groupBy("root").agg(F.min("_rep").alias("_least"))
     known = known.join(smallest, "root", "left").select(
         "class", F.coalesce("_least", "_rep").alias("_class_id"), "copies",
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     )
-    out = rows.select("_key", "class").join(known, "class", "left")
+    out = rows.join(known, "class", "left")
     return out.select(
         F.col("_key").alias(key), F.coalesce("_class_id", "_key").alias("class_id"),
         F.coalesce("copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
+
+
+@F.arrow_udf(T.BinaryType())
+def class_of(text: pa.Array) -> pa.Array:
+    return pa.array([x for _, _, own in shingle_sets(text) for x in own], pa.binary())
+
+
+def survivors(docs: DataFrame, key: str = "doc_id", text: str = "text", recall: float = RECALL) -> DataFrame:
+    """One row of each group of linked texts, that with the smallest key, and all wordless rows.
+
+    Only rows whose key occurs more than once are told apart by their words.
+    """
+    rows, known = linked(docs, key, text, recall)
+    first = known.groupBy("root").agg(F.min(F.struct("_rep", "class")).alias("f")).select("f.*")
+    stay = pin(first.unionByName(rows.where(F.col("class").isNull()).select(F.col("_key").alias("_rep"), "class")))
+    ids = stay.select("_rep").distinct()
+    kept = docs.join(ids, F.col(key).eqNullSafe(F.col("_rep")), "left_semi")
+    twice = pin(rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_key"))
+    if twice.isEmpty():
+        return kept
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    repeated = kept.join(twice, same, "left_semi").withColumn("__class", class_of(F.col(text)))
+    exact = F.col(key).eqNullSafe(F.col("_rep")) & F.col("__class").eqNullSafe(F.col("class"))
+    repeated = repeated.join(stay.distinct(), exact, "left_semi")
+    worded = repeated.where(F.col("__class").isNotNull()).dropDuplicates([key, "__class"])
+    return kept.join(twice, same, "left_anti").unionByName(
+        worded.unionByName(repeated.where(F.col("__class").isNull())).select(docs.columns)
+    )

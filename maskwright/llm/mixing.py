@@ -12,13 +12,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.plans.runtime import lookup_join, pin, running_total
+from maskwright.plans.runtime import lookup_join, pin, running_total, small
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 #: No source, and no document, is repeated more often than this.
 MOST_COPIES = 3
 SEED = "mix-1"
+#: The table of sources is broadcast up to this many rows; beyond, it is shuffled.
+SOURCES_BROADCAST = 50_000
 
 
 def uniform(key: Column, seed: str = SEED) -> Column:
@@ -55,6 +57,37 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
     )
 
 
+def words_in(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def pareto(key: Column, part: Column, merit: Column) -> Column:
+    """Random odds over inclusion odds; where nothing is sampled, any order."""
+    u = uniform(key)
+    odds = part / (1 - part) * merit
+    return F.when(odds > 0, (u / (1 - u)) / odds).otherwise(u)
+
+
+def with_copies(rows: DataFrame) -> DataFrame:
+    """Add ``_whole`` and ``_part``: the certain copies of each document and the rest."""
+    copies = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(MOST_COPIES)))).otherwise(0.0)
+    return rows.withColumn("_whole", F.floor(copies)).withColumn("_part", copies - F.floor(copies))
+
+
+def ranked(docs: DataFrame, key: str, source: str, text: str, merit: Column | None) -> tuple[DataFrame, DataFrame]:
+    """Every row in Pareto order with ``_picked``, and the table of sources."""
+    sized = pin(docs.select(
+        F.col(key).alias("_key"), F.col(source).isNull().alias("_none"), F.coalesce(F.col(source), F.lit("")).alias("_source"),
+        words_in(F.col(text)).alias("size"), (F.lit(1.0) if merit is None else merit.cast("double")).alias("_merit"),
+    ))
+    sources = with_copies(targets(sized.groupBy("_none", "_source").agg(F.sum("size").alias("source_size"))))
+    rows = lookup_join(sized, sources, ["_none", "_source"])
+    rows = rows.withColumn("_pareto", pareto(F.col("_key"), F.col("_part"), F.col("_merit"))).withColumnRenamed("_part", "_rest")
+    rows = running_total(rows, ["_none", "_source"], ["_pareto", "_key", "size"], "size", "_sum")
+    left = F.col("target") - F.col("_whole") * F.col("source_size")
+    return rows.withColumn("_picked", (F.col("_rest") > 0) & (F.col("_sum") - F.col("size") / 2 <= left)), sources
+
+
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", merit: Column | None = None) -> DataFrame:
     """``key``, ``size``, ``source_size``, ``target``, ``taken``: one row per row of ``docs``.
 
@@ -64,37 +97,31 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     of its own, a null key a key like any other; repeated rows compete like
     different ones; other columns are ignored; no rows give no rows.
     """
-    sized = pin(docs.select(
-        F.col(key).alias("_key"), F.col(source).isNull().alias("_none"), F.coalesce(F.col(source), F.lit("")).alias("_source"),
-        F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        (F.lit(1.0) if merit is None else merit.cast("double")).alias("_merit"),
-    ))
-    sizes = sized.groupBy("_none", "_source").agg(F.sum("size").alias("source_size"))
-    rows = lookup_join(sized, targets(sizes), ["_none", "_source"])
-    copies = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(MOST_COPIES)))).otherwise(0.0)
-    rows = rows.withColumn("_whole", F.floor(copies)).withColumn("_part", copies - F.floor(copies))
-    u = uniform(F.col("_key"))
-    odds = F.col("_part") / (1 - F.col("_part")) * F.col("_merit")
-    ranked = rows.withColumn("_pareto", F.when(odds > 0, (u / (1 - u)) / odds).otherwise(u))
-    ranked = running_total(
-        ranked.withColumnRenamed("_part", "_left"), ["_none", "_source"], ["_pareto", "_key", "size"], "size", "_sum"
-    )
-    picked = F.col("_sum") - F.col("size") / 2 <= F.col("target") - F.col("_whole") * F.col("source_size")
-    taken = F.col("size") * (F.col("_whole") + F.when((F.col("_left") > 0) & picked, 1).otherwise(0))
-    return ranked.select(F.col("_key").alias(key), "size", "source_size", "target", taken.cast("long").alias("taken"))
+    rows, _ = ranked(docs, key, source, text, merit)
+    taken = F.col("size") * (F.col("_whole") + F.col("_picked").cast("int"))
+    return rows.select(F.col("_key").alias(key), "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
-
-def repeat(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+def repeat(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", merit: Column | None = None) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, with its columns.
 
-    A row is known by its key, source and size; rows that share all three are
-    taken alike, as often as the first of them.
+    What is taken of a source is all that comes before one place in its Pareto
+    order, so texts need only that place, one row per source, and are not
+    shuffled. Rows that tie there (repeated rows) are taken alike.
     """
-    taken = mix(docs, key, source, text).where("taken > 0").select(
-        F.col(key).alias("__key"), F.col("size").alias("__size"), (F.col("taken") / F.col("size")).cast("int").alias("__copies"),
+    rows, sources = ranked(docs, key, source, text, merit)
+    last = rows.where("_picked").groupBy("_none", "_source").agg(F.max(F.struct("_pareto", "_key", "size")).alias("_last"))
+    places = pin(sources.join(last, ["_none", "_source"], "left").select("_none", "_source", "_whole", "_part", "_last"))
+    few = small(places, SOURCES_BROADCAST)
+    places = places.select(F.col("_none").alias("__none"), F.col("_source").alias("__source"), *(F.col(c).alias("_" + c) for c in ("_whole", "_part", "_last")))
+    joined = docs.join(
+        F.broadcast(places) if few else places,
+        (F.col(source).isNull() == F.col("__none")) & (F.coalesce(F.col(source), F.lit("")) == F.col("__source")),
+    )
+    here = F.struct(
+        pareto(F.col(key), F.col("__part"), F.lit(1.0) if merit is None else merit.cast("double")).alias("_pareto"),
+        F.col(key).alias("_key"), words_in(F.col(text)).alias("size"),
     )
-    taken = taken.groupBy("__key", "__size").agg(F.max("__copies").alias("__copies"))
-    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    joined = docs.join(taken, F.col(key).eqNullSafe(F.col("__key")) & (size == F.col("__size")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
+    picked = F.coalesce(here <= F.col("__last"), F.lit(False))
+    times = (F.col("__whole") + picked.cast("int")).cast("int")
+    return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), times))).select(docs.columns)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwright.llm import bpe, mixing, quality
+from maskwright.llm import bpe, jaccard, mixing, private, quality
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,17 +17,27 @@ def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
 
+def op5_private_data(spark: SparkSession, folder: str) -> DataFrame:
+    return private.detect(table(spark, folder, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(table(spark, folder, "documents"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.join(table(spark, folder, "documents"))
+
+
 def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
+    "op5_private_data": op5_private_data,
     "op6_quality_rules": op6_quality_rules,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_bpe": op8_bpe,
 }
 
