@@ -5,18 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from maskwright.llm import bpe, jaccard, mixing, private, quality
+from maskwright.llm import bpe, extract, jaccard, mixing, private, quality, topk
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return extract.extract(table(spark, folder, "pages"))
+
+
 def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
 
+def op4_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op5_private_data(spark: SparkSession, folder: str) -> DataFrame:
     return private.detect(table(spark, folder, "documents"))
 
@@ -34,7 +43,9 @@ def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_mix_sources": op2_mix_sources,
+    "op4_exact_topk": op4_exact_topk,
     "op5_private_data": op5_private_data,
     "op6_quality_rules": op6_quality_rules,
     "op7_ngram_jaccard": op7_ngram_jaccard,
@@ -118,4 +129,17 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM failed
 """
 
-ORACLES: dict[str, str] = {"op2_mix_sources": MIX_SQL, "op6_quality_rules": QUALITY_SQL}
+TOPK_SQL = r"""
+WITH plain AS (
+  SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM (SELECT DISTINCT ON (vec_id) * FROM plain WHERE vec_id % 50 = 0) q JOIN plain c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+"""
+
+ORACLES: dict[str, str] = {"op2_mix_sources": MIX_SQL, "op4_exact_topk": TOPK_SQL, "op6_quality_rules": QUALITY_SQL}
