@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import bpe, extract, jaccard, mixing, private, quality, topk
+from maskwright.llm import bpe, extract, jaccard, maxent, mixing, private, quality, topk
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"))
 
 
+def op9_maxent_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return maxent.score(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_mix_sources": op2_mix_sources,
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": op6_quality_rules,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_bpe": op8_bpe,
+    "op9_maxent_lm": op9_maxent_lm,
 }
 
 MIX_SQL = r"""
