@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import bpe, extract, jaccard, maxent, mixing, private, quality, topk
+from maskwright.llm import bpe, extract, jaccard, licenses, maxent, mixing, private, quality, repeats, topk
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
 
+def op3_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.repeated(table(spark, folder, "documents"))
+
+
 def op4_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -46,15 +50,21 @@ def op9_maxent_lm(spark: SparkSession, folder: str) -> DataFrame:
     return maxent.score(table(spark, folder, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_mix_sources": op2_mix_sources,
+    "op3_repeated_passages": op3_repeated_passages,
     "op4_exact_topk": op4_exact_topk,
     "op5_private_data": op5_private_data,
     "op6_quality_rules": op6_quality_rules,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_bpe": op8_bpe,
     "op9_maxent_lm": op9_maxent_lm,
+    "op10_license_scan": op10_license_scan,
 }
 
 MIX_SQL = r"""
@@ -147,4 +157,53 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
 """
 
-ORACLES: dict[str, str] = {"op2_mix_sources": MIX_SQL, "op4_exact_topk": TOPK_SQL, "op6_quality_rules": QUALITY_SQL}
+REPEATS_SQL = r"""
+WITH split AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT row, doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h
+  FROM (SELECT *, unnest(range(1, len(w) - 48)) AS i FROM split)
+), again AS (
+  SELECT h FROM windows GROUP BY h HAVING count(DISTINCT row) > 1
+), hits AS (
+  SELECT row, doc_id, i, coalesce(i > lag(i) OVER w + 50, true) AS new FROM windows SEMI JOIN again USING (h)
+  WINDOW w AS (PARTITION BY row ORDER BY i)
+), islands AS (
+  SELECT *, sum(new::INT) OVER (PARTITION BY row ORDER BY i) AS island FROM hits
+)
+SELECT DISTINCT doc_id, first_word, end_word FROM (
+  SELECT row, doc_id, (min(i) - 1)::INT AS first_word, (max(i) + 49)::INT AS end_word FROM islands GROUP BY row, doc_id, island
+)
+"""
+
+
+def license_sql() -> str:
+    """Every window against every template of its length, without hashes."""
+    rows = []
+    for name, body in licenses.TEMPLATES:
+        words = licenses.template_words(body)
+        length = min(x for x in licenses.LENGTHS if len(words) <= x)
+        own = ", ".join(f"'{x}'" for x in licenses.template_shingles(words))
+        rows.append(f"('{name}', {length}, [{own}])")
+    return rf"""
+WITH templates(license, len, own) AS (VALUES {", ".join(rows)}),
+split AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents
+), windows AS (
+  SELECT row, doc_id, len, s AS word, w[s + 1:s + len + len // 2] AS w
+  FROM (SELECT *, unnest(range(0, len(w), len // 2)) AS s FROM split, (SELECT DISTINCT len FROM templates))
+), shingled AS (
+  SELECT row, doc_id, len, word, list_distinct([array_to_string(w[j:j + 4], ' ') FOR j IN range(1, len(w) - 3)]) AS g
+  FROM windows WHERE len(w) >= 5
+), held AS (
+  SELECT row, doc_id, license, word, len(list_intersect(g, own)) / len(own) AS containment FROM shingled JOIN templates USING (len)
+)
+SELECT DISTINCT doc_id, license, containment, word::INT AS word FROM held WHERE containment >= 0.8
+QUALIFY row_number() OVER (PARTITION BY row, license ORDER BY containment DESC, word) = 1
+"""
+
+
+ORACLES: dict[str, str] = {
+    "op2_mix_sources": MIX_SQL, "op3_repeated_passages": REPEATS_SQL, "op4_exact_topk": TOPK_SQL, "op6_quality_rules": QUALITY_SQL,
+    "op10_license_scan": license_sql(),
+}
