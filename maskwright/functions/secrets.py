@@ -41,16 +41,16 @@ TOKEN_OWNERS = ("api", "github", "gitlab", "auth", "access", "refresh", "bearer"
 CREDENTIAL_PARTS = ("credentials", "credential")
 SIGNATURE_NAMES = ("x-amz-signature", "x-goog-signature", "signature", "sig")
 
-_PRE = r"(?:[A-Za-z0-9_.\-]{0,64}[_.\-])?"
+_PRE = r"(?:[A-Za-z0-9_.\-]*[_.\-])?"
 NAME_PASSWORD = (
-    rf"(?:[A-Za-z0-9_.\-]{{0,64}}(?:{_any(PASSWORD_WORDS)})|{_PRE}(?:{_any(PASSWORD_PARTS)})"
-    r"|[a-z0-9]{1,40}(?:Passwd|Pwd|Pass))"
+    rf"(?:[A-Za-z0-9_.\-]*(?:{_any(PASSWORD_WORDS)})|{_PRE}(?:{_any(PASSWORD_PARTS)})"
+    r"|[a-z0-9]+(?:Passwd|Pwd|Pass))"
 )
 NAME_KEY = (
-    rf"(?:[A-Za-z0-9_.\-]{{0,64}}(?:{_any(KEY_WORDS)})|{_PRE}(?:{_any(KEY_PARTS)})|[a-z0-9]{{1,40}}Secret)"
+    rf"(?:[A-Za-z0-9_.\-]*(?:{_any(KEY_WORDS)})|{_PRE}(?:{_any(KEY_PARTS)})|[a-z0-9]+Secret)"
 )
 NAME_TOKEN = (
-    rf"(?:{_PRE}(?:{_any(TOKEN_PARTS)})|(?i:{'|'.join(TOKEN_OWNERS)})(?i:token)|[a-z0-9]{{1,40}}Token)"
+    rf"(?:{_PRE}(?:{_any(TOKEN_PARTS)})|(?i:{'|'.join(TOKEN_OWNERS)})(?i:token)|[a-z0-9]+Token)"
 )
 NAME_CREDENTIAL = rf"(?:{_PRE}(?:{_any(CREDENTIAL_PARTS)}))"
 NAME_CREDENTIAL_ANY = f"(?:{NAME_PASSWORD}|{NAME_KEY}|{NAME_TOKEN}|{NAME_CREDENTIAL})"
@@ -63,26 +63,26 @@ def _plain(words) -> str:
 #: A whole name that ends in a credential word: take the run of name
 #: characters, then look back at its end (linear, whatever the text).
 NAME = (
-    r"(?:[A-Za-z_][A-Za-z0-9_.\-]{1,80}+(?:"
+    r"(?:[A-Za-z_][A-Za-z0-9_.\-]++(?:"
     rf"(?<={_plain(PASSWORD_WORDS + KEY_WORDS)})"
     rf"|(?<=(?<![A-Za-z0-9]){_plain(PASSWORD_PARTS + KEY_PARTS + TOKEN_PARTS + CREDENTIAL_PARTS)})"
     rf"|(?<={_plain(TOKEN_OWNERS)}(?i:token))|(?<=[a-z0-9](?:Passwd|Pwd|Pass|Secret|Token))))"
 )
 #: The same where letters may be written as escapes.
-NAME_ESCAPED = rf"(?:{NAME}|(?=[^\s\"'=&]{{0,100}}?(?:\\u00|%[2-7])){NAME_CREDENTIAL_ANY})"
+NAME_ESCAPED = rf"(?:{NAME}|(?=[^\s\"'=&]*?(?:\\u00|%[2-7])){NAME_CREDENTIAL_ANY})"
 LEFT = r"(?<![A-Za-z0-9_])"
 
 # Key and token prefixes that providers publish.
 KEY_PREFIX = (
-    r"(?<![A-Za-z0-9_\-])(?:sk-[A-Za-z0-9_\-]{20,200}+|(?:sk|rk)_(?:live|test)_[A-Za-z0-9]{10,200}+"
+    r"(?<![A-Za-z0-9_\-])(?:sk-[A-Za-z0-9_\-]{20,}+|(?:sk|rk)_(?:live|test)_[A-Za-z0-9]{10,}+"
     r"|(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|AIza[A-Za-z0-9_\-]{35}(?![A-Za-z0-9_\-])"
-    r"|SG\.[A-Za-z0-9_\-]{16,64}\.[A-Za-z0-9_\-]{16,80}+)"
+    r"|SG\.[A-Za-z0-9_\-]{16,}+\.[A-Za-z0-9_\-]{16,}+)"
 )
 TOKEN_PREFIX = (
-    r"(?<![A-Za-z0-9_\-])(?:gh[pousr]_[A-Za-z0-9]{20,255}+|github_pat_[A-Za-z0-9_]{20,255}+"
-    r"|glpat-[A-Za-z0-9_\-]{16,64}+|xox[abeprs]-[A-Za-z0-9\-]{10,250}+"
-    r"|npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])|hf_[A-Za-z0-9]{20,64}+|ya29\.[A-Za-z0-9_\-]{20,400}+"
-    r"|eyJ[A-Za-z0-9_\-]{8,4000}\.eyJ[A-Za-z0-9_\-]{4,8000}\.[A-Za-z0-9_\-]{4,2000}+)"
+    r"(?<![A-Za-z0-9_\-])(?:gh[pousr]_[A-Za-z0-9]{20,}+|github_pat_[A-Za-z0-9_]{20,}+"
+    r"|glpat-[A-Za-z0-9_\-]{16,}+|xox[abeprs]-[A-Za-z0-9\-]{10,}+"
+    r"|npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])|hf_[A-Za-z0-9]{20,}+|ya29\.[A-Za-z0-9_\-]{20,}+"
+    r"|eyJ[A-Za-z0-9_\-]{8,}+\.eyJ[A-Za-z0-9_\-]{4,}+\.[A-Za-z0-9_\-]{4,}+)"
 )
 PRIVATE_KEY = (
     r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----(?s:.*?)"
@@ -90,24 +90,26 @@ PRIVATE_KEY = (
 )
 AUTH_HEADER = (
     r"((?i:\bauthorization)[\"']?[ \t]*[:=][ \t]*[\"']?(?i:bearer|basic|token)[ \t]+"
-    r"|(?i:\bbearer)[ \t]+(?=[A-Za-z0-9._~+/\-]{0,200}[0-9])(?=[A-Za-z0-9._~+/=\-]{16}))"
-    r"([A-Za-z0-9._~+/\-]{4,4000}+=*)"
+    r"|(?i:\bbearer)[ \t]+(?=[A-Za-z._~+/\-]*+[0-9])(?=[A-Za-z0-9._~+/=\-]{16}))"
+    r"([A-Za-z0-9._~+/\-]{4,}+=*+)"
 )
-KEY_HEADER = r"((?i:\bx-(?:api-key|auth-token|access-token))[\"']?[ \t]*:[ \t]*[\"']?)([^\s\"'$<{,;]{4,4000})"
+KEY_HEADER = r"((?i:\bx-(?:api-key|auth-token|access-token))[\"']?[ \t]*:[ \t]*[\"']?)([^\s\"'$<{,;]{4,}+)"
 PARAMETER = (
     rf"([?&](?:{NAME_ESCAPED}|(?:{_any(SIGNATURE_NAMES)}))=)([^&#\s\"'<>$\{{][^&#\s\"'<>]*)"
 )
-USERINFO = r"((?<![A-Za-z0-9])[A-Za-z][A-Za-z0-9+.\-]{0,30}://)([^\s/@:\"'<>]{0,200}:[^\s/@\"'<>$\{]{1,400})(?=@)"
+USERINFO = r"((?<![A-Za-z0-9])[A-Za-z][A-Za-z0-9+.\-]{0,30}://)([^\s/@:\"'<>]*+:[^\s/@\"'<>$\{]++)(?=@)"
+#: A cookie whose name says that it holds a session or a token.
 COOKIE_NAME = (
-    r"(?:__Host-|__Secure-)?(?i:[A-Za-z0-9_.\-]{0,60}?(?:sid|sess|session|sessionid|session_id|session-id"
-    r"|auth|auth_token|authtoken|token|jwt|_access|-access))"
+    r"^(?:__Host-|__Secure-)?(?i:[A-Za-z0-9_.\-]*(?:sid|sess|session|sessionid|session_id|session-id"
+    r"|auth|auth_token|authtoken|token|jwt|_access|-access))$"
 )
+#: Every pair of a cookie header in turn; flags without a value are passed over.
 COOKIE = (
-    r"((?:(?<![A-Za-z\-])(?i:(?:set-)?cookie):[ \t]*|(?!\A)\G[ \t]*;[ \t]*)"
-    rf"(?:[^;=\r\n]*+=[^;\r\n]*+;[ \t]*+){{0,200}}?{COOKIE_NAME}=)([^;\s\"]+)"
+    r"((?:(?<![A-Za-z\-])(?i:(?:set-)?cookie):[ \t]*+|(?!\A)\G[ \t]*+;[ \t]*+)(?:[^;=\r\n]*+;[ \t]*+)*+)"
+    r"([^;=\r\n]++)(=)([^;\s\"]*+)([^;\r\n]*+)"
 )
-_DQ = r'(?:[^"\\]*+(?:\\.[^"\\]*+){0,500}+)'
-_SQ = r"(?:[^'\\]*+(?:\\.[^'\\]*+){0,500}+)"
+_DQ = r'(?:(?:[^"\\]++|\\(?s:.))*+)'
+_SQ = r"(?:(?:[^'\\]++|\\(?s:.))*+)"
 _TYPE = r"(?:[&*]?[A-Za-z_][A-Za-z0-9_.]{0,40}(?:[<\[][A-Za-z0-9_.,<>\[\] |]{0,60}[>\]])?)"
 _ASSIGN = (
     rf"(?:[ \t]*:[ \t]*{_TYPE}[ \t]*:?=[ \t]*|[ \t]+{_TYPE}[ \t]*=[ \t]*"
@@ -147,7 +149,7 @@ OPTION_TO = (
 )
 BLOCK = (
     rf"((?m:^)(?<indent>[ \t]*+)(?:- )?[\"']?(?<name>{NAME})[\"']?[ \t]*:[ \t]*[|>][+\-]?[0-9]?[+\-]?[ \t]*(?:#[^\n]*)?\n)"
-    r"((?:\k<indent>[ \t]++[^\s][^\n]*+)(?:\n(?:\k<indent>[ \t]++[^\n]*+|[ \t]*+(?=\n))){0,1000}+)"
+    r"((?:\k<indent>[ \t]++[^\s][^\n]*+)(?:\n(?:\k<indent>[ \t]++[^\n]*+|[ \t]*+(?=\n)))*+)"
 )
 SPOKEN = (
     r"((?i:\b(?:hasło|haslo)[ \t]+(?:to|jest)|\bcontrase(?:ñ|n)a[ \t]+es)[ \t:]+)"
@@ -158,7 +160,7 @@ RECOVERY = (
 )
 PAYLOAD = (
     r"(\"(?i:password|secret|token|credential)[_\-](?:payload|data|value|content)\"[ \t]*:[ \t]*\")"
-    r"([A-Za-z0-9+/=_\-]{4,20000}+)(?=\")"
+    r"([A-Za-z0-9+/=_\-]{4,}+)(?=\")"
 )
 CUE = (
     r"(?=[pPsStTcCaAkK\\%])(?i:pass|pwd|secret|token|credential|api[_\-]?key|private_?key"
@@ -291,13 +293,14 @@ def detect_url_credential(text: Column) -> Column:
     users = to_spans(hits(text, USERINFO, f"$1{MARK}$2{MARK}"), "CREDENTIAL", R_SECRET + 5, "secret")
     return F.concat(
         guard(text.contains("://"), users),
-        guard(text.rlike(r"[?&][A-Za-z0-9_.%\-]{2,200}="), params),
+        guard(text.rlike(r"[?&][A-Za-z0-9_.%\-]{2,}+="), params),
     )
 
 
 def detect_cookie(text: Column) -> Column:
-    return guard(text.rlike(r"[cC](?i:ookie:)"),
-                 to_spans(hits(text, COOKIE, f"$1{MARK}$2{MARK}"), "TOKEN", R_SECRET + 7, "secret"))
+    pairs = hits(text, COOKIE, f"$1$2$3{MARK}$4{AFTER}$2{MARK}$5")
+    named = F.filter(pairs, lambda h: (F.length(h["value"]) > 0) & F.trim(h["after"]).rlike(COOKIE_NAME))
+    return guard(text.rlike(r"[cC](?i:ookie:)"), to_spans(named, "TOKEN", R_SECRET + 7, "secret"))
 
 
 def detect_labelled_secret(text: Column) -> Column:

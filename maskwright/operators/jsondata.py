@@ -12,7 +12,7 @@ from ..functions import placeholders as P
 from ..functions.spans import MARK, hits, let
 
 #: Fixed value: one JSON string token.
-STRING = r'"(?:[^"\\]*+(?:\\.[^"\\]*+){0,4000}+)"'
+STRING = r'"(?:[^"\\]++|\\.)*+"'
 TOKEN = "struct<start:int,end:int,raw:string,text:string,is_key:boolean,name:string>"
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..functions import placeholders as P
+from ..plans.runtime import pin
 
 
 def session_ref(session: Column, salt: str) -> Column:
@@ -33,12 +34,11 @@ def occurrences(requests: DataFrame, vault: DataFrame | None = None, text: str =
 
 def activity_summary(
     requests: DataFrame, salt: str, now=None, vault: DataFrame | None = None,
-    ttl_seconds: int = X.ACTIVITY_TTL_SECONDS, limit: int = X.ACTIVITY_SESSIONS,
+    ttl_seconds: int = X.ACTIVITY_TTL_SECONDS, newest: int | None = None,
 ) -> DataFrame:
-    """The newest sessions, one row each, without values or ids.
+    """All sessions, one row each, without values or ids; only the ``newest`` so many if asked.
 
     ``requests``: session, request_id, ts, forwarded, completed, masked_text.
-    The limit is part of the report (a top-k), not a cut of its input.
     """
     live = requests
     if now is not None:
@@ -51,14 +51,16 @@ def activity_summary(
         n(F.col("completed")).alias("completed"), n(~F.col("completed")).alias("failed"),
         F.max("ts").alias("last_request_at"),
     )
-    newest = totals.orderBy(F.desc("last_request_at"), "session").limit(limit)
-    shown = live.where("forwarded").join(F.broadcast(newest.select("session")), "session", "left_semi")
+    shown = live.where("forwarded")
+    if newest is not None:
+        totals = pin(totals.orderBy(F.desc("last_request_at"), "session").limit(newest))
+        shown = shown.join(totals.select("session"), "session", "left_semi")
     counts = (
         occurrences(shown.select("session", "masked_text"), vault)
         .groupBy("session", "entity_type").agg(F.count(F.lit(1)).alias("n"))
         .groupBy("session").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("entity_type", "n")))).alias("placeholder_occurrences"))
     )
-    return newest.join(counts, "session", "left").select(
+    return totals.join(counts, "session", "left").select(
         session_ref(F.col("session"), salt).alias("session_ref"),
         "requests", "forwarded", "completed", "failed", "last_request_at",
         F.coalesce("placeholder_occurrences", F.expr("cast(map() as map<string,bigint>)")).alias("placeholder_occurrences"),
@@ -85,14 +87,6 @@ def split_late(batch: DataFrame, high_water, allowed: str = "10 minutes") -> tup
     return batch.where(F.col("ts") >= edge), batch.where(F.col("ts") < edge)
 
 
-def probe_prompt(token: Column) -> Column:
-    """A fictional prompt; it holds nothing from a conversation."""
-    return F.concat(
-        F.lit("Verification "), token, F.lit(". Do not use tools. Reply with this email exactly:\nprobe-check-"),
-        token, F.lit("@example.com"),
-    )
-
-
 def verify_probes(probes: DataFrame, requests: DataFrame) -> DataFrame:
     """One row a probe: verified, incomplete, expired or pending.
 
@@ -127,17 +121,10 @@ def verify_probes_stream(probes: DataFrame, requests: DataFrame, late: str = "1
     )
 
 
-def last_user_text(messages: Column) -> Column:
-    """The last message's text if it is a plain user message, else empty."""
-    last = F.get(messages, F.size(messages) - 1)
-    return F.when(last["role"] == "user", last["content"]).otherwise("")
-
-
-def support_totals(summary: DataFrame, limit: int = X.ACTIVITY_SESSIONS) -> DataFrame:
-    """Allow-listed totals; counts that are negative or missing are ignored."""
+def support_totals(summary: DataFrame) -> DataFrame:
+    """Allow-listed totals over all sessions; counts that are negative or missing are ignored."""
     names = ("requests", "forwarded", "completed", "failed")
-    newest = summary.orderBy(F.desc("last_request_at")).limit(limit)
-    return newest.agg(
+    return summary.agg(
         F.count(F.lit(1)).alias("sessions"),
         *[F.coalesce(F.sum(F.when(F.col(c) >= 0, F.col(c))), F.lit(0)).alias(c) for c in names],
     )
