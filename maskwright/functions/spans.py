@@ -46,28 +46,51 @@ def hits(text: Column, pattern: str, replacement: str = f"{MARK}$0{MARK}") -> Co
     the value; what follows an AFTER mark inside it is look-ahead text.
     """
     pieces = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(replacement)), MARK, -1)
-    begin = F.struct(
-        F.lit(0).alias("pos"), F.lit(False).alias("inside"), no_hits().alias("out")
-    )
 
-    def step(acc, piece):
-        value = F.substring_index(piece, AFTER, 1)
-        hit = F.struct(
-            acc["pos"].alias("start"),
-            value.alias("value"),
-            F.when(
-                piece.contains(AFTER), F.substring_index(piece, AFTER, -1)
-            ).alias("after"),
+    def found(parts: Column) -> Column:
+        return let(
+            F.struct(parts.alias("p"), running(F.transform(parts, lambda x: F.length(F.substring_index(x, AFTER, 1)))).alias("at")),
+            lambda x: F.transform(
+                F.sequence(F.lit(1), F.size(x["p"]) - 1, F.lit(2)),
+                lambda i: let(F.get(x["p"], i), lambda piece: F.struct(
+                    F.get(x["at"], i).alias("start"),
+                    F.substring_index(piece, AFTER, 1).alias("value"),
+                    F.when(piece.contains(AFTER), F.substring_index(piece, AFTER, -1)).alias("after"),
+                )),
+            ),
         )
-        return F.struct(
-            (acc["pos"] + F.length(value)).alias("pos"),
-            (~acc["inside"]).alias("inside"),
-            F.when(acc["inside"], F.concat(acc["out"], F.array(hit)))
-            .otherwise(acc["out"])
-            .alias("out"),
+
+    # Without a match there is one piece, the text.
+    return let(pieces, lambda parts: F.when(F.size(parts) > 1, found(parts)).otherwise(no_hits()))
+
+
+def running(numbers: Column, add=lambda a, b: a + b) -> Column:
+    """For each number, the sum (or other fold from 0) of those before it.
+
+    Blocks of about the square root of the length are folded first, so that
+    neither the work nor the copying of arrays is quadratic.
+    """
+    total = lambda items: F.aggregate(items, F.lit(0), add)
+
+    def inner(x: Column) -> Column:
+        n, width = x["n"], x["width"]
+        sums = F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(n) - 1) / width).cast("int")), lambda b: total(F.slice(n, b * width + 1, width))
+        )
+        earlier = let(sums, lambda s: F.transform(F.sequence(F.lit(0), F.size(s) - 1), lambda b: total(F.slice(s, F.lit(1), b))))
+        return let(
+            F.struct(n.alias("n"), width.alias("width"), earlier.alias("before")),
+            lambda y: F.transform(
+                F.sequence(F.lit(0), F.size(y["n"]) - 1),
+                lambda i: let(F.floor(i / y["width"]).cast("int"), lambda b: add(
+                    F.get(y["before"], b), total(F.slice(y["n"], b * y["width"] + 1, i - b * y["width"]))
+                )),
+            ),
         )
 
-    return F.aggregate(pieces, begin, step, lambda acc: acc["out"])
+    return F.when(F.size(numbers) > 0, let(
+        F.struct(numbers.alias("n"), F.ceil(F.sqrt(F.size(numbers))).cast("int").alias("width")), inner
+    )).otherwise(F.expr("cast(array() as array<int>)"))
 
 
 def marks(text: Column, pattern: str) -> Column:

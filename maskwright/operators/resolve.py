@@ -7,35 +7,30 @@ the work grows with the size of the islands, not with the text.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.spans import SPAN, SPANS, fence, let, ordered
+from ..functions.spans import SPAN, SPANS, fence, let, ordered, running
 
 MEMBER = "struct<value:string,entity_type:string>"
 KEPT = SPAN.replace("rule:int>", f"rule:int,members:array<{MEMBER}>>")
 
 
 def islands(spans: Column) -> Column:
-    """Group spans (sorted by start) into runs that overlap, transitively."""
-    begin = F.struct(
-        F.lit(-1).alias("end"),
-        F.expr(f"cast(array() as {SPANS})").alias("now"),
-        F.expr(f"cast(array() as array<{SPANS}>)").alias("done"),
-    )
+    """Group spans (sorted by start) into runs that overlap, transitively.
 
-    def step(acc, s):
-        fresh = s["start"] >= acc["end"]
-        return F.struct(
-            F.greatest(acc["end"], s["end"]).alias("end"),
-            F.when(fresh, F.array(s)).otherwise(F.concat(acc["now"], F.array(s))).alias("now"),
-            F.when(fresh & (F.size(acc["now"]) > 0), F.concat(acc["done"], F.array(acc["now"])))
-            .otherwise(acc["done"])
-            .alias("done"),
+    A span begins a run if it starts at or after the furthest end before it.
+    """
+    def runs(x):
+        fresh = F.filter(F.sequence(F.lit(0), F.size(x["s"]) - 1), lambda i: F.get(x["s"], i)["start"] >= F.get(x["reach"], i))
+        return let(
+            F.struct(x["s"].alias("s"), fresh.alias("f")),
+            lambda y: F.transform(
+                y["f"],
+                lambda at, k: F.slice(y["s"], at + 1, F.coalesce(F.get(y["f"], k + 1), F.size(y["s"])) - at),
+            ),
         )
 
-    return F.aggregate(
-        spans, begin, step,
-        lambda acc: F.when(F.size(acc["now"]) > 0, F.concat(acc["done"], F.array(acc["now"])))
-        .otherwise(acc["done"]),
-    )
+    reach = lambda s: running(F.transform(s, lambda e: e["end"]), lambda a, b: F.greatest(a, b))
+    grouped = let(spans, lambda s: let(F.struct(s.alias("s"), reach(s).alias("reach")), runs))
+    return F.when(F.size(spans) > 0, grouped).otherwise(F.expr(f"cast(array() as array<{SPANS}>)"))
 
 
 def _ranked(spans: Column) -> Column:

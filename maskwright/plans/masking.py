@@ -24,48 +24,35 @@ def number_in_row(kept: Column) -> Column:
     A value keeps the type it was first seen with; numbers count each type's
     distinct values in reading order. All inside the row: no shuffle.
     """
-    values = F.transform(kept, lambda s: s["value"])
-
-    def entities(values):
-        firsts = F.filter(
-            F.transform(kept, lambda s, i: F.when(F.array_position(values, s["value"]) == i + 1, s)),
-            lambda s: s.isNotNull(),
-        )
-
-        def named(firsts):
-            labels = F.transform(
-                firsts,
-                lambda s, i: P.format_placeholder(
-                    s["entity_type"],
-                    F.size(
-                        F.filter(
-                            F.slice(firsts, F.lit(1), i + 1),
-                            lambda o: o["entity_type"] == s["entity_type"],
-                        )
-                    ),
-                ),
-            )
-            names = F.map_from_arrays(F.transform(firsts, lambda s: s["value"]), labels)
-            return let(
-                names,
-                lambda m: F.transform(
-                    kept,
-                    lambda s: F.struct(
-                        m[s["value"]].alias("placeholder"),
-                        s["value"].alias("value"),
-                        P.placeholder_type(m[s["value"]]).alias("entity_type"),
-                        s["start"].alias("start"),
-                        s["end"].alias("end"),
-                        s["source"].alias("source"),
-                    ),
-                ),
-            )
-
-        return let(firsts, named)
-
-    return F.when(F.size(kept) > 0, let(values, entities)).otherwise(
-        F.expr(f"cast(array() as array<{ENTITY}>)")
+    # Sorted by value and place, the first of each value is next to the others;
+    # sorted by type and place, its number is its distance from the type's first.
+    placed = F.array_sort(F.transform(kept, lambda s, i: F.struct(s["value"].alias("value"), i.alias("i"), s["entity_type"].alias("kind"))))
+
+    def names(rows):
+        firsts = F.filter(F.transform(rows, lambda r, k: F.when((k == 0) | (F.get(rows, k - 1)["value"] != r["value"]), r)), lambda r: r.isNotNull())
+        typed = F.array_sort(F.transform(firsts, lambda r: F.struct(r["kind"].alias("kind"), r["i"].alias("i"), r["value"].alias("value"))))
+
+        def numbered(rows):
+            begins = F.filter(F.sequence(F.lit(0), F.size(rows) - 1), lambda k: (k == 0) | (F.get(rows, k - 1)["kind"] != F.get(rows, k)["kind"]))
+            where = let(begins, lambda b: F.map_from_arrays(F.transform(b, lambda k: F.get(rows, k)["kind"]), b))
+            return let(where, lambda w: F.map_from_arrays(
+                F.transform(rows, lambda r: r["value"]),
+                F.transform(rows, lambda r, k: P.format_placeholder(r["kind"], k - w[r["kind"]] + 1)),
+            ))
+
+        return let(typed, numbered)
+
+    entities = let(
+        let(placed, names),
+        lambda m: F.transform(
+            kept,
+            lambda s: let(m[s["value"]], lambda name: F.struct(
+                name.alias("placeholder"), s["value"].alias("value"), P.placeholder_type(name).alias("entity_type"),
+                s["start"].alias("start"), s["end"].alias("end"), s["source"].alias("source"),
+            )),
+        ),
     )
+    return F.when(F.size(kept) > 0, entities).otherwise(F.expr(f"cast(array() as array<{ENTITY}>)"))
 
 
 def apply_mask(text: Column, entities: Column) -> Column:
