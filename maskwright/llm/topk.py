@@ -29,6 +29,9 @@ RESOLUTIONS = (4, 16, 32)
 #: Products of this size and more are not exact in doubles.
 EXACT = float(1 << 52)
 
+#: Scores that a long can't hold are ranked exactly and given as this.
+LIMIT = (1 << 63) - 1
+
 PACKED = T.StructType([
     T.StructField("dim", T.IntegerType()), T.StructField("block", T.LongType()),
     T.StructField("ids", T.BinaryType()), T.StructField("data", T.BinaryType()),
@@ -84,7 +87,8 @@ def statistics(vectors: np.ndarray, segments: int) -> np.ndarray:
     length = np.diff(edges)
     mean = np.add.reduceat(vectors, edges[:-1], 1) / length
     rest = vectors - np.repeat(mean, length, 1)
-    spread = np.sqrt(np.add.reduceat(rest * rest, edges[:-1], 1))
+    with np.errstate(over="ignore"):
+        spread = np.sqrt(np.add.reduceat(rest * rest, edges[:-1], 1))
     return np.hstack((mean * np.sqrt(length), spread))
 
 
@@ -106,8 +110,10 @@ def search(queries: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, ids:
         if segments > vectors.shape[1] and segments != RESOLUTIONS[0]:
             break
         q, c = statistics(queries, segments), statistics(vectors, segments)
-        slack = 1e-9 * (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(c, axis=1)[None, :]) + 1e-6
-        bound = np.minimum(bound, q @ c.T + slack)
+        with np.errstate(over="ignore", invalid="ignore"):  # what overflows bounds nothing
+            slack = 1e-9 * (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(c, axis=1)[None, :]) + 1e-6
+            now = q @ c.T + slack
+        bound = np.minimum(bound, np.where(np.isnan(now), np.inf, now))
         alive = alive & (bound >= best[:, None])
         if segments == RESOLUTIONS[0]:
             # The most promising ones set the bar: the k-th best of some is at most the k-th best of all.
@@ -125,7 +131,8 @@ def search(queries: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, ids:
     row, column, score = row[order], column[order], score[order]
     place = np.arange(len(row)) - np.searchsorted(row, row)
     top = place < k
-    return query_ids[row[top]], ids[column[top]], score[top]
+    score = np.array([max(-LIMIT, min(LIMIT, x)) for x in score[top]], np.int64) if score.dtype == object else score[top]
+    return query_ids[row[top]], ids[column[top]], score
 
 
 def nearest(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 5) -> DataFrame:
