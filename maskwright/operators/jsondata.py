@@ -102,29 +102,9 @@ def _explode(deeper: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def mask_json(
-    df: DataFrame, column: str, mask_texts, *, passed_keys: tuple[str, ...] = ("type", "id"),
-) -> DataFrame:
-    """Mask every string and key of a JSON column.
-
-    ``mask_texts`` maps a column of ``array<struct<text, name>>`` to the array
-    of masked texts (one narrow expression; see `plans.masking.mask_json_rows`).
-    Adds ``masked_json``, and ``refused``: why a row can't be masked.
-    """
-    body = F.col(column)
-    out = df.withColumn("_tokens", F.coalesce(string_tokens(body), F.expr(f"cast(array() as array<{TOKEN}>)")))
-    out = out.withColumn("_masked", mask_texts(F.col("_tokens")))
-    edits = F.filter(
-        F.transform(
-            "_tokens",
-            lambda t, i: F.struct(
-                t["start"].alias("start"), t["end"].alias("end"),
-                F.when(F.get("_masked", i) != t["text"], to_json_string(F.get("_masked", i))).alias("new"),
-            ),
-        ),
-        lambda e: e["new"].isNotNull(),
-    )
-    return out.withColumn("masked_json", P.splice(body, edits)).drop("_tokens", "_masked")
+def keys_of(body: Column) -> Column:
+    """The distinct keys of a JSON text, at any depth."""
+    return let(string_tokens(body), lambda t: F.array_distinct(F.transform(F.filter(t, lambda x: x["is_key"]), lambda x: x["text"])))
 
 
 def key_collisions(df: DataFrame, keys: list[str], before: str, after: str) -> DataFrame:

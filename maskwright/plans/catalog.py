@@ -534,6 +534,24 @@ def json_masked(spark, sf):
     return mask_json_rows(_json_rows(spark, sf), "body").select("c_custkey", "masked_json")
 
 
+def json_refused(spark, sf):
+    """Secrets under their key, and each reason to refuse a row, by turns."""
+    from .masking import mask_json_rows
+
+    k, v = F.col("c_custkey"), _hex()
+    mail = F.concat(F.lit("c"), k, F.lit("@example.com"))
+    bodies = [
+        F.concat(F.lit('{"apiKey":"k-'), v, F.lit('","note":"to '), mail, F.lit('","n":12}')),
+        F.concat(F.lit('{"a":{"b":[true,null,'), _luhn_card(), F.lit("]}}")),
+        F.concat(F.lit('{"note": '), mail),
+        F.concat(F.lit('{"'), mail, F.lit('":1,"[EMAIL_1]":2}')),
+        F.concat(F.lit('["plain", {"id":"x-'), k, F.lit('"}]')),
+    ]
+    text = F.get(F.array(*bodies), (k % 5).cast("int"))
+    rows = table(spark, sf, "customer").select("c_custkey", text.alias("body"))
+    return mask_json_rows(rows, "body").select("c_custkey", "masked_json", "refused")
+
+
 def json_restored(spark, sf):
     from .masking import mask_json_rows, restore_json_rows
 
@@ -797,7 +815,7 @@ for _f in (
     placeholder_like_input, quarantine, literal_types, merge_overlaps, resolve_spans, resolve_spans_leftmost,
     dedupe_spans, normalize_documents, normalize_derived, unify_spellings, registry_counts, registry_errors,
     registry_changes, messages_to_sections, annotated_gold, review_findings, review_fragments,
-    confirm_findings, json_leaves, json_masked, json_restored, json_numbers_refused, json_key_collisions,
+    confirm_findings, json_leaves, json_masked, json_refused, json_restored, json_numbers_refused, json_key_collisions,
     ledger_replay, ledger_seen, ledger_tools, evaluate_scores, evaluate_coverage, evaluate_characters,
     evaluate_overmasked, evaluate_leaks, evaluate_restoration, evaluate_latency, evaluate_regressions,
     corpus_fingerprints, activity_summary, activity_occurrences, activity_retention, probes_verified,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import placeholders as P
-from ..functions.spans import fence, let
+from ..functions.spans import fence, let, no_spans
 from ..operators import checks, vault as V
 from ..operators.detect import detect
 from ..operators.normalize import assign_normalized
@@ -156,48 +156,83 @@ def mask_sessions(
     return MaskOutput(masked, placed, full, keep, V.mark_merged(placed, merged))
 
 
+SEAM = "\n\ufdd2\n"
+
+
 def mask_json_rows(df: DataFrame, column: str, **options) -> DataFrame:
     """Mask a JSON column, every row a session of its own; one narrow stage.
 
     All strings of a row, keys too, are found as one text joined by a mark
-    that no value can contain, so that they share the row's placeholders.
-    Adds ``masked_json`` and ``entities``.
+    that no value can contain, so that they share the row's placeholders. A
+    string under a key that names a credential is a secret as a whole. Adds
+    ``masked_json``, ``entities`` and ``refused``: why a row can't be masked
+    (its ``masked_json`` is null then):
+
+    * ``invalid``: not JSON, or with the mark in it;
+    * ``number``: a number that would be masked if it were text;
+    * ``across``: a value that reaches over two strings;
+    * ``keys``: two different keys would become the same.
     """
-    from ..operators.jsondata import string_tokens, to_json_string
+    from ..functions.secrets import detect_field
+    from ..functions.spans import running
+    from ..operators.jsondata import STRING, string_tokens, to_json_string, valid
 
-    seam = "\ufdd2"
     body = F.col(column)
-    out = df.withColumn("_tokens", fence(string_tokens(body)))
-    out = out.withColumn(
-        "_text",
-        F.array_join(F.transform("_tokens", lambda t: F.coalesce(t["text"], F.lit(""))), f"\n{seam}\n"),
-    )
-    out = mask_rows(out, "_text", warnings=False, **options)
-    # A span that reached over a seam would join two strings: cut it there.
-    pieces = F.split("masked", f"\n{seam}\n", -1)
-    whole = F.size(pieces) == F.size("_tokens")
+    none = F.expr("cast(null as string)")
+    outside = F.regexp_replace(body, F.lit(STRING), F.lit(" "))
+    numbers = F.regexp_extract_all(outside, F.lit(r"[-+]?[0-9][0-9.eE+-]*+"), F.lit(0))
+    out = df.withColumn("_numbers", fence(F.coalesce(F.array_join(numbers, "\n"), F.lit(""))))
+    out = detect(out, "_numbers", **options).withColumn("_number", F.size("spans") > 0).drop("spans", "_numbers")
+
+    out = out.withColumn("_tokens", fence(F.coalesce(string_tokens(body), string_tokens(F.lit("")))))
+    texts = F.transform("_tokens", lambda t: F.coalesce(t["text"], F.lit("")))
+    out = out.withColumn("_text", fence(F.array_join(texts, SEAM)))
+    out = detect(out, "_text", **options)
+    starts = running(F.transform("_tokens", lambda t: F.length(F.coalesce(t["text"], F.lit(""))) + len(SEAM)))
+    named = let(starts, lambda at: F.flatten(F.transform("_tokens", lambda t, i: F.transform(
+        F.when(t["name"].isNotNull() & t["text"].isNotNull(), detect_field(t["text"], t["name"])).otherwise(no_spans()),
+        lambda s: s.withField("start", F.get(at, i)).withField("end", F.get(at, i) + F.length(t["text"])),
+    ))))
+    out = out.withColumn("spans", fence(F.concat("spans", named)))
+    out = mask_rows(out, "_text", warnings=False, detected=True)
+
+    out = out.withColumn("_pieces", fence(F.split("masked", SEAM, -1)))
+    keys = F.filter(F.transform("_tokens", lambda t: F.when(t["is_key"], t["text"])), lambda x: x.isNotNull())
+    new_keys = F.filter(F.transform("_tokens", lambda t, i: F.when(t["is_key"], F.get("_pieces", i))), lambda x: x.isNotNull())
+    whole = (F.size("_tokens") == 0) | (F.size("_pieces") == F.size("_tokens"))
+    out = out.withColumn("refused", fence(
+        F.when(body.isNull(), none)
+        .when(~valid(body) | body.contains(SEAM[1]) | F.col("_text").contains(SEAM + SEAM[1]), "invalid")
+        .when(F.col("_number"), "number").when(~whole, "across")
+        .when(F.size(F.array_distinct(new_keys)) < F.size(F.array_distinct(keys)), "keys").otherwise(none)
+    ))
     edits = F.filter(
         F.transform(
             "_tokens",
             lambda t, i: F.struct(
                 t["start"].alias("start"), t["end"].alias("end"),
-                F.when(F.get(pieces, i) != t["text"], to_json_string(F.get(pieces, i))).alias("new"),
+                F.when(F.get("_pieces", i) != t["text"], to_json_string(F.get("_pieces", i))).alias("new"),
             ),
         ),
         lambda e: e["new"].isNotNull(),
     )
-    done = F.when(whole, P.splice(body, edits)).otherwise(
-        F.raise_error(F.lit("a value reaches over two JSON strings"))
-    )
-    return out.withColumn("masked_json", F.when(F.size("_tokens") > 0, done).otherwise(body)).drop(
-        "_tokens", "_text", "masked"
+    done = F.when(F.size("_tokens") > 0, P.splice(body, edits)).otherwise(body)
+    return out.withColumn("masked_json", F.when(F.col("refused").isNull(), done)).drop(
+        "_tokens", "_text", "_pieces", "_number", "masked"
     )
 
 
 def restore_json_rows(df: DataFrame, column: str, entities: str = "entities") -> DataFrame:
-    """Restore inside the strings of a JSON column that carries its entities."""
-    from ..operators.jsondata import restore_json_in_row
+    """Restore inside the strings of a JSON column that carries its entities.
+
+    Adds ``restored_json`` and ``restore_refused``: ``keys`` where two different
+    keys would become the same (``restored_json`` is null then).
+    """
+    from ..operators.jsondata import keys_of, restore_json_in_row
     from ..operators.restore import restore_in_row
 
     one = lambda text: restore_in_row(text, F.col(entities), tolerant=False)["text"]
-    return df.withColumn("restored_json", restore_json_in_row(F.col(column), one))
+    out = df.withColumn("restored_json", fence(restore_json_in_row(F.col(column), one)))
+    fewer = F.size(keys_of(F.col("restored_json"))) < F.size(keys_of(F.col(column)))
+    out = out.withColumn("restore_refused", fence(F.when(fewer, "keys")))
+    return out.withColumn("restored_json", F.when(F.col("restore_refused").isNull(), F.col("restored_json")))
