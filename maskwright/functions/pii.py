@@ -278,18 +278,46 @@ def detect_iban(text: Column) -> Column:
     )
 
 
+def issued(area: Column, group: Column, serial: Column) -> Column:
+    """Whether the parts of a social security number can have been given out."""
+    return (
+        (F.length(area) == 3) & (F.length(group) == 2) & (F.length(serial) == 4)
+        & ~area.isin(*X.SSN_AREAS_UNUSED) & ~area.startswith(X.SSN_AREA_UNUSED_FIRST)
+        & (group != X.SSN_GROUP_UNUSED) & (serial != X.SSN_SERIAL_UNUSED)
+    )
+
+
 def detect_ssn(text: Column) -> Column:
+    """A run of digits joined by dashes or points is read as a whole: three parts, one kind of dash."""
+    joint = f"[.{X.DASHES}]"
+    run = rf"(?<![A-Za-z\p{{M}}+])(?<!{X.DIGIT}|{X.DIGIT}{joint}){X.DIGIT}++(?:{joint}{X.DIGIT}++)*+(?![A-Za-z\p{{M}}])"
+
+    def good(value: Column) -> Column:
+        parts = F.split(value, f"[{X.DASHES}]")
+        marks = F.array_distinct(F.regexp_extract_all(value, F.lit(f"([{X.DASHES}])"), F.lit(1)))
+        three = (F.size(parts) == 3) & (F.size(marks) == 1) & value.rlike(f"^[0-9{X.DASHES}]+$")
+        return three & issued(F.get(parts, 0), F.get(parts, 1), F.get(parts, 2))
+
     return guard(
-        text.rlike("[0-9]{3}[-‑–][0-9]{2}[-‑–][0-9]{4}"),
-        to_spans(hits(text, X.SSN), "SSN", R_SSN),
+        text.rlike(f"[0-9]{{3}}[{X.DASHES}][0-9]{{2}}[{X.DASHES}][0-9]{{4}}"),
+        to_spans(F.filter(hits(text, run), lambda h: good(h["value"])), "SSN", R_SSN),
     )
 
 
 def detect_ssn_labelled(text: Column) -> Column:
-    return guard(
-        text.rlike(r"(?i)ssn|social[ \t]+security"),
-        to_spans(hits(text, X.SSN_LABELLED, f"$1{MARK}$2{MARK}"), "SSN", R_SSN2),
-    )
+    """Nine digits after a label, together or as three parts with one kind of space."""
+    labels = "|".join(label.replace(" ", r"[ \t]+") for label in X.SSN_LABELS)
+    label = rf"(?<!{X.WORD}|\p{{M}})(?i:{labels})(?!{X.WORD})[ \t]*+(?:[:=#][ \t]*+)?"
+    number = rf"[0-9]{{9}}|[0-9]{{3}}([{X.SPACES}])[0-9]{{2}}\3[0-9]{{4}}"
+    follows = rf"(?![A-Za-z\p{{M}}{X.DIGIT}]|{X.DASH_DOT}{X.DIGIT})"
+
+    def good(value: Column) -> Column:
+        return let(F.regexp_replace(value, "[^0-9]", ""), lambda n: issued(
+            F.substr(n, F.lit(1), F.lit(3)), F.substr(n, F.lit(4), F.lit(2)), F.substr(n, F.lit(6))
+        ))
+
+    found = hits(text, f"({label})({number}){follows}", f"$1{MARK}$2{MARK}")
+    return guard(text.rlike(r"(?i)ssn|social[ \t]+security"), to_spans(F.filter(found, lambda h: good(h["value"])), "SSN", R_SSN2))
 
 
 RULES = {

@@ -114,18 +114,17 @@ def render_warnings(warnings: Column, redact: bool = False) -> Column:
     def one(w):
         known = F.coalesce(F.concat(F.lit(" ("), w["placeholder"], F.lit(")")), F.lit(""))
         if redact:
-            leak = F.concat(F.lit("a known "), w["entity_type"], F.lit(" value"), known)
-            label = F.concat(F.lit("("), w["length"].cast("string"), F.lit(" characters)"))
+            leak = F.concat(w["entity_type"], known)
+            label = F.concat(w["length"].cast("string"), F.lit(" characters"))
         else:
-            leak = F.concat(F.lit("known value '"), w["value"], F.lit("'"), known)
+            leak = F.concat(w["value"], known)
             label = w["value"]
         return F.when(
             w["code"] == "leak",
-            F.concat(F.lit("Leak check: "), leak, F.lit(" still appears in the masked text.")),
+            F.concat(F.lit("not masked everywhere: "), leak),
         ).otherwise(
             F.concat(
-                F.lit("Input already contains placeholder-like text "), label,
-                F.lit("; restore() will treat it as a placeholder."),
+                F.lit("text that restoring would take for a placeholder: "), label,
             )
         )
 
