@@ -168,26 +168,26 @@ def regressions(now: DataFrame, base: DataFrame) -> DataFrame:
     def less(metric):
         shorter = F.size(c("n", metric)) != F.size(c("b", metric))
         worse = F.exists(F.zip_with(c("n", metric), c("b", metric), lambda x, y: x < y), lambda w: w)
-        return issue(same & (shorter | worse), f"less {metric}")
+        return issue(same & (shorter | worse), f"less:{metric}")
 
     found = F.array(
-        issue(~same, "case IDs changed"),
+        issue(~same, "cases_differ"),
         *[less(m) for m in ("masked_characters", "masked_or_flagged_characters")],
         *[
-            issue(same & (c("n", m) > c("b", m)), f"more {m}")
+            issue(same & (c("n", m) > c("b", m)), f"more:{m}")
             for m in ("exact_fp", "exact_fn", "overmasked_characters", "review_harmless_characters")
         ],
-        issue(same & ~F.coalesce(c("n", "restored"), F.lit(False)), "exact restoration unavailable"),
-        issue(same & (c("n", "status") == "refused"), "supported fixture refused"),
+        issue(same & ~F.coalesce(c("n", "restored"), F.lit(False)), "not_restored"),
+        issue(same & (c("n", "status") == "refused"), "refused"),
         issue(
             same & (c("n", "status") == "held") & (c("b", "status") == "ready")
             & (F.size(c("n", "masked_characters")) == 0),
-            "new hold on harmless input",
+            "held_without_need",
         ),
         issue(
             same & (c("b", "status") == "held") & (c("n", "status") == "ready")
             & (c("n", "exposed_annotations") > 0),
-            "review hold removed before complete masking",
+            "released_unmasked",
         ),
     )
     return both.select(
