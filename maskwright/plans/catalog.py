@@ -168,6 +168,21 @@ def mask_documents(spark, sf):
     return out.select("doc_id", "masked", F.size("entities").cast("bigint").alias("entities"))
 
 
+def mask_round_trip(spark, sf):
+    """A model that repeats what it is told: only placeholders reach it, values come back."""
+    from .masking import round_trip
+
+    out = round_trip(documents(spark, sf), lambda told: F.concat(F.lit("You said: "), told))
+    return out.select("doc_id", F.md5("restored").alias("digest"), F.md5("reply").alias("told"))
+
+
+def mask_entity_view(spark, sf):
+    from .masking import entity_view
+
+    out = entity_view(mask_rows(documents(spark, sf), warnings=False), ["doc_id"])
+    return out.select("doc_id", "placeholder", "value", "entity_type", "start", "end")
+
+
 def mask_documents_warnings(spark, sf):
     """The leak check of the flagship: values left visible, by type."""
     out = mask_rows(documents(spark, sf))
@@ -808,7 +823,7 @@ QUERIES = {
         "labelled_secret", "private_key", "url_credential", "cookie", "escaped_secret", "block_secret")},
 }
 for _f in (
-    detect_field, detect_custom, detect_literal, detect_registry, mask_documents, mask_documents_warnings,
+    detect_field, detect_custom, detect_literal, detect_registry, mask_documents, mask_round_trip, mask_entity_view, mask_documents_warnings,
     mask_source_sessions, vault_values, vault_global, vault_assign, vault_sizes, vault_lookup, vault_clear,
     vault_touch, vault_purge, restore_documents, restore_sessions, restore_tolerant, restore_unknown,
     trace_documents, leak_check, mask_known, withhold_lines, count_private_values, folded_match,

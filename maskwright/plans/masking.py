@@ -156,6 +156,37 @@ def mask_sessions(
     return MaskOutput(masked, placed, full, keep, V.mark_merged(placed, merged))
 
 
+def round_trip(
+    df: DataFrame, model, text: str = "text", *, strict: bool = False, tolerant: bool = True, **options
+) -> DataFrame:
+    """Mask each text, ask ``model`` with the masked one only, and restore its reply.
+
+    ``model`` is a function of a column (an Arrow function, or an expression).
+    Adds ``masked``, ``entities``, ``warnings``, ``reply`` and ``restored``. With
+    ``strict`` the job fails at the first text with a warning; else such a text
+    is not sent: its ``reply`` is null.
+    """
+    from ..operators.restore import restore_in_row
+
+    out = mask_rows(df, text, literals=True, tolerant=tolerant, **options)
+    if strict:
+        out = checks.strict(out)
+    sendable = F.when(F.size("warnings") == 0, F.col("masked"))
+    out = out.withColumn("reply", fence(model(sendable)))
+    restored = restore_in_row(F.col("reply"), F.col("entities"), tolerant)["text"]
+    return out.withColumn("restored", fence(F.when(F.col("reply").isNotNull(), restored)))
+
+
+def entity_view(masked_rows: DataFrame, keys: list[str], entities: str = "entities") -> DataFrame:
+    """One row per placeholder that stands in a masked text, with its value and place."""
+    return masked_rows.select(*keys, F.explode(entities).alias("e")).select(*keys, "e.*")
+
+
+def span_view(found: DataFrame, keys: list[str], spans: str = "spans") -> DataFrame:
+    """One row per span of a table of candidates or kept spans."""
+    return found.select(*keys, F.explode(spans).alias("s")).select(*keys, "s.*")
+
+
 SEAM = "\n\ufdd2\n"
 
 
