@@ -2,18 +2,19 @@
 
 Texts are sets of five-word shingles. Every run picks, by hashes that all texts
 share, about ``1 / (0.8 size)`` of a text's shingles; texts that picked the same
-shingle meet in a node. A node that is small is compared by brute force. A
-large one is split again on further picks, unless the picks show that its
-members are alike throughout: then splitting would not end, and the node is
-compared in blocks. Runs are repeated until a pair at the threshold is missed
-less often than the target recall allows. Links found in several nodes count
-in the first of them only, so pairs are counted but never written out.
+shingle meet in a node. Runs are repeated until a pair at the threshold is
+missed less often than the target recall allows. The members of a small node
+are compared by brute force on short sketches. A large node is split again on
+further picks, unless the picks show that its members are alike throughout:
+then splitting would not end, and it is compared in blocks. Texts that sketches
+connect form a cluster, and inside each cluster the whole sets are compared,
+every pair once; links are counted, never written out.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,20 +23,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from maskwright.llm.components import components
-from maskwright.llm.words import grams, mix, pieces, span_hash, words
-from maskwright.plans.runtime import pin
+from maskwright.llm.words import _BASE, grams, mix, pieces, span_hash, words
+from maskwright.plans.runtime import partitions, pin
 
 SHINGLE = 5
 #: Links have a Jaccard similarity of at least this many tenths.
 TENTHS = 8
 RECALL = 0.999
 #: Nodes up to this size are compared at once; larger ones are split.
-NODE = 128
-#: Members of a block; two blocks meet in one comparison.
+NODE = 256
+#: Members of a block of whole sets, and of sketches; two blocks meet in one comparison.
 BLOCK = 256
+SKETCH_BLOCK = 512
+#: A sketch holds a byte of the smallest shingle in each of so many ranges.
+RANGES = 64
+#: Sketches of a pair at the threshold agree in 0.8 of the ranges, off by 0.05 (one
+#: deviation) or less; pairs down to 4.4 deviations are kept.
+AGREE = 0.58
 DEPTH = 4
 #: A node whose members share this much on average is not split further.
 DENSE = 0.6
+#: Bytes of a shingle's hash in the sets that are compared: two different shingles of two
+#: texts of a thousand each agree with a chance of one in a million.
+BYTES = 5
 #: Columns of the incidence matrix that are multiplied together.
 COLUMNS = 2048
 
@@ -88,43 +98,67 @@ def picked(keys: np.ndarray, size: np.ndarray, times: int, salt: int) -> np.ndar
     return (mix(keys ^ np.uint64(salt)) >> np.uint64(11)) < share * (1 << 53)
 
 
+def sketch_rows(keys: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A byte for each range of hashes: of the smallest shingle in it, or 0 if there is none."""
+    n = len(bounds) - 1
+    row, place = np.repeat(np.arange(n), np.diff(bounds)), (keys >> np.uint64(58)).astype(np.int64)
+    new = np.append(True, (row[1:] != row[:-1]) | (place[1:] != place[:-1])) if len(keys) else np.zeros(0, bool)
+    out = np.zeros((n, RANGES), np.uint8)
+    out[row[new], place[new]] = mix(keys[new]) % np.uint64(255) + np.uint64(1)
+    return out
+
+
 def first_nodes(column: pa.Array, times: int) -> pa.StructArray:
-    classes, nodes, sizes = [], [], []
+    classes, nodes, sketches = [], [], []
     for keys, bounds, own in shingle_sets(column):
         size = np.repeat(np.diff(bounds), np.diff(bounds))
         chosen = picked(keys, size, times, 0x51ED)
         total = np.concatenate(([0], np.cumsum(chosen)))[bounds]
         nodes.append(pa.ListArray.from_arrays(pa.array(total, pa.int32()), pa.array(keys[chosen].view(np.int64))))
         classes += own
-        sizes += [len(own)]
+        data = sketch_rows(keys, bounds).tobytes()
+        sketches += [data[RANGES * i : RANGES * (i + 1)] for i in range(len(own))]
     lists = pa.concat_arrays(nodes) if nodes else pa.array([], pa.list_(pa.int64()))
-    return pa.StructArray.from_arrays([pa.array(classes, pa.binary()), lists], ["class", "nodes"])
+    return pa.StructArray.from_arrays([pa.array(classes, pa.binary()), lists, pa.array(sketches, pa.binary())], ["class", "nodes", "sketch"])
 
 
 def members_schema(key: T.DataType) -> T.StructType:
-    return T.StructType([T.StructField("_key", key), T.StructField("class", T.BinaryType()), T.StructField("nodes", T.ArrayType(T.LongType()))])
+    return T.StructType([T.StructField("_key", key), T.StructField("class", T.BinaryType()), T.StructField("nodes", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
+
+
+def paths(keys: np.ndarray, large: list[int]) -> tuple[list[int], list[int], list[np.ndarray]]:
+    """Where a set goes from its large nodes, level by level, should they be split: levels, parents, children."""
+    levels: list[int] = []
+    parents: list[int] = []
+    nodes: list[np.ndarray] = []
+    for level in range(1, DEPTH):
+        following: list[int] = []
+        for parent in large:
+            salt = np.uint64((parent * _BASE + 77) & 0xFFFFFFFFFFFFFFFF)
+            took = keys[picked(keys, np.float64(len(keys)), 1, salt)]
+            own = mix(took + salt).view(np.int64)
+            levels += [level] * len(own)
+            parents += [parent] * len(own)
+            nodes.append(own)
+            following += own.tolist()
+        large = following
+    return levels, parents, nodes
 
 
-def children(sets: pa.Array, large: pa.Array) -> pa.Array:
-    """For each large node of each set, the nodes into which the set goes from there."""
-    parents, nodes, counts = [], [], []
-    for data, own in zip(sets.to_pylist(), large.to_pylist(), strict=True):
-        keys, n = np.frombuffer(data, np.uint64), 0
-        for parent in own:
-            salt = int(mix(np.array([parent], np.int64).view(np.uint64) + np.uint64(77))[0])
-            took = keys[picked(keys, np.float64(len(keys)), 1, salt)]
-            nodes.append(mix(took + np.uint64(salt)).view(np.int64))
-            parents += [parent] * len(took)
-            n += len(took)
-        counts.append(n)
-    flat = np.concatenate(nodes) if nodes else np.zeros(0, np.int64)
-    pairs = pa.StructArray.from_arrays([pa.array(parents, pa.int64()), pa.array(flat)], ["parent", "child"])
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pairs)
+PATHS = T.ArrayType(T.StructType([
+    T.StructField("level", T.IntegerType()), T.StructField("parent", T.LongType()), T.StructField("child", T.LongType()),
+]))
+
 
+def packed(keys: np.ndarray) -> bytes:
+    """The first BYTES bytes of each hash; they stay sorted."""
+    return keys.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :BYTES].tobytes()
 
-@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("parent", T.LongType()), T.StructField("child", T.LongType())])))
-def split(sets: pa.Array, large: pa.Array) -> pa.Array:
-    return children(sets, large)
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // BYTES, 8), np.uint8)
+    out[:, :BYTES] = np.frombuffer(data, np.uint8).reshape(-1, BYTES)
+    return out.view(">u8").ravel().astype(np.uint64)
 
 
 def shared(rows: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
@@ -146,27 +180,27 @@ def shared(rows: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def compare(node: int, sets: list[np.ndarray], side: np.ndarray, inner: bool, nodes: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a group, and those that no earlier node has: two symmetric flag matrices.
-
-    ``side`` tells the two blocks apart; within one block (``inner``) all pairs
-    are compared, else only those across.
-    """
-    n = len(sets)
+def similar_sets(data: list[bytes]) -> np.ndarray:
+    """Which two sets are linked: at least 0.8 of their union is shared."""
+    sets = [unpacked(x) for x in data]
     size = np.array([len(x) for x in sets], np.float64)
-    rows = np.repeat(np.arange(n), size.astype(np.int64))
-    both = shared(rows, np.concatenate(sets), n)
-    link = both * (10 + TENTHS) >= TENTHS * (size[:, None] + size[None, :])
-    np.fill_diagonal(link, False)
-    if not inner:
-        link &= side[:, None] != side[None, :]
-    own = link
-    if link.any():
-        earlier = [(i, x) for i, of in enumerate(nodes) for x in set(of) if x < node]
-        if earlier:
-            rows, keys = (np.array(x, np.int64) for x in zip(*earlier, strict=True))
-            own = link & (shared(rows, keys, n) == 0)
-    return link, own
+    both = shared(np.repeat(np.arange(len(sets)), size.astype(np.int64)), np.concatenate(sets), len(sets))
+    return both * (10 + TENTHS) >= TENTHS * (size[:, None] + size[None, :])
+
+
+def similar_sketches(data: list[bytes]) -> np.ndarray:
+    """Which two sketches agree in enough of the ranges that either has."""
+    sketch = np.frombuffer(b"".join(data), np.uint8).reshape(-1, RANGES)
+    n = len(sketch)
+    if n <= 48:
+        a, b = sketch[:, None, :], sketch[None, :, :]
+        return ((a == b) & (a > 0)).sum(2) >= AGREE * ((a | b) > 0).sum(2)
+    same, there = np.zeros((n, n), np.uint8), np.zeros((n, n), np.uint8)
+    for own in sketch.T:
+        filled = own > 0
+        same += (own[:, None] == own[None, :]) & filled[:, None]
+        there += filled[:, None] | filled[None, :]
+    return same >= AGREE * there
 
 
 def roots(link: np.ndarray) -> np.ndarray:
@@ -183,31 +217,36 @@ def roots(link: np.ndarray) -> np.ndarray:
 COMPARED = T.StructType([T.StructField("class", T.BinaryType()), T.StructField("links", T.LongType()), T.StructField("root", T.BinaryType())])
 
 
-def compare_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compare the members of each (node, a, b); its rows stand together, by class."""
-    group, rows = None, []
+def compare_groups(batches: Iterator[pa.RecordBatch], similar: Callable[[list[bytes]], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Compare the members of each (node, a, b), whose rows stand together, by class.
+
+    Of each member that has a link: how many rows it is linked to, and the first
+    member of its group that links lead to. Two blocks are compared across, one
+    with itself inside.
+    """
+    group: tuple | None = None
+    rows: list[tuple] = []
 
     def finish() -> pa.RecordBatch | None:
-        kept = [r for i, r in enumerate(rows) if not i or r["class"] != rows[i - 1]["class"]]  # a row repeated whole
+        kept = [r for i, r in enumerate(rows) if not i or r[0] != rows[i - 1][0]]  # a row repeated whole
         if len(kept) < 2:
             return None
-        node, a, b = group
-        link, own = compare(
-            node, [np.frombuffer(r["set"], np.uint64) for r in kept], np.array([r["i"] for r in kept]), a == b, [r["all"] for r in kept]
-        )
+        link = similar([r[3] for r in kept])
+        np.fill_diagonal(link, False)
+        if group[1] != group[2]:
+            side = np.array([r[1] for r in kept])
+            link &= side[:, None] != side[None, :]
         if not link.any():
             return None
-        links = own @ np.array([r["copies"] for r in kept], np.int64)
-        root, hit = roots(link), link.any(1)
+        links, root, hit = link @ np.array([r[2] for r in kept], np.int64), roots(link), np.flatnonzero(link.any(1))
         return pa.RecordBatch.from_arrays([
-            pa.array([r["class"] for r, h in zip(kept, hit, strict=True) if h], pa.binary()),
-            pa.array(links[hit], pa.int64()),
-            pa.array([kept[j]["class"] for j in root[hit]], pa.binary()),
+            pa.array([kept[i][0] for i in hit], pa.binary()), pa.array(links[hit], pa.int64()),
+            pa.array([kept[i][0] for i in root[hit]], pa.binary()),
         ], COMPARED.names)
 
     for batch in batches:
-        for row in batch.to_pylist():
-            here = row["node"], row["a"], row["b"]
+        keys = zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)
+        for here, row in zip(keys, zip(*(batch.column(k).to_pylist() for k in range(3, 7)), strict=True), strict=True):
             if here != group:
                 if (out := finish()) is not None:
                     yield out
@@ -217,73 +256,100 @@ def compare_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield out
 
 
+def compared(members: DataFrame, block: int, similar: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
+    """Compare ``data`` of the members (``node``, ``n``, ``class``, ``copies``) of each node.
+
+    A node is dealt into blocks by hash; every two blocks form a group, so that
+    no task holds more than two blocks of a node and each pair meets once.
+    """
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    grouped = (
+        members.withColumn("i", F.pmod(F.shiftright(F.xxhash64("class"), 20), blocks).cast("int"))
+        .withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .select("node", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "class", "i", "copies", "data")
+    )
+    ordered = grouped.repartition(partitions(members.sparkSession), "node", "a", "b").sortWithinPartitions("node", "a", "b", "class")
+    return ordered.mapInArrow(lambda x: compare_groups(x, similar), COMPARED)
+
+
+def edges_of(found: DataFrame) -> DataFrame:
+    return found.where(F.col("class") != F.col("root")).select(F.col("class").alias("a"), F.col("root").alias("b")).distinct()
+
+
 def classes_of(docs: DataFrame, key: str, text: str, times: int) -> DataFrame:
-    """``_key``, ``class`` and first ``nodes`` of every row."""
+    """``_key``, ``class``, first ``nodes`` and ``sketch`` of every row."""
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = first_nodes(batch.column(1), times)
-            yield pa.RecordBatch.from_arrays([batch.column(0), got.field(0), got.field(1)], ["_key", "class", "nodes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), got.field(0), got.field(1), got.field(2)], ["_key", "class", "nodes", "sketch"])
 
     return rows.mapInArrow(run, members_schema(rows.schema["_key"].dataType))
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """``class``, ``set``, and the other columns of ``wanted`` (``_rep``, ``class``, ...).
+    """``class``, ``copies``, ``set`` and the ``paths`` from its large nodes, for the ``wanted``
+    (``_rep``, ``class``, ``copies``, ``large``).
 
     Texts go through one shuffle by key, and only those of classes that met
     another are turned into sets.
     """
     texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    rows = texts.join(wanted, F.col("_key").eqNullSafe(F.col("_rep"))).drop("_key", "_rep")
-    names = [c for c in rows.columns if c != "_text"]
+    rows = texts.join(wanted, F.col("_key").eqNullSafe(F.col("_rep"))).select("class", "copies", F.col("large.node").alias("large"), "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for keys, bounds, own in shingle_sets(batch.column(batch.schema.get_field_index("_text"))):
+            for keys, bounds, own in shingle_sets(batch.column("_text")):
                 part = batch.slice(at, len(own))
                 at += len(own)
-                data = keys.tobytes()
                 right = [i for i, x in enumerate(part.column("class").to_pylist()) if x == own[i]]  # else another text of this key
                 kept = part.take(pa.array(right, pa.int64()))
-                sets = pa.array([data[8 * bounds[i] : 8 * bounds[i + 1]] for i in right], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in names), sets], [*names, "set"])
-
-    schema = T.StructType([*(rows.schema[c] for c in names), T.StructField("set", T.BinaryType())])
+                sets, steps, ends = [], ([], [], [np.zeros(0, np.int64)]), [0]
+                for i, large in zip(right, kept.column("large").to_pylist(), strict=True):
+                    mine = keys[bounds[i] : bounds[i + 1]]
+                    sets.append(packed(mine))
+                    for total, more in zip(steps, paths(mine, large or []), strict=True):
+                        total.extend(more)
+                    ends.append(len(steps[0]))
+                items = pa.StructArray.from_arrays(
+                    [pa.array(steps[0], pa.int32()), pa.array(steps[1], pa.int64()), pa.array(np.concatenate(steps[2]))], ["level", "parent", "child"]
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [kept.column("class"), kept.column("copies"), pa.array(sets, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)],
+                    ["class", "copies", "set", "paths"],
+                )
+
+    schema = T.StructType([rows.schema["class"], rows.schema["copies"], T.StructField("set", T.BinaryType()), T.StructField("paths", PATHS)])
     return rows.mapInArrow(run, schema)
 
 
-def leaves_of(sets: DataFrame) -> DataFrame:
-    """``class``, ``node``, ``n``: the nodes that are compared, after splitting large ones."""
-    done = sets.select("class", F.explode("small").alias("leaf")).select("class", "leaf.*")
-    front = sets.select("class", "set", "large").where(F.size("large") > 0)
-    sizes = front.select("class", F.explode("large").alias("l")).select("class", F.col("l.node").alias("node"), F.col("l.n").alias("n"))
-    for level in range(DEPTH):
+def leaves_of(sizes: DataFrame, steps: DataFrame) -> DataFrame:
+    """``class``, ``node``, ``n``: what is compared of large nodes, after splitting.
+
+    ``sizes``: the members of large nodes (``class``, ``node``, ``n``); ``steps``: where each
+    class would go from there (``class``, ``level``, ``parent``, ``child``).
+    """
+    done = sizes.limit(0)
+    for level in range(1, DEPTH + 1):
         if sizes.isEmpty():
             break
-        if level == DEPTH - 1:
+        if level == DEPTH:
             done = done.unionByName(sizes)
             break
-        own = sizes.groupBy("class").agg(F.collect_list("node").alias("own"))
-        kids = pin(
-            front.select("class", "set").join(own, "class")
-            .select("class", F.explode(split("set", "own")).alias("k")).select("class", "k.*")
-        )
-        counts = kids.groupBy("parent", "child").agg(F.count(F.lit(1)).alias("m"))
-        parents = sizes.groupBy("node").agg(F.max("n").alias("n"))
-        alike = (
-            counts.groupBy("parent").agg(F.sum(F.col("m") * F.col("m")).alias("pairs"))
-            .join(parents, F.col("parent") == F.col("node"))
-            .where(F.col("pairs") * (TENTHS / 10) >= DENSE * F.col("n") * F.col("n")).select("node")
-        )
-        alike = pin(alike)
-        done = done.unionByName(sizes.join(alike, "node", "left_semi").select("class", "node", "n"))
-        further = counts.where("m > 1").join(alike, F.col("parent") == F.col("node"), "left_anti")
-        next_ = pin(kids.join(further, ["parent", "child"]).select("class", F.col("child").alias("node"), F.col("m").alias("n")))
-        done = done.unionByName(next_.where(F.col("n") <= NODE))
-        sizes = next_.where(F.col("n") > NODE)
+        here = sizes.select("class", F.col("node").alias("parent"), F.col("n").alias("whole"))
+        kids = steps.where(F.col("level") == level).join(here, ["class", "parent"]).select("class", "parent", "child", "whole")
+        counts = pin(kids.groupBy("parent", "child").agg(F.count(F.lit(1)).alias("m"), F.max("whole").alias("whole")))
+        # The pairs that picks bring together, against all pairs: the members' mean similarity.
+        alike = pin(counts.groupBy("parent").agg(F.sum(F.col("m") * F.col("m")).alias("pairs"), F.max("whole").alias("whole")).where(
+            F.col("pairs") * (TENTHS / 10) >= DENSE * F.col("whole") * F.col("whole")
+        ).select("parent"))
+        done = done.unionByName(sizes.join(alike.withColumnRenamed("parent", "node"), "node", "left_semi").select("class", "node", "n"))
+        further = counts.where("m > 1").join(alike, "parent", "left_anti").select("parent", "child", "m")
+        split = pin(kids.join(further, ["parent", "child"]).select("class", F.col("child").alias("node"), F.col("m").alias("n")))
+        done = done.unionByName(split.where(F.col("n") <= NODE))
+        sizes = split.where(F.col("n") > NODE)
     return done.select("class", "node", "n")
 
 
@@ -291,40 +357,29 @@ def linked(docs: DataFrame, key: str, text: str, recall: float) -> tuple[DataFra
     """Every row's ``_key`` and ``class``; every class's ``root`` (the smallest class that
     links lead to), first key ``_rep``, ``copies`` and ``links`` (null without any)."""
     rows = pin(classes_of(docs, key, text, runs(recall)))
-    reps = rows.where(F.col("class").isNotNull()).groupBy("class").agg(
-        F.min("_key").alias("_rep"), F.count(F.lit(1)).alias("copies"), F.min("nodes").alias("nodes")
-    )
-    reps = pin(reps)
+    reps = pin(rows.where(F.col("class").isNotNull()).groupBy("class").agg(
+        F.min("_key").alias("_rep"), F.count(F.lit(1)).alias("copies"), F.min("nodes").alias("nodes"), F.min("sketch").alias("sketch")
+    ))
     met = reps.select("class", F.explode("nodes").alias("node"))
-    counts = met.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = met.join(counts, "node")
-    leaf = F.struct("node", "n")
-    wanted = met.groupBy("class").agg(
-        F.collect_list(F.when(F.col("n") <= NODE, leaf)).alias("small"), F.collect_list(F.when(F.col("n") > NODE, leaf)).alias("large")
-    ).join(reps.select("class", "_rep", "copies"), "class")
+    met = pin(met.join(met.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "node"))
+    sketches = reps.select("class", F.lit(1).alias("copies"), F.col("sketch").alias("data"))
+    alike = pin(edges_of(compared(met.where(F.col("n") <= NODE).join(sketches, "class"), SKETCH_BLOCK, similar_sketches)))
+    large = met.where(F.col("n") > NODE).groupBy("class").agg(F.collect_list(F.struct("node", "n")).alias("large"))
+    ends = alike.select(F.col("a").alias("class")).unionByName(alike.select(F.col("b").alias("class"))).distinct()
+    wanted = ends.join(large, "class", "full").join(reps.select("class", "_rep", "copies"), "class")
     sets = pin(sets_of(docs, wanted, key, text))
-    leaves = pin(leaves_of(sets).distinct())
-
-    # Nodes of the same members need one comparison.
-    code = F.xxhash64("class")
-    same = leaves.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum(F.shiftright(code, 8)).alias("s"), F.bit_xor(code).alias("x"))
-    firsts = same.where("n > 1").groupBy("n", "s", "x").agg(F.min("node").alias("node")).select("node", "n")
-    own = leaves.select("class", "node").join(firsts, "node").groupBy("class").agg(F.collect_list(F.struct("node", "n")).alias("own"))
-    blocks = F.ceil(F.col("leaf.n") / BLOCK).cast("int")
-    grouped = (
-        sets.select("class", "set", "copies").join(own, "class")
-        .withColumn("leaf", F.explode("own")).withColumn("i", F.pmod(F.shiftright(code, 20), blocks).cast("int"))
-        .withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select(
-            F.col("leaf.node").alias("node"), F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"),
-            "class", "i", "copies", F.col("own.node").alias("all"), "set",
-        )
-    )
-    compared = pin(grouped.repartition("node", "a", "b").sortWithinPartitions("node", "a", "b", "class").mapInArrow(compare_groups, COMPARED))
-
-    links = compared.groupBy("class").agg(F.sum("links").alias("links"))
-    group = components(compared.where(F.col("class") != F.col("root")).select(F.col("class").alias("a"), F.col("root").alias("b")))
-    known = reps.select("class", "_rep", "copies").join(links, "class", "left").join(group.withColumnRenamed("node", "class"), "class", "left")
+    steps = sets.select("class", F.explode("paths").alias("p")).select("class", "p.*")
+    leaves = leaves_of(met.where(F.col("n") > NODE).select("class", "node", "n"), steps).distinct()
+    more = edges_of(compared(leaves.join(sketches, "class"), SKETCH_BLOCK, similar_sketches))
+
+    clusters = components(alike.unionByName(more)).withColumnRenamed("node", "class").withColumnRenamed("root", "node")
+    clusters = pin(clusters)
+    sized = clusters.join(clusters.groupBy("node").agg(F.count(F.lit(1)).alias("n")), "node")
+    exact = pin(compared(sets.select("class", "copies", F.col("set").alias("data")).join(sized, "class"), BLOCK, similar_sets))
+
+    links = exact.groupBy("class").agg(F.sum("links").alias("links"))
+    group = components(edges_of(exact)).withColumnRenamed("node", "class")
+    known = reps.select("class", "_rep", "copies").join(links, "class", "left").join(group, "class", "left")
     return rows.select("_key", "class"), known.withColumn("root", F.coalesce("root", "class"))
 
 
