@@ -97,9 +97,9 @@ def shingled(words: Column) -> Column:
     return F.when(F.size(words) >= SHINGLE, F.array_distinct(every))
 
 
-def band_hashes(shingles: Column, number: int) -> Column:
+def band_hashes(shingles: Column, number: Column) -> Column:
     """The smallest shingle under each of ``number`` orders."""
-    return F.transform(F.sequence(F.lit(0), F.lit(number - 1)), lambda j: F.array_min(F.transform(shingles, lambda h: F.xxhash64(h, j))))
+    return F.transform(F.sequence(F.lit(0), number - 1), lambda j: F.array_min(F.transform(shingles, lambda h: F.xxhash64(h, j))))
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
@@ -112,38 +112,43 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: tu
     """
     spark = docs.sparkSession
     split = [(name, template_words(body)) for name, body in templates]
-    rows = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_text"), F.lower(F.col(text)).alias("_lower"))
-    found = None
-    for low, high in zip((0, *LENGTHS), LENGTHS, strict=False):
-        own = [(name, words) for name, words in split if low < len(words) <= high]
-        if not own:
-            continue
-        stride = high // 2
-        size = high + stride
-        needed = triggers([words for _, words in own])
-        number = bands(size, [words for _, words in own])
-        known = spark.createDataFrame(
-            [(i, name, words) for i, (name, words) in enumerate(own)], "template int, license string, words array<string>"
-        ).select("template", "license", shingled(F.col("words")).alias("shingles"))
-        # Of fixed size: the templates times their bands.
-        wanted = known.select("template", "license", F.col("shingles").alias("own"), F.posexplode(band_hashes(F.col("shingles"), number)).alias("band", "least"))
-
-        plausible = rows.where(F.lit(False) if not needed else _any([F.col("_lower").contains(w) for w in needed]))
-        words = F.split(F.trim(F.regexp_replace("_lower", "[^a-z0-9]+", " ")), " ")
-        parts = plausible.select("_key", "_text", fence(words).alias("w")).select(
-            "_key", "_text", fence(let(F.col("w"), lambda w: F.filter(
-                F.transform(F.sequence(F.lit(0), F.size(w) - 1, F.lit(stride)), lambda s: F.struct(s.alias("word"), F.slice(w, s + 1, F.lit(size)).alias("w"))),
-                lambda p: F.arrays_overlap(p["w"], F.array(*map(F.lit, needed))),
-            ))).alias("windows"),
-        ).select("_key", "_text", F.explode("windows").alias("p"))
-        hashed = parts.select("_key", "_text", "p.word", fence(shingled(F.col("p.w"))).alias("shingles")).where(F.col("shingles").isNotNull())
-        banded = hashed.select("*", F.posexplode(band_hashes(F.col("shingles"), number)).alias("band", "least"))
-        met = banded.join(F.broadcast(wanted), ["band", "least"])
-        held = F.size(F.array_intersect("shingles", "own")) / F.size("own")
-        part = met.select("_key", "_text", "license", "word", held.alias("containment")).where(F.col("containment") >= CONTAINED)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        raise ValueError("no template of five words or more")
+    groups = [
+        (high, own) for low, high in zip((0, *LENGTHS), LENGTHS, strict=False)
+        if (own := [(name, words) for name, words in split if low < len(words) <= high])
+    ]
+    if sum(len(own) for _, own in groups) < len(split) or any(len(words) < SHINGLE for _, words in split):
+        raise ValueError(f"templates need {SHINGLE} to {LENGTHS[-1]} words")
+    sizes = [high + high // 2 for high, _ in groups]
+    needed = [triggers([words for _, words in own]) for _, own in groups]
+    numbers = F.array(*(F.lit(bands(size, [words for _, words in own])) for size, (_, own) in zip(sizes, groups, strict=True)))
+
+    known = spark.createDataFrame(
+        [(g, name, words) for g, (_, own) in enumerate(groups) for name, words in own], "group int, license string, words array<string>"
+    ).select("group", "license", shingled(F.col("words")).alias("own"))
+    # Of fixed size: the templates times their bands.
+    wanted = known.select("*", F.posexplode(band_hashes(F.col("own"), F.get(numbers, F.col("group")))).alias("band", "least"))
+
+    def windows(words: Column, g: int) -> Column:
+        """The windows of one length that hold a word which its templates need."""
+        some = F.array(*map(F.lit, needed[g]))
+        every = F.transform(
+            F.sequence(F.lit(0), F.size(words) - 1, F.lit(groups[g][0] // 2)),
+            lambda s: F.struct(F.lit(g).alias("group"), s.alias("word"), F.slice(words, s + 1, F.lit(sizes[g])).alias("w")),
+        )
+        held = F.filter(every, lambda p: F.arrays_overlap(p["w"], some))
+        return F.when(F.arrays_overlap(words, some), held).otherwise(F.expr("cast(array() as array<struct<group:int,word:int,w:array<string>>>)"))
+
+    rows = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_text"), fence(F.lower(F.col(text))).alias("_lower"))
+    plausible = rows.where(_any([F.col("_lower").contains(w) for w in sorted({w for own in needed for w in own})]))
+    words = F.split(F.trim(F.regexp_replace("_lower", "[^a-z0-9]+", " ")), " ")
+    parts = plausible.select("_key", "_text", fence(words).alias("w")).select(
+        "_key", "_text", fence(F.concat(*(windows(F.col("w"), g) for g in range(len(groups))))).alias("windows")
+    ).select("_key", "_text", F.explode("windows").alias("p"))
+    hashed = parts.select("_key", "_text", "p.group", "p.word", fence(shingled(F.col("p.w"))).alias("shingles")).where(F.col("shingles").isNotNull())
+    banded = hashed.select("*", F.posexplode(band_hashes(F.col("shingles"), F.get(numbers, F.col("group")))).alias("band", "least"))
+    met = banded.join(F.broadcast(wanted), ["group", "band", "least"])
+    held = F.size(F.array_intersect("shingles", "own")) / F.size("own")
+    found = met.select("_key", "_text", "license", "word", held.alias("containment")).where(F.col("containment") >= CONTAINED)
     best = found.groupBy("_key", "_text", "license").agg(F.max(F.struct("containment", (-F.col("word")).alias("word"))).alias("b"))
     return best.select(F.col("_key").alias(key), "license", F.col("b.containment").alias("containment"), (-F.col("b.word")).alias("word"))
 
