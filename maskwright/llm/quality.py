@@ -50,7 +50,7 @@ def measure_texts(column: pa.Array) -> pa.StructArray:
         newline = np.flatnonzero(data == 10)
         begin = np.unique(np.concatenate((texts.starts[:-1], newline + 1)))
         begin = begin[begin < len(data)]
-        stop = np.append(begin[1:], len(data))
+        stop = np.append(begin[1:], len(data))[: len(begin)]
         stop = stop - (data[stop - 1] == 10)
         filled = np.searchsorted(found.start, stop) > np.searchsorted(found.start, begin)
         begin, stop = begin[filled], stop[filled]
@@ -88,9 +88,9 @@ def host_rates(judged: DataFrame, host: str = "source", failed: str = "base_fail
     At least two documents' worth, so that a host of one bad page is not lost.
     Hosts with a null name form one host.
     """
-    hosts = judged.groupBy(host).agg(
+    hosts = pin(judged.groupBy(host).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(failed).cast("long")).alias("fails")
-    )
+    ))
     total = hosts.agg(
         F.sum("n").alias("docs"), F.sum("fails").alias("fails"), F.count(F.lit(1)).alias("hosts"),
         F.sum(F.col("fails") * F.col("fails") / F.col("n")).alias("squares"),
