@@ -29,6 +29,8 @@ RESOLUTIONS = (4, 16, 32)
 #: Products of this size and more are not exact in doubles.
 EXACT = float(1 << 52)
 
+#: Pairs whose products are taken together.
+AT_ONCE = 1 << 14
 #: Scores that a long can't hold are ranked exactly and given as this.
 LIMIT = (1 << 63) - 1
 
@@ -92,11 +94,15 @@ def statistics(vectors: np.ndarray, segments: int) -> np.ndarray:
     return np.hstack((mean * np.sqrt(length), spread))
 
 
-def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of matching rows, as integers."""
-    if len(a) and (np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * a.shape[1]) >= EXACT:
-        return np.array([sum(int(x) * int(y) for x, y in zip(p, q, strict=True)) for p, q in zip(a, b, strict=True)], object)
-    return np.einsum("ij,ij->i", a, b).astype(np.int64)
+def products(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Exact inner products of rows i of a and j of b, as integers, some at a time."""
+    if len(i) and (np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * a.shape[1]) >= EXACT:
+        return np.array([sum(int(x) * int(y) for x, y in zip(a[p], b[q], strict=True)) for p, q in zip(i, j, strict=True)], object)
+    out = np.empty(len(i), np.int64)
+    for begin in range(0, len(i), AT_ONCE):
+        part = slice(begin, begin + AT_ONCE)
+        out[part] = np.einsum("ij,ij->i", a[i[part]], b[j[part]])
+    return out
 
 
 def search(queries: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
@@ -119,14 +125,14 @@ def search(queries: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, ids:
             # The most promising ones set the bar: the k-th best of some is at most the k-th best of all.
             first = np.argpartition(np.where(alive, -bound, np.inf), min(4 * k, n) - 1, axis=1)[:, : min(4 * k, n)]
             rows = np.repeat(np.arange(len(queries)), first.shape[1])
-            score = products(queries[rows], vectors[first.ravel()]).astype(np.float64).reshape(first.shape)
+            score = products(queries, rows, vectors, first.ravel()).astype(np.float64).reshape(first.shape)
             score = np.where(np.take_along_axis(other, first, 1), score, -np.inf)
             if first.shape[1] >= k:
                 best = np.sort(score, 1)[:, -k]
             best = best - 1e-9 * np.abs(np.where(np.isfinite(best), best, 0))
             alive = alive & (bound >= best[:, None])
     row, column = np.nonzero(alive)
-    score = products(queries[row], vectors[column])
+    score = products(queries, row, vectors, column)
     order = np.lexsort((ids[column], -score, row)) if score.dtype != object else np.array(sorted(range(len(row)), key=lambda i: (row[i], -score[i], ids[column[i]])), int)
     row, column, score = row[order], column[order], score[order]
     place = np.arange(len(row)) - np.searchsorted(row, row)
@@ -146,7 +152,8 @@ def nearest(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: s
     """
     rows = vectors.select(F.col(key).cast("long").alias("id"), integers(F.col(vector)).alias("v"), is_query.alias("q")).where("v is not null and id is not null")
     candidates = pin(pack(rows.select("id", "v"), CANDIDATES))
-    asked = pack(rows.where("q").select("id", "v").dropDuplicates(["id"]), QUERIES)
+    asked = pin(rows.where("q").select("id", "v").dropDuplicates(["id"]))
+    asked = pack(asked.repartition(max(1, -(-asked.count() // QUERIES)), "id"), QUERIES)
     # Candidates are dealt into so many hands; each hand is dealt all queries.
     hands = max(1, min(candidates.count(), partitions(vectors.sparkSession)))
     candidates = candidates.withColumn("hand", F.pmod(F.hash("block"), F.lit(hands)))
