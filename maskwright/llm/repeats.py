@@ -5,7 +5,8 @@ of LENGTH words the twelve words of smallest hash. They are sorted by content,
 first of the twelve words, then of all words of the windows that chose them,
 and each is compared with its neighbours. Neighbours that agree in all are
 repeated whole. Where only the twelve words agree, the match is extended to the
-left and to the right: the windows around are sorted and compared likewise.
+left and to the right: the windows around are sorted and compared likewise, and
+those of a suffix that is repeated whole count at all their places in its text.
 Windows that are repeated are joined to passages.
 
 A passage of LENGTH words or more has the same minimisers wherever it stands, so
@@ -69,12 +70,12 @@ def minimisers(hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndar
     return whole[new], np.diff(np.append(new, len(whole))), seed[best[new]]
 
 
-def by_content(owner: np.ndarray, key: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """First of each distinct (owner, key), and the starts of all of them."""
+def by_content(owner: np.ndarray, key: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """First of each distinct (owner, key), the starts of all of them, and their order."""
     order = np.lexsort((start, key, owner))
     o, k = owner[order], key[order]
     first = np.flatnonzero(np.append(True, (o[1:] != o[:-1]) | (k[1:] != k[:-1]))) if len(o) else np.zeros(0, np.int64)
-    return order[first], pa.ListArray.from_arrays(pa.array(np.append(first, len(o)), pa.int32()), pa.array(start[order], pa.int32()))
+    return order[first], pa.ListArray.from_arrays(pa.array(np.append(first, len(o)), pa.int32()), pa.array(start[order], pa.int32())), order
 
 
 def rows_out(batch: pa.RecordBatch, texts: Texts, owner: np.ndarray, columns: list[pa.Array], names: list[str]) -> pa.RecordBatch:
@@ -91,14 +92,19 @@ def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             prefix, first = prefix_of(hashes), np.searchsorted(row, np.arange(len(texts)))
             whole = span_hash(prefix, start, start + number + LENGTH - 1)
             owner = row[start]
-            one, starts = by_content(owner, whole, start - first[owner])
+            one, starts, _ = by_content(owner, whole, start - first[owner])
             yield rows_out(batch, texts, owner[one], [
                 pa.array(seed[one].view(np.int64)), pa.array(whole[one].view(np.int64)), starts, pa.array(number[one], pa.int32()),
             ], ["h", "s", "starts", "n"])
 
 
 def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of the windows that each text's ``probes`` (first window, number) name."""
+    """Hashes of the windows that each text's ``probes`` (first window, number, whether the
+    suffix is whole in another row) name.
+
+    A window that lies in a suffix which another row has is ``known`` to be repeated, wherever
+    else it stands in its own text: no probe of that other row needs to be there.
+    """
     for batch in batches:
         column = batch.column("probes")
         for texts in pieces(batch.column("_text")):
@@ -108,14 +114,15 @@ def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flat = probes.flatten()
             owner = np.repeat(np.arange(len(texts)), np.asarray(probes.value_lengths()))
             begin, number = np.asarray(flat.field(0)).astype(np.int64), np.asarray(flat.field(1)).astype(np.int64)
-            owner = np.repeat(owner, number)
+            owner, whole = np.repeat(owner, number), np.repeat(np.asarray(flat.field(2)).astype(bool), number)
             at = np.repeat(begin - np.append(0, np.cumsum(number)[:-1]), number) + np.arange(number.sum())
             key = span_hash(prefix, first[owner] + at, first[owner] + at + LENGTH) if len(at) else np.zeros(0, np.uint64)
-            one, starts = by_content(owner, key, at)
+            one, starts, order = by_content(owner, key, at)
             n = len(one)
+            known = np.logical_or.reduceat(whole[order], np.asarray(starts.offsets)[:-1]) if n else np.zeros(0, bool)
             yield rows_out(batch, texts, owner[one], [
-                pa.array(key[one].view(np.int64)), pa.array(np.zeros(n, np.int64)), starts, pa.array(np.ones(n, np.int32)),
-            ], ["h", "s", "starts", "n"])
+                pa.array(key[one].view(np.int64)), pa.array(np.zeros(n, np.int64)), starts, pa.array(np.ones(n, np.int32)), pa.array(known),
+            ], ["h", "s", "starts", "n", "known"])
 
 
 def compared(rows: DataFrame) -> DataFrame:
@@ -203,11 +210,11 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField("n", T.IntegerType()),
     ])
     anchors = pin(compared(rows.mapInArrow(suffixes, schema)).where("same or near"))
-    probes = anchors.where("near").select("_key", "_th", "n", F.explode("starts").alias("start")).groupBy("_key", "_th").agg(
-        F.collect_list(F.struct("start", "n")).alias("probes")
+    probes = anchors.where("near").select("_key", "_th", "n", "same", F.explode("starts").alias("start")).groupBy("_key", "_th").agg(
+        F.collect_list(F.struct("start", "n", "same")).alias("probes")
     ).select(F.col("_key").alias("_pk"), F.col("_th").alias("_pt"), "probes")
     around = rows.join(probes, F.col("_key").eqNullSafe(F.col("_pk")) & F.col("_th").eqNullSafe(F.col("_pt"))).drop("_pk", "_pt")
-    extended = compared(around.mapInArrow(windows, schema)).where("same")
+    extended = compared(around.mapInArrow(windows, T.StructType([*schema, T.StructField("known", T.BooleanType())]))).where("same or known")
     found = anchors.where("same").select(*schema.names).unionByName(extended.select(*schema.names))
     spans = found.select("_key", "_th", F.explode("starts").alias("start"), "n").groupBy("_key", "_th").agg(
         F.collect_list(F.struct("start", (F.col("start") + F.col("n") + LENGTH - 1).alias("end"))).alias("spans")

@@ -132,6 +132,17 @@ def test_repeats(docs):
     assert {tuple(r) for r in repeats.repeated(docs).collect()} == brute_repeats([(i, text) for i, text, _ in ROWS])
 
 
+def test_repeats_at_a_second_place(spark):
+    """A passage twice in one text; another text has it, but only in the surroundings of the first place."""
+    rows = []
+    for k in range(0, 24, 2):
+        shared, before, after = words(60), words(60), words(60)
+        whole = before + shared + after
+        rows += [(k, " ".join(whole + words(80) + shared + words(70))), (k + 1, " ".join(whole))]
+    got = repeats.repeated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {tuple(r) for r in got} == brute_repeats(rows)
+
+
 def test_topk(spark):
     random.seed(3)
     rows = [(i, [float(np.float32(random.gauss(0, 0.2))) for _ in range(24)]) for i in range(300)]
