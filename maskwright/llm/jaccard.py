@@ -41,6 +41,8 @@ RANGES = 64
 #: deviation) or less; pairs down to 4.4 deviations are kept.
 AGREE = 0.58
 DEPTH = 4
+#: Runs of picks inside each split: a pair stays together in one of two at least.
+SPLITS = 2
 #: A node whose members share this much on average is not split further.
 DENSE = 0.6
 #: Bytes of a shingle's hash in the sets that are compared: two different shingles of two
@@ -50,12 +52,20 @@ BYTES = 5
 COLUMNS = 2048
 
 
+def survival(children: float, levels: int) -> float:
+    """Chance that a pair is still together after so many splits, if a node that holds both
+    has ``children`` that do on average (a branching process)."""
+    alive = 1.0
+    for _ in range(levels):
+        alive = 1 - math.exp(-children * alive)
+    return alive
+
+
 def runs(recall: float) -> int:
-    """Equal-sized sets at similarity J share 2J / (1 + J) of their shingles and meet in
-    ``runs * 2J / (1 + J) / J`` nodes on average, at most a third of which fail to show
-    that a large node is dense."""
-    meet = 2 / (1 + TENTHS / 10) * 2 / 3
-    return math.ceil(-math.log(1 - recall) / meet)
+    """Two sets at similarity J share J of the larger one's shingles at least, so that at the
+    threshold each run of picks has them meet once on average, or more. In the worst case all
+    these nodes are large and mixed and are split DEPTH - 1 times."""
+    return math.ceil(-math.log(1 - recall) / survival(SPLITS, DEPTH - 1))
 
 
 def shingle_sets(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes | None]]]:
@@ -135,7 +145,7 @@ def paths(keys: np.ndarray, large: list[int]) -> tuple[list[int], list[int], lis
         following: list[int] = []
         for parent in large:
             salt = np.uint64((parent * _BASE + 77) & 0xFFFFFFFFFFFFFFFF)
-            took = keys[picked(keys, np.float64(len(keys)), 1, salt)]
+            took = keys[picked(keys, np.float64(len(keys)), SPLITS, salt)]
             own = mix(took + salt).view(np.int64)
             levels += [level] * len(own)
             parents += [parent] * len(own)
@@ -343,7 +353,7 @@ def leaves_of(sizes: DataFrame, steps: DataFrame) -> DataFrame:
         counts = pin(kids.groupBy("parent", "child").agg(F.count(F.lit(1)).alias("m"), F.max("whole").alias("whole")))
         # The pairs that picks bring together, against all pairs: the members' mean similarity.
         alike = pin(counts.groupBy("parent").agg(F.sum(F.col("m") * F.col("m")).alias("pairs"), F.max("whole").alias("whole")).where(
-            F.col("pairs") * (TENTHS / 10) >= DENSE * F.col("whole") * F.col("whole")
+            F.col("pairs") * (TENTHS / 10) >= SPLITS * DENSE * F.col("whole") * F.col("whole")
         ).select("parent"))
         done = done.unionByName(sizes.join(alike.withColumnRenamed("parent", "node"), "node", "left_semi").select("class", "node", "n"))
         further = counts.where("m > 1").join(alike, "parent", "left_anti").select("parent", "child", "m")

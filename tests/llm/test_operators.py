@@ -115,6 +115,35 @@ def test_jaccard_splits_large_nodes(spark, monkeypatch):
     assert [got[i] for i, _ in rows] == brute_jaccard(rows)
 
 
+def test_jaccard_of_slot_templates(spark, monkeypatch):
+    """Pairs whose common shingles are all in large mixed nodes: texts of slots with a few values each."""
+    monkeypatch.setattr(jaccard, "NODE", 4)
+    values = [[words(12) for _ in range(5)] for _ in range(12)]
+    texts = []
+    for _ in range(400):
+        text = sum((random.choice(v) for v in values), [])
+        texts += [" ".join(text), " ".join(text[:62] + words(8) + text[70:])]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert [got[i] for i, _ in rows] == brute_jaccard(rows)
+
+
+def test_jaccard_recall_at_the_threshold():
+    """Sets that share eight of ten shingles, or one of which holds the other, in nodes that are all split to the end."""
+    rng, missed, n = np.random.default_rng(5), 0, 2000
+    for k in range(n):
+        keys = np.sort(rng.integers(0, 1 << 63, 90, np.uint64))
+        a, b = (keys[:81], keys[9:]) if k % 2 else (keys, keys[18:])
+        ends = []
+        for own in (a, b):
+            first = own[jaccard.picked(own, np.float64(len(own)), jaccard.runs(jaccard.RECALL), 0x51ED)]
+            levels, _, nodes = jaccard.paths(own, first.view(np.int64).tolist())
+            last = np.array(levels) == jaccard.DEPTH - 1
+            ends.append(np.concatenate([np.zeros(0, np.int64), *nodes])[last])
+        missed += not len(np.intersect1d(*ends))
+    assert missed <= 2 * (1 - jaccard.RECALL) * n
+
+
 def test_survivors_tell_rows_of_one_key_apart(spark):
     long, other = " ".join(words(60)), " ".join(words(60))
     rows = [(1, long), (1, long), (1, other), (2, long), (3, ""), (3, ""), (None, other)]
