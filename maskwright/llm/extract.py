@@ -30,16 +30,48 @@ LINKS = 0.6
 BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul caption".split())
 RAW = set("script style title textarea noscript iframe template svg math object select option datalist canvas audio video noembed noframes xmp".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-FURNITURE = set("nav aside footer header form dialog menu button".split())
+#: Elements of RAW that a slash closes, and those whose content goes on after the next block tag if they are not closed.
+FOREIGN = {"svg", "math"}
+ENDLESS = FOREIGN | {"object"}
+#: Inside these, HTML may stand within svg and math.
+HOLDS_HTML = {"foreignobject", "annotation-xml", "desc"}
+FURNITURE = set("nav aside footer header dialog menu button".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 UNLIKELY = set("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer discussion disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination paywall popup promo promoted promotion recommended related replies reply respond responses share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget widgets".split())
 LIKELY = set("article articlebody body content entry main page post prose story text".split())
 
 TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*+>?|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z))""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:@][^\s=/>]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"']++)))?""")
+UNQUOTED = re.compile(r"""=\s*[^\s"'>]+/\Z""")
 WORDS = re.compile(r"[a-z]+")
 
 
+def end_of(tag: str, source: str, at: int) -> int:
+    """Where an element of ENDLESS that opened before ``at`` ends: after its end tag, or else before the next
+    block tag. Block tags end svg and math even where an end tag follows, unless they stand in HOLDS_HTML."""
+    depth, held, block, skip = 1, 0, -1, at
+    for m in TAG.finditer(source, at):
+        name = (m[2] or m[5] or "").lower()
+        if m.start() < skip or not name:
+            continue
+        closing, written = (m[1] or m[4]) == "/", m[3] or m[6] or ""
+        closed = tag in FOREIGN and written.endswith("/") and not UNQUOTED.search(written)
+        if name == tag and not closed:
+            depth += -1 if closing else 1
+            if not depth:
+                return m.end()
+        elif name in ("script", "style") and not closing and not closed:
+            end = re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I).search(source, m.end())
+            skip = end.start() if end else skip
+        elif name in BLOCKS:
+            block = m.start() if block < 0 else block
+            if tag in FOREIGN and not held:
+                return m.start()
+        elif name in HOLDS_HTML and not closed:
+            held = max(0, held - 1) if closing else held + 1
+    return block if block >= 0 else len(source)
+
+
 @dataclass
 class Node:
     tag: str
@@ -97,7 +129,12 @@ def parse(source: str) -> Page:
         closing = (m[1] or m[4]) == "/"
         if not tag:
             continue
-        if tag in RAW and not closing:
+        if tag in ENDLESS and not closing:
+            written = m[3] or m[6] or ""
+            if tag not in FOREIGN or not written.endswith("/") or UNQUOTED.search(written):
+                at = end_of(tag, source, at)
+            add(" ")
+        elif tag in RAW and not closing:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*+>?", re.I).search(source, at)
             at = end.end() if end else len(source)
             add(" ")
@@ -157,10 +194,10 @@ def main_text(source: str) -> str:
             nodes[k].chars += len(words)
             nodes[k].links += links
     whole = nodes[0].chars
-    # A label such as "has-sidebar" on what wraps the page is no furniture.
+    # A label such as "has-sidebar" on what wraps the page is no furniture, nor is a form around it.
     wraps = {k for i, x in enumerate(nodes) if x.tag in ("article", "main") for k in ancestors(nodes, x.parent)}
     for k, x in enumerate(nodes):
-        x.dropped |= x.unlikely and k not in wraps and 2 * x.chars < whole + 1
+        x.dropped |= (x.unlikely or x.tag == "form") and k not in wraps and 2 * x.chars < whole + 1
         x.dropped |= x.tag in ("ul", "ol", "dl", "table", "div", "section") and x.chars > 0 and x.links > LINKS * x.chars and 2 * x.chars < whole + 1
         if x.parent >= 0:
             x.dropped |= nodes[x.parent].dropped  # parents come first

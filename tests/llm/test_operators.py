@@ -261,6 +261,28 @@ def test_extraction(spark):
     assert (by[2].text, by[3].text, by[4].text, by[5].text) == ("", "", rows[3][2], "a\nb")
 
 
+PROSE = "A paragraph that is long enough, with commas, to be read as the text of the page."
+
+
+@pytest.mark.parametrize("before", [
+    "<svg class='icon'/>", "<math/>", "<svg class='icon'/><svg><path d='x'/></svg>", "<svg viewBox='0 0 1 1'><path>", "<div><svg></div>",
+    "<object data=x>", "<object data=x><div><object></object></div>",
+    "<svg><title>no</title><svg>no</svg>no</svg>", "<svg><foreignObject><div>no</div></foreignObject>no</svg>", "<svg><style>p{}/*<p>*/</style>no</svg>",
+    "<object><p>no</p></object>",
+])
+def test_extraction_after_svg_and_the_like(before):
+    """Elements closed in themselves or not at all don't take the rest of the page; closed ones go whole."""
+    page = f"<body>{before}<p>{PROSE}</p><p>{PROSE}</p></body>"
+    assert extract.main_text(page) == f"{PROSE}\n{PROSE}"
+    assert extract.main_text(page.replace("</body>", "<svg><path/></svg></body>")) == f"{PROSE}\n{PROSE}"
+
+
+def test_extraction_of_a_page_in_a_form():
+    form = "<form><label>Your name, your mail, and some words to us</label><input></form>"
+    assert extract.main_text(f"<body><form action=x.aspx><nav>Menu</nav><div><p>{PROSE}</p><p>{PROSE}</p></div></form></body>") == f"{PROSE}\n{PROSE}"
+    assert extract.main_text(f"<body><div><p>{PROSE}</p><p>{PROSE}</p>{form}</div></body>") == f"{PROSE}\n{PROSE}"
+
+
 OPERATORS = {
     "quality": quality.judge, "keep": quality.keep, "mix": mixing.mix, "repeat": mixing.repeat, "bpe": bpe.digests, "private": private.detect,
     "redact": private.redact, "jaccard": jaccard.join, "survivors": jaccard.survivors, "repeats": repeats.repeated, "maxent": maxent.score, "licenses": licenses.scan,
