@@ -223,6 +223,16 @@ def test_maxent_gives_probabilities(spark):
     assert np.exp(scores).sum() == pytest.approx(1, abs=1e-5)
 
 
+def test_maxent_takes_its_frequent_words_by_rank(spark, monkeypatch):
+    """Also where one count has more words than there is room for."""
+    monkeypatch.setattr(maxent, "HEAD", 12)
+    text = " ".join(f"w{i}" for i in range(40)) + " a a a b b"
+    model, vocabulary = maxent.fit(spark, spark.createDataFrame([(text, 0), ("a b", 1)], "_text string, _half int"))
+    ranked = sorted(vocabulary.collect(), key=lambda r: (-r.c, r.word))[:12]
+    assert sorted(model.head.hash.view(np.int64).tolist()) == sorted(r.word for r in ranked)
+    assert sorted(model.head.count.tolist()) == sorted(r.c for r in ranked)
+
+
 def test_licenses(docs):
     want = {}
     for i, text, _ in ROWS:
