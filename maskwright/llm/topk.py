@@ -147,7 +147,8 @@ def nearest(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: s
     Vectors that are null, empty or hold null or non-finite components take no
     part, nor do rows without a key; vectors of another dimension than the query's are not compared
     with it. Repeated rows are all candidates, and a repeated query is asked
-    once. Every block of queries meets every block of candidates of its
+    once; rows with the query's key are not its candidates. Of rows with one key and
+    different vectors any one may be asked: keys are meant to be unique. Every block of queries meets every block of candidates of its
     dimension; a task holds one block of each, and hands on k rows per query.
     """
     rows = vectors.select(F.col(key).cast("long").alias("id"), integers(F.col(vector)).alias("v"), is_query.alias("q")).where("v is not null and id is not null")
