@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import bpe, extract, jaccard, licenses, maxent, mixing, private, quality, repeats, topk
+from maskwright.llm import bpe, compression, extract, jaccard, lexical, licenses, maxent, mixing, private, quality, repeats, topk, whitening
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -54,6 +54,18 @@ def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op13_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return compression.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_mix_sources": op2_mix_sources,
@@ -65,6 +77,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_maxent_lm": op9_maxent_lm,
     "op10_license_scan": op10_license_scan,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_quality_classifier": op13_quality_classifier,
 }
 
 MIX_SQL = r"""
@@ -177,6 +192,37 @@ SELECT DISTINCT doc_id, first_word, end_word FROM (
 """
 
 
+SEARCH_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), corpus AS (
+  SELECT count(*)::BIGINT AS N, sum(len(terms))::BIGINT AS L FROM docs WHERE len(terms) > 0
+), counted AS (
+  SELECT row, term, count(*)::BIGINT AS tf FROM (SELECT row, unnest(terms) AS term FROM docs) GROUP BY row, term
+), weighted AS (
+  SELECT term, floor(1000 * ln((2 * N + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM counted, corpus GROUP BY term, N
+), asked AS (
+  SELECT item, item_id, term, count(*)::BIGINT AS times FROM (
+    SELECT row_number() OVER () AS item, item_id,
+           unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark
+  ) GROUP BY item, item_id, term
+), sized AS (
+  SELECT row, doc_id, 100 - 25 + ((25 * len(terms)::BIGINT * N) // L) AS m FROM docs, corpus WHERE len(terms) > 0
+), scored AS (
+  SELECT item, item_id, row, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM asked JOIN weighted USING (term) JOIN counted USING (term) JOIN sized USING (row) GROUP BY item, item_id, row, doc_id
+)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0
+) WHERE rank <= 20
+"""
+
+
 def license_sql() -> str:
     """Every window against every template of its length, without hashes."""
     rows = []
@@ -205,5 +251,5 @@ QUALIFY row_number() OVER (PARTITION BY row, license ORDER BY containment DESC,
 
 ORACLES: dict[str, str] = {
     "op2_mix_sources": MIX_SQL, "op3_repeated_passages": REPEATS_SQL, "op4_exact_topk": TOPK_SQL, "op6_quality_rules": QUALITY_SQL,
-    "op10_license_scan": license_sql(),
+    "op10_license_scan": license_sql(), "op12_lexical_search": SEARCH_SQL,
 }

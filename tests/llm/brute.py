@@ -148,3 +148,51 @@ def unigram(rows):
         own = tokens(text)
         out.append((h, len(own), sum(count[t] > 0 for t in own), n, sum(math.log10((count[t] + 1) / (n + v + 1)) for t in own)))
     return out
+
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def terms(text):
+    return TERM.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def lexical(docs, items, top=20):
+    """(item_id, rank, doc_id, score) of rows of (id, text)."""
+    held = [(doc_id, Counter(terms(text))) for doc_id, text in docs]
+    held = [(doc_id, c) for doc_id, c in held if c]
+    n, length = len(held), sum(sum(c.values()) for _, c in held)
+    df = Counter(t for _, c in held for t in c)
+    out = []
+    for item_id, text in items:
+        asked = terms(text)
+        scored = []
+        for doc_id, c in held:
+            m = 100 - 25 + (25 * sum(c.values()) * n) // length
+            score = sum(
+                math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) * ((1_000_000_000 * c[t]) // (1000 * c[t] + 12 * m)) for t in asked if c[t]
+            )
+            if score > 0:
+                scored.append((-score, doc_id is None, doc_id or 0, doc_id))
+        out += [(item_id, rank, x[3], -x[0]) for rank, x in enumerate(sorted(scored)[:top], 1)]
+    return out
+
+
+def whitened(rows, k=4):
+    """(vec_id, component) to (n, deviation, |whitened|, explained); one length of vectors."""
+    import numpy as np
+
+    kept = [(i, [math.floor(256 * c) for c in v]) for i, v in rows if v and all(c is not None and math.isfinite(c) for c in v)]
+    fit = sorted({tuple(x) for _, x in kept})
+    n, sums = len(fit), [sum(c) for c in zip(*fit, strict=True)]
+    mean = np.array([s / n for s in sums])
+    centred = np.array(fit, float) - mean
+    values, vectors = np.linalg.eigh(centred.T @ centred / n)
+    out = {}
+    for i, x in kept:
+        for c in range(1, min(k, len(values)) + 1):
+            e = values[-c]
+            if e > 1e-9 * max(values[-1], 1e-300):
+                y = (np.array(x) - mean) @ vectors[:, -c] / math.sqrt(e)
+                out.setdefault((i, c), []).append((n, sum((n * a - s) ** 2 for a, s in zip(x, sums, strict=True)), abs(float(y)), float(e / values.sum())))
+    return out
