@@ -88,8 +88,8 @@ def sizes(vault: DataFrame) -> DataFrame:
     return vault.groupBy("session").agg(F.count(F.lit(1)).alias("values"))
 
 
-def remember(candidates: DataFrame, vault: DataFrame, remembered: DataFrame | None = None) -> DataFrame:
-    """Spellings without a placeholder of their own, kept for leak checks.
+def fresh_spellings(candidates: DataFrame, vault: DataFrame, remembered: DataFrame | None = None) -> DataFrame:
+    """Spellings without a placeholder of their own that are not kept yet.
 
     The first placeholder wins; a value stored in its own right, or already
     remembered, is left out. ``candidates`` has session, value, entity_type,
@@ -103,14 +103,25 @@ def remember(candidates: DataFrame, vault: DataFrame, remembered: DataFrame | No
     out = fresh.join(vault.select("session", "value"), ["session", "value"], "left_anti")
     if remembered is not None:
         out = out.join(remembered.select("session", "value"), ["session", "value"], "left_anti")
-        return remembered.unionByName(out)
     return out
 
 
-def mark_merged(entities: DataFrame, merged: DataFrame | None = None) -> DataFrame:
-    """Placeholders that cover several matches (insert only)."""
+def remember(candidates: DataFrame, vault: DataFrame, remembered: DataFrame | None = None) -> DataFrame:
+    """All spellings kept for leak checks, with those of ``candidates``."""
+    fresh = fresh_spellings(candidates, vault, remembered)
+    return fresh if remembered is None else remembered.unionByName(fresh)
+
+
+def fresh_marks(entities: DataFrame, merged: DataFrame | None = None) -> DataFrame:
+    """Placeholders that cover several matches and are not marked yet."""
     new = entities.where(F.col("source") == "merged").select("session", "placeholder").distinct()
-    return new if merged is None else merged.unionByName(new).distinct()
+    return new if merged is None else new.join(merged.select("session", "placeholder"), ["session", "placeholder"], "left_anti")
+
+
+def mark_merged(entities: DataFrame, merged: DataFrame | None = None) -> DataFrame:
+    """All placeholders that cover several matches (insert only)."""
+    new = fresh_marks(entities, merged)
+    return new if merged is None else merged.select("session", "placeholder").unionByName(new)
 
 
 def clear(table: DataFrame, session: str) -> DataFrame:

@@ -769,10 +769,6 @@ def _stream(spark, sf, name, transform, label):
 
     from .runtime import shared_folder
 
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
     base = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     schema = table(spark, sf, name).schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
@@ -784,12 +780,82 @@ def _stream(spark, sf, name, transform, label):
     return spark.read.parquet(f"{base}/out")
 
 
-def stream_masked(spark, sf):
-    from ..streaming.mask import mask_stream
+def _folder(spark, label):
+    import uuid
 
-    shape = lambda d: mask_stream(d.select(
-        F.col("source").alias("session"), F.col("doc_id").alias("seq"), F.lit(0).alias("section"), "text"))
-    return _stream(spark, sf, "documents", shape, "masked").select("session", "seq", "masked")
+    from .runtime import shared_folder
+
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _arriving(spark, rows, order, parts, folder):
+    """Rows as a stream of files that came one after the other: ``parts`` ranges of ``order``."""
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    part = F.floor((F.col(order) - low) * parts / (high - low + 1))
+    for k in range(parts):
+        rows.where(part == k).coalesce(1).write.parquet(f"{folder}/{k:03d}")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+
+
+def stream_masked(spark, sf, parts=3):
+    """Documents that come in several batches, one of them twice, masked into a log of tables."""
+    from ..sources.store import TableLog
+    from ..streaming.mask import mask_batch, mask_stream
+
+    base, rows = _folder(spark, "masked"), sections(spark, sf)
+    mask_stream(_arriving(spark, rows, "seq", parts, f"{base}/in"), f"{base}/log", f"{base}/checkpoint").awaitTermination()
+    log = TableLog(spark, f"{base}/log")
+    again = spark.read.schema(rows.schema).parquet(f"{base}/in/000")
+    if mask_batch(log, again, 0) is not None:
+        raise AssertionError("a batch that was in the log was written again")
+    return log.read()["masked"].select("session", "seq", "masked")
+
+
+def vault_log(spark, sf):
+    """Three batches of orders, a writer that died between them, and one session read from its bucket."""
+    from ..sources.store import TableLog
+
+    log, rows = TableLog(spark, _folder(spark, "vault")), _name_entities(spark, sf)
+    low, high = rows.agg(F.min("seq"), F.max("seq")).first()
+    part = F.floor((F.col("seq") - low) * 3 / (high - low + 1))
+    for k in range(3):
+        own = pin(rows.where(part == k))
+        if k:
+            log.claim("dead", lease_seconds=0)
+        log.claim("next")
+        held = log.read(sessions=own).get("values")
+        log.append({"values": vault.assign(own, held)}, owner="next", writer="orders", batch=k)
+    log.compact(many=2)
+    return log.read(session="5-LOW")["values"].select("session", "entity_type", "number", "placeholder", "value")
+
+
+def stream_restored(spark, sf):
+    """Replies in pieces of one to nine characters, restored as they come; the vault is customers'."""
+    from ..sources.store import TableLog
+    from ..streaming.mask import replies, restore_stream
+
+    base = _folder(spark, "restored")
+    number = F.col("c_custkey") + 1
+    names = table(spark, sf, "customer").select(
+        F.concat(F.lit("s"), number % 7).alias("session"), F.lit("PERSON").alias("entity_type"), number.alias("number"),
+        P.format_placeholder(F.lit("PERSON"), number).alias("placeholder"), F.col("c_name").alias("value"),
+    )
+    TableLog(spark, f"{base}/vault").append({"values": names})
+    c = table(spark, sf, "conversations")
+    who = (F.col("conv_id") % 20 + 1).cast("string")
+    text = F.concat(F.lit("Dear [PERSON_"), who, F.lit("], "), "text", F.lit(" [person 0"), who, F.lit("] [PERSON_"), who, F.lit("0"))
+    size = (F.col("conv_id") % 9 + 1).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length("t") - 1) / size).cast("int")), lambda i: F.substr("t", i * size + 1, size))
+    stream = F.concat(F.lit("s"), (F.col("conv_id") % 20 + 1) % 7, F.lit("/"), "conv_id", F.lit("-"), "turn")
+    each = c.select(stream.alias("stream_id"), "conv_id", text.alias("t")).select("stream_id", "conv_id", pieces.alias("p"))
+    each = each.select("stream_id", "conv_id", F.size("p").alias("n"), F.posexplode("p").alias("seq", "piece")).select(
+        "stream_id", "conv_id", F.col("seq").cast("bigint").alias("seq"), "piece", (F.col("seq") == F.col("n") - 1).alias("is_final"))
+    # Halves of every reply come in different files.
+    stream = _arriving(spark, each.withColumn("half", F.col("seq") % 2), "half", 2, f"{base}/in")
+    restore_stream(
+        stream, f"{base}/vault", f"{base}/log", f"{base}/checkpoint", session=F.substring_index("stream_id", "/", 1)
+    ).awaitTermination()
+    return replies(TableLog(spark, f"{base}/log").read()["restored"]).select("stream_id", F.md5("text").alias("digest"))
 
 
 def stream_settled(spark, sf):
@@ -834,6 +900,6 @@ for _f in (
     ledger_replay, ledger_seen, ledger_tools, evaluate_scores, evaluate_coverage, evaluate_characters,
     evaluate_overmasked, evaluate_leaks, evaluate_restoration, evaluate_latency, evaluate_regressions,
     corpus_fingerprints, activity_summary, activity_occurrences, activity_retention, probes_verified,
-    support_totals, stream_settled,
+    support_totals, stream_settled, stream_masked, stream_restored, vault_log,
 ):
     QUERIES[_f.__name__] = _f

@@ -91,13 +91,14 @@ def mask_rows(
 
 
 class MaskOutput(NamedTuple):
-    """Everything a masking run produces, as tables."""
+    """Everything a masking run produces, as tables; ``added`` is what it added to the vault's."""
 
     masked: DataFrame
     entities: DataFrame
     vault: DataFrame
     remembered: DataFrame
     merged: DataFrame
+    added: dict[str, DataFrame]
 
 
 KEYS = ["session", "seq", "section"]
@@ -152,8 +153,13 @@ def mask_sessions(
         spellings = aliases.select(
             "session", "seq", "section", "start", "placeholder", "value", "entity_type"
         )
-    keep = V.remember(members.unionByName(spellings), full, remembered)
-    return MaskOutput(masked, placed, full, keep, V.mark_merged(placed, merged))
+    kept = V.fresh_spellings(members.unionByName(spellings), full, remembered)
+    marks = V.fresh_marks(placed, merged)
+    return MaskOutput(
+        masked, placed, full, kept if remembered is None else remembered.unionByName(kept),
+        marks if merged is None else merged.select("session", "placeholder").unionByName(marks),
+        {"values": new, "remembered": kept, "merged": marks},
+    )
 
 
 def round_trip(

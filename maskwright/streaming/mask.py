@@ -1,15 +1,24 @@
-"""Streams: masking with a vault that grows, restoring piece by piece."""
+"""Streams: masking with a vault that grows, restoring piece by piece.
 
-from collections.abc import Iterator
+Every micro-batch is one version of a log of tables (``sources.store``): what it
+adds to the vault and what it masked are seen together or not at all. The
+batch's number is kept with the version, so a batch that comes again is known.
+"""
+
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import fixed as X
-from ..operators.detect import detect
-from ..operators.resolve import resolve
+from ..operators import vault as V
+from ..operators.restore import restore
+from ..plans.masking import KEYS, mask_sessions
+from ..plans.runtime import pin
+from ..sources.store import Conflict, State, TableLog
 
 # What opens a placeholder, what may stand in it, and how long it may be.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -49,134 +58,176 @@ def settled(text: str, before: str, tolerant: bool, final: bool) -> int:
     return len(text)
 
 
-class _Pieces(StatefulProcessor):
-    """Per stream: put pieces in order, and pass on what is settled.
+READY = "stream_id string, seq bigint, before string, text string, is_final boolean"
+#: The held-back end (under 76 characters), one character before it, the next numbers in and out,
+#: and pieces that came early; a piece that is next in its own batch never becomes state.
+TAIL = (
+    "pending string, before string, expected bigint, number bigint, "
+    "early_seq array<bigint>, early_piece array<string>, early_final array<boolean>"
+)
 
-    State is the held-back end (under 76 characters), one character before
-    it, the next number, and pieces that came early.
-    """
 
-    def __init__(self, tolerant: bool, ttl_ms: int | None) -> None:
-        self.tolerant, self.ttl_ms = tolerant, ttl_ms
+def settle_stream(
+    pieces: DataFrame, tolerant: bool = True, ttl_days: float | None = None
+) -> DataFrame:
+    """Regroup a stream of pieces so that no placeholder is split over two rows.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.tail = handle.getValueState("tail", "pending string, before string, next bigint, out bigint", self.ttl_ms)
-        self.early = handle.getMapState("early", "seq bigint", "piece string, is_final boolean", self.ttl_ms)
+    ``pieces`` has stream_id, seq, piece, is_final. Each row out can be
+    restored by itself with the batch operators. Pieces may come in any order;
+    a stream of which nothing came for ``ttl_days`` is given up.
+    """
+    ttl = None if ttl_days is None else int(ttl_days * 86_400_000)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pending, before, expected, number = self.tail.get() if self.tail.exists() else ("", "", 0, 0)
-        for batch in rows:
+    def pass_on(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        pending, before, expected, number, *early = state.get if state.exists else ("", "", 0, 0, [], [], [])
+        come = {int(seq): (piece, bool(last)) for seq, piece, last in zip(*early)}
+        for batch in batches:
             for seq, piece, last in zip(batch["seq"], batch["piece"], batch["is_final"]):
                 if seq >= expected:
-                    self.early.updateValue((int(seq),), (piece, bool(last)))
-        out = []
-        while self.early.containsKey((expected,)):
-            piece, last = self.early.getValue((expected,))
-            self.early.removeKey((expected,))
+                    come[int(seq)] = (piece or "", bool(last))
+        ready, finished = [], False
+        while expected in come:
+            piece, last = come.pop(expected)
+            ready.append(piece)
+            finished |= last
             expected += 1
-            pending += piece or ""
-            n = settled(pending, before, self.tolerant, last)
-            if n or last:
-                out.append((key[0], number, before, pending[:n], last))
+        out = []
+        if ready:
+            pending += "".join(ready)
+            n = settled(pending, before, tolerant, finished)
+            if n or finished:
+                out.append((key[0], number, before, pending[:n], finished))
                 number += 1
                 before = pending[n - 1 : n] or before
                 pending = pending[n:]
-        self.tail.update((pending, before, expected, number))
+        state.update((
+            pending, before, expected, number, list(come), [piece for piece, _ in come.values()], [last for _, last in come.values()],
+        ))
+        if ttl:
+            state.setTimeoutDuration(ttl)
         if out:
             yield pd.DataFrame(out, columns=["stream_id", "seq", "before", "text", "is_final"])
 
-    def close(self) -> None:
-        pass
+    narrow = pieces.select("stream_id", "seq", "piece", "is_final")
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl else GroupStateTimeout.NoTimeout
+    return narrow.groupBy("stream_id").applyInPandasWithState(pass_on, READY, TAIL, "Append", timeout)
 
 
-READY = "stream_id string, seq bigint, before string, text string, is_final boolean"
+#: How often a batch starts over because another writer was first.
+ATTEMPTS = 8
 
 
-def settle_stream(
-    pieces: DataFrame, tolerant: bool = True, ttl_days: float | None = None
-) -> DataFrame:
-    """Regroup a stream of pieces so that no placeholder is split over two rows.
+def _once(log: TableLog, writer: str, batch_id: int, make: Callable[[State], dict[str, DataFrame]]) -> int | None:
+    """Commit what ``make`` gives for the newest version; None if this batch is in the log already."""
+    for attempt in range(ATTEMPTS):
+        state = log.state()
+        if batch_id <= state.batches.get(writer, -1):
+            return None
+        try:
+            return log.append(make(state), after=state.version, writer=writer, batch=batch_id)
+        except Conflict:
+            if attempt + 1 == ATTEMPTS:
+                raise
+    return None
 
-    ``pieces`` has stream_id, seq, piece, is_final. Each row out can be
-    restored by itself with the batch operators.
+
+def mask_batch(log: TableLog, rows: DataFrame, batch_id: int, *, writer: str = "mask", text: str = "text", **options) -> int | None:
+    """Mask one micro-batch of ``session, seq, section`` and a text, and commit it.
+
+    Only the buckets of the batch's sessions are read. Numbers continue from
+    theirs by a distributed running total, so no session has to fit in a task.
+    Tables: ``values``, ``remembered``, ``merged``, ``uses`` (when a session was
+    last used) and ``masked``, which holds no original text.
     """
-    ttl = None if ttl_days is None else int(ttl_days * 86_400_000)
-    narrow = pieces.select("stream_id", "seq", "piece", "is_final")
-    return narrow.groupBy("stream_id").transformWithStateInPandas(
-        _Pieces(tolerant, ttl), READY, "Append", "ProcessingTime" if ttl else "None"
-    )
+    rows = pin(rows.select(*KEYS, F.col(text).alias("text")))
+    sessions = rows.select("session").distinct()
 
+    def make(state: State) -> dict[str, DataFrame]:
+        held = log.read(sessions=sessions, state=state)
+        out = mask_sessions(rows, held.get("values"), remembered=held.get("remembered"), merged=held.get("merged"), **options)
+        return {
+            **out.added, "masked": out.masked.select(*KEYS, "masked"),
+            "uses": sessions.withColumn("last_used", F.current_timestamp()),
+        }
 
-def restore_batch(settled_rows: DataFrame, vault: DataFrame, tolerant: bool = True) -> DataFrame:
-    """Restore settled rows inside a micro-batch (for ``foreachBatch``)."""
-    from ..operators.restore import restore
+    return _once(log, writer, batch_id, make)
+
+
+def mask_stream(
+    sections: DataFrame, path: str, checkpoint: str, *, writer: str = "mask", ttl_days: float | None = None, **options
+) -> StreamingQuery:
+    """Start masking a stream of sections into the log at ``path``, until its source is read.
+
+    A session's rows must come in reading order; joined, all batches then hold
+    what one batch over all rows would. With ``ttl_days`` sessions not used
+    for so long are forgotten after each batch, and their numbers begin anew.
+    """
+    low, high, _ = X.RETENTION_DAYS
+    if ttl_days is not None and not low <= ttl_days <= high:
+        raise ValueError(f"retention must be {low} to {high} days")
+    log = TableLog(sections.sparkSession, path)
+
+    def each(rows: DataFrame, batch_id: int) -> None:
+        mask_batch(log, rows, batch_id, writer=writer, **options)
+        if ttl_days is not None:
+            expire(log, ttl_days)
+
+    return sections.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def expire(log: TableLog, ttl_days: float, now=None) -> int | None:
+    """Forget sessions unused for longer than the interval, in every table but what was masked."""
+    held = log.read()
+    if "uses" not in held:
+        return None
+    sessions = held["uses"].groupBy("session").agg(F.max("last_used").alias("last_used"))
+    moment = held["uses"].select(F.current_timestamp()).first() if now is None else [now]
+    if moment is None:
+        return None
+    gone = pin(V.purge({}, sessions, ttl_days, moment[0])["purged"])
+    return None if gone.isEmpty() else log.remove(gone, keep=("masked",))
 
+
+def restore_batch(settled_rows: DataFrame, vault: DataFrame, tolerant: bool = True) -> DataFrame:
+    """Restore settled rows, which name their ``session``, inside a micro-batch."""
     rows = settled_rows.withColumn("_body", F.concat("before", "text"))
-    out = restore(rows, vault, ["stream_id", "seq"], text="_body", tolerant=tolerant)
+    out = restore(rows, vault, ["session", "stream_id", "seq"], text="_body", tolerant=tolerant)
     return out.withColumn(
         "restored", F.substr("restored", F.length("before") + 1)
     ).drop("_body")
 
 
-class _Numbers(StatefulProcessor):
-    """Per session: value to placeholder, and the last number of each type."""
-
-    def __init__(self, ttl_ms: int | None) -> None:
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.values = handle.getMapState("values", "value string", "placeholder string", self.ttl_ms)
-        self.last = handle.getMapState("last", "entity_type string", "number bigint", self.ttl_ms)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["seq", "section"], kind="stable")
-        edits = []
-        for row in batch.itertuples():
-            placed = []
-            for s in row.spans:
-                value, kind = s["value"], s["entity_type"]
-                if self.values.containsKey((value,)):
-                    name = self.values.getValue((value,))[0]
-                else:
-                    number = (self.last.getValue((kind,))[0] if self.last.containsKey((kind,)) else 0) + 1
-                    name = f"[{kind}_{number}]"
-                    self.last.updateValue((kind,), (number,))
-                    self.values.updateValue((value,), (name,))
-                placed.append({"start": int(s["start"]), "end": int(s["end"]), "new": name, "value": value})
-            edits.append((key[0], int(row.seq), int(row.section), row.text, placed))
-        yield pd.DataFrame(edits, columns=["session", "seq", "section", "text", "edits"])
-
-    def close(self) -> None:
-        pass
-
-
-PLACED = (
-    "session string, seq bigint, section int, text string, "
-    "edits array<struct<start:int,end:int,new:string,value:string>>"
-)
+def restore_stream(
+    pieces: DataFrame, vault_path: str, path: str, checkpoint: str, *, session: Column, writer: str = "restore", tolerant: bool = True,
+) -> StreamingQuery:
+    """Start restoring a stream of pieces (stream_id, seq, piece, is_final) into the log at ``path``.
 
+    Pieces are settled first; each micro-batch is then restored from the
+    newest vault, of which only its sessions' buckets are read. ``session``
+    tells the vault's session of a ``stream_id``. The table ``restored`` has
+    ``session, stream_id, seq, restored, is_final``: a stream's rows in the order
+    of ``seq`` are the reply, each one settled when it was written.
+    """
+    spark = pieces.sparkSession
+    log, vaults = TableLog(spark, path), TableLog(spark, vault_path)
 
-def mask_stream(sections: DataFrame, ttl_days: float | None = X.RETENTION_DAYS[2], **options) -> DataFrame:
-    """Mask a stream of sections; numbers continue over micro-batches.
+    def each(rows: DataFrame, batch_id: int) -> None:
+        rows = pin(rows.withColumn("session", session))
 
-    Detection and rebuilding are column expressions; only numbering is
-    stateful. State of a session unused for ``ttl_days`` expires.
-    """
-    from ..functions.placeholders import splice
+        def make(state: State) -> dict[str, DataFrame]:
+            held = vaults.read(sessions=rows.select("session"))
+            return {"restored": restore_batch(rows, held["values"], tolerant).select("session", "stream_id", "seq", "restored", "is_final")}
 
-    low, high, _ = X.RETENTION_DAYS
-    if ttl_days is not None and not low <= ttl_days <= high:
-        raise ValueError(f"retention must be {low} to {high} days")
-    ttl = None if ttl_days is None else int(ttl_days * 86_400_000)
-    found = resolve(detect(sections.select("session", "seq", "section", "text"), **options))
-    narrow = found.select(
-        "session", "seq", "section", "text",
-        F.transform(
-            "kept",
-            lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), s["entity_type"].alias("entity_type")),
-        ).alias("spans"),
-    )
-    placed = narrow.groupBy("session").transformWithStateInPandas(
-        _Numbers(ttl), PLACED, "Append", "ProcessingTime" if ttl else "None"
-    )
-    return placed.withColumn("masked", splice(F.col("text"), F.col("edits")))
+        _once(log, writer, batch_id, make)
+
+    ready = settle_stream(pieces, tolerant)
+    return ready.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def replies(restored: DataFrame) -> DataFrame:
+    """``session, stream_id, text``: the rows of each reply joined in order."""
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "restored"))), lambda t: t["restored"]), "")
+    return restored.groupBy("session", "stream_id").agg(whole.alias("text"))
