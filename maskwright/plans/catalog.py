@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import pii
 from ..functions import placeholders as P
 from ..functions.spans import SPANS, span
-from ..operators import checks, evaluate, jsondata, known, ledger, normalize, review, search, vault
+from ..operators import checks, evaluate, intervals, jsondata, known, ledger, normalize, review, search, vault
 from ..operators.detect import detect
 from ..operators.resolve import greedy, merge_islands, resolve, resolve_leftmost, resolve_overlaps
 from ..operators.restore import restore, restore_rows, trace_masks
@@ -391,6 +391,29 @@ def resolve_spans_leftmost(spark, sf):
     return kept.select("doc", F.col("s.start").cast("bigint").alias("start"), F.col("s.end").cast("bigint").alias("end"))
 
 
+def _text_of_lines(spark, sf):
+    """All line items as spans of one text (of ten million orders each)."""
+    at = F.col("doc") % 10_000_000 * 128
+    return _line_spans(spark, sf).select(
+        (F.col("doc") / 10_000_000).cast("bigint").alias("text"), (at + F.col("start")).cast("int").alias("start"),
+        (at + F.col("end")).cast("int").alias("end"), F.repeat(F.lit("x"), F.col("end") - F.col("start")).alias("value"),
+        "entity_type", F.lit("made").alias("source"), "priority", F.ascii("entity_type").alias("rule"),
+    )
+
+
+def resolve_one_text(spark, sf):
+    """Rounds decide the islands of more than four spans."""
+    kept = intervals.resolve_table(_text_of_lines(spark, sf), ["text"], few=4)
+    return kept.select("text", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "entity_type")
+
+
+def merge_partial_spans(spark, sf):
+    out = intervals.merge_partial_table(_text_of_lines(spark, sf), ["text"], few=4)
+    return out.select(
+        "text", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "entity_type", "source", "members"
+    )
+
+
 def dedupe_spans(spark, sf):
     out = _line_arrays(spark, sf).select("doc", pii.dedupe(F.concat("spans", "spans")).alias("spans"))
     return out.select("doc", F.explode("spans").alias("s")).select(
@@ -900,6 +923,6 @@ for _f in (
     ledger_replay, ledger_seen, ledger_tools, evaluate_scores, evaluate_coverage, evaluate_characters,
     evaluate_overmasked, evaluate_leaks, evaluate_restoration, evaluate_latency, evaluate_regressions,
     corpus_fingerprints, activity_summary, activity_occurrences, activity_retention, probes_verified,
-    support_totals, stream_settled, stream_masked, stream_restored, vault_log,
+    support_totals, resolve_one_text, merge_partial_spans, stream_settled, stream_masked, stream_restored, vault_log,
 ):
     QUERIES[_f.__name__] = _f

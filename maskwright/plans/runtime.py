@@ -75,6 +75,33 @@ def running_total(
     )
 
 
+def sweep(df: DataFrame, group: list[str], at: str, reach: list[str]) -> DataFrame:
+    """Walk the points ``at`` of each group: unique points, in order, in equal parts.
+
+    Every column of ``reach`` becomes its largest value up to the point, and
+    ``next`` the following point (null at a group's last). A group may be as large as
+    the table; like in ``running_total`` a part hands on one row per group that
+    goes on in another part, so what is broadcast has at most one row per part.
+    """
+    n = partitions(df.sparkSession)
+    ranged = pin(df.repartitionByRange(n, *group, at).withColumn("_part", F.spark_partition_id()))
+    here = Window.partitionBy("_part", *group).orderBy(at)
+    upto = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = Window.partitionBy(*group).orderBy("_part")
+    earlier = parts.rowsBetween(Window.unboundedPreceding, -1)
+    ends = ranged.groupBy("_part", *group).agg(F.min(at).alias("_first"), *[F.max(c).alias(f"_max_{c}") for c in reach])
+    handed = ends.select(
+        "_part", *group, F.lead("_first").over(parts).alias("_next"), *[F.max(f"_max_{c}").over(earlier).alias(f"_before_{c}") for c in reach],
+    ).where(F.col("_next").isNotNull() | F.greatest(*[F.col(f"_before_{c}").isNotNull().cast("int") for c in reach], F.lit(0)).cast("boolean"))
+    walked = ranged.select(
+        "_part", *group, at, F.lead(at).over(here).alias("next"), *[F.max(c).over(upto).alias(c) for c in reach]
+    ).join(F.broadcast(handed), ["_part", *group], "left")
+    return walked.select(
+        *group, at, F.coalesce("next", "_next").alias("next"),
+        *[F.greatest(c, f"_before_{c}").alias(c) for c in reach],
+    )
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Give every core work when the input is one small unsplittable file.
 
