@@ -769,15 +769,53 @@ def activity_retention(spark, sf):
     return out.select("session_ref", "requests")
 
 
-def probes_verified(spark, sf):
-    e = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "value", "event_type")
+def _probes(events):
+    """Even events are probes; odd ones that are no views answer the probe before them."""
     token = (F.col("event_id") / 2).cast("bigint").cast("string")
-    probes = e.where("event_id % 2 = 0").select(token.alias("token"), F.col("ts").alias("created"))
-    answers = e.where("event_id % 2 = 1 and event_type <> 'view'").select(
+    probes = events.where("event_id % 2 = 0").select(token.alias("token"), F.col("ts").alias("created"))
+    answers = events.where("event_id % 2 = 1 and event_type <> 'view'").select(
         token.alias("token"), "ts", F.lit(True).alias("masked"), (F.col("value") < 100).alias("forwarded"),
         F.lit(True).alias("restored"), F.lit(True).alias("completed"),
     )
-    return activity.verify_probes(probes, answers).select("token", "state")
+    return probes, answers
+
+
+def _timed_events(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "value", "event_type")
+
+
+def probes_verified(spark, sf):
+    return activity.verify_probes(*_probes(_timed_events(spark, sf))).select("token", "state")
+
+
+def stream_probes(spark, sf):
+    """Probes and answers as two streams of files; what the stream leaves open is pending."""
+    base, events = _folder(spark, "probes"), _timed_events(spark, sf)
+    probes, answers = _probes(_arriving(spark, events, "event_id", 3, f"{base}/in"))
+    run = (
+        activity.verify_probes_stream(probes, answers).writeStream.format("parquet").option("path", f"{base}/out")
+        .option("checkpointLocation", f"{base}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+    )
+    run.awaitTermination()
+    settled = spark.read.schema("token string, created timestamp, state string").parquet(f"{base}/out")
+    asked, _ = _probes(events)
+    return settled.unionByName(activity.open_probes(asked, settled)).select("token", "state")
+
+
+def stream_activity(spark, sf):
+    """Requests in four files, every seventeenth a file late: counted in time, or in the late sink."""
+    from ..sources.store import TableLog
+
+    base, rows = _folder(spark, "activity"), _requests(spark, sf)
+    low, high = rows.agg(F.min("request_id"), F.max("request_id")).first()
+    step = (high - low + 4) // 4
+    come = rows.withColumn("arrival", F.least(F.lit(3), F.floor((F.col("request_id") - low) / step) + (F.col("request_id") % 17 == 0).cast("int")))
+    activity.activity_stream(_arriving(spark, come, "arrival", 4, f"{base}/in"), f"{base}/log", f"{base}/checkpoint").awaitTermination()
+    log = TableLog(spark, f"{base}/log")
+    late = log.read()["late"].groupBy(activity.session_ref(F.col("session"), SALT).alias("session_ref")).agg(F.count(F.lit(1)).alias("late"))
+    return activity.activity_totals(log, SALT).join(late, "session_ref", "full").select(
+        "session_ref", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("requests", "forwarded", "completed", "failed", "late")]
+    )
 
 
 def support_totals(spark, sf):
@@ -923,6 +961,6 @@ for _f in (
     ledger_replay, ledger_seen, ledger_tools, evaluate_scores, evaluate_coverage, evaluate_characters,
     evaluate_overmasked, evaluate_leaks, evaluate_restoration, evaluate_latency, evaluate_regressions,
     corpus_fingerprints, activity_summary, activity_occurrences, activity_retention, probes_verified,
-    support_totals, resolve_one_text, merge_partial_spans, stream_settled, stream_masked, stream_restored, vault_log,
+    support_totals, resolve_one_text, merge_partial_spans, stream_settled, stream_masked, stream_restored, stream_probes, stream_activity, vault_log,
 ):
     QUERIES[_f.__name__] = _f

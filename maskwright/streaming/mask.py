@@ -5,7 +5,7 @@ adds to the vault and what it masked are seen together or not at all. The
 batch's number is kept with the version, so a batch that comes again is known.
 """
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,7 +18,7 @@ from ..operators import vault as V
 from ..operators.restore import restore
 from ..plans.masking import KEYS, mask_sessions
 from ..plans.runtime import pin
-from ..sources.store import Conflict, State, TableLog
+from ..sources.store import State, TableLog
 
 # What opens a placeholder, what may stand in it, and how long it may be.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -116,24 +116,6 @@ def settle_stream(
     return narrow.groupBy("stream_id").applyInPandasWithState(pass_on, READY, TAIL, "Append", timeout)
 
 
-#: How often a batch starts over because another writer was first.
-ATTEMPTS = 8
-
-
-def _once(log: TableLog, writer: str, batch_id: int, make: Callable[[State], dict[str, DataFrame]]) -> int | None:
-    """Commit what ``make`` gives for the newest version; None if this batch is in the log already."""
-    for attempt in range(ATTEMPTS):
-        state = log.state()
-        if batch_id <= state.batches.get(writer, -1):
-            return None
-        try:
-            return log.append(make(state), after=state.version, writer=writer, batch=batch_id)
-        except Conflict:
-            if attempt + 1 == ATTEMPTS:
-                raise
-    return None
-
-
 def mask_batch(log: TableLog, rows: DataFrame, batch_id: int, *, writer: str = "mask", text: str = "text", **options) -> int | None:
     """Mask one micro-batch of ``session, seq, section`` and a text, and commit it.
 
@@ -153,7 +135,7 @@ def mask_batch(log: TableLog, rows: DataFrame, batch_id: int, *, writer: str = "
             "uses": sessions.withColumn("last_used", F.current_timestamp()),
         }
 
-    return _once(log, writer, batch_id, make)
+    return log.once(writer, batch_id, make)
 
 
 def mask_stream(
@@ -221,7 +203,7 @@ def restore_stream(
             held = vaults.read(sessions=rows.select("session"))
             return {"restored": restore_batch(rows, held["values"], tolerant).select("session", "stream_id", "seq", "restored", "is_final")}
 
-        _once(log, writer, batch_id, make)
+        log.once(writer, batch_id, make)
 
     ready = settle_stream(pieces, tolerant)
     return ready.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
