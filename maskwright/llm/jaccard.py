@@ -45,6 +45,8 @@ DEPTH = 4
 SPLITS = 2
 #: A node whose members share this much on average is not split further.
 DENSE = 0.6
+#: Of a large node, the sketches of about so many members say whether it is such a one.
+WITNESSES = 64
 #: Bytes of a shingle's hash in the sets that are compared: two different shingles of two
 #: texts of a thousand each agree with a chance of one in a million.
 BYTES = 5
@@ -136,28 +138,31 @@ def members_schema(key: T.DataType) -> T.StructType:
     return T.StructType([T.StructField("_key", key), T.StructField("class", T.BinaryType()), T.StructField("nodes", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
 
 
-def paths(keys: np.ndarray, large: list[int]) -> tuple[list[int], list[int], list[np.ndarray]]:
-    """Where a set goes from its large nodes, level by level, should they be split: levels, parents, children."""
-    levels: list[int] = []
+def paths(keys: np.ndarray, large: list[int]) -> tuple[list[int], np.ndarray]:
+    """Where a set goes from its large nodes when they are split: parents and children."""
     parents: list[int] = []
-    nodes: list[np.ndarray] = []
-    for level in range(1, DEPTH):
-        following: list[int] = []
-        for parent in large:
-            salt = np.uint64((parent * _BASE + 77) & 0xFFFFFFFFFFFFFFFF)
-            took = keys[picked(keys, np.float64(len(keys)), SPLITS, salt)]
-            own = mix(took + salt).view(np.int64)
-            levels += [level] * len(own)
-            parents += [parent] * len(own)
-            nodes.append(own)
-            following += own.tolist()
-        large = following
-    return levels, parents, nodes
-
-
-PATHS = T.ArrayType(T.StructType([
-    T.StructField("level", T.IntegerType()), T.StructField("parent", T.LongType()), T.StructField("child", T.LongType()),
-]))
+    nodes: list[np.ndarray] = [np.zeros(0, np.int64)]
+    for parent in large:
+        salt = np.uint64((parent * _BASE + 77) & 0xFFFFFFFFFFFFFFFF)
+        took = keys[picked(keys, np.float64(len(keys)), SPLITS, salt)]
+        parents += [parent] * len(took)
+        nodes.append(mix(took + salt).view(np.int64))
+    return parents, np.concatenate(nodes)
+
+
+def path_lists(sets: list[np.ndarray], large: list[list[int] | None]) -> pa.ListArray:
+    """The paths of each set, as lists of parent and child."""
+    parents, children, ends = [], [np.zeros(0, np.int64)], [0]
+    for keys, nodes in zip(sets, large, strict=True):
+        own, reached = paths(keys, nodes or [])
+        parents += own
+        children.append(reached)
+        ends.append(len(parents))
+    items = pa.StructArray.from_arrays([pa.array(parents, pa.int64()), pa.array(np.concatenate(children))], ["parent", "child"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)
+
+
+PATHS = T.ArrayType(T.StructType([T.StructField("parent", T.LongType()), T.StructField("child", T.LongType())]))
 
 
 def packed(keys: np.ndarray) -> bytes:
@@ -300,13 +305,13 @@ def classes_of(docs: DataFrame, key: str, text: str, times: int) -> DataFrame:
 
 def sets_of(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
     """``class``, ``copies``, ``set`` and the ``paths`` from its large nodes, for the ``wanted``
-    (``_rep``, ``class``, ``copies``, ``large``).
+    (``_rep``, ``class``, ``copies``, ``large``: nodes).
 
     Texts go through one shuffle by key, and only those of classes that met
     another are turned into sets.
     """
     texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    rows = texts.join(wanted, F.col("_key").eqNullSafe(F.col("_rep"))).select("class", "copies", F.col("large.node").alias("large"), "_text")
+    rows = texts.join(wanted, F.col("_key").eqNullSafe(F.col("_rep"))).select("class", "copies", "large", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,30 +321,64 @@ def sets_of(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFram
                 at += len(own)
                 right = [i for i, x in enumerate(part.column("class").to_pylist()) if x == own[i]]  # else another text of this key
                 kept = part.take(pa.array(right, pa.int64()))
-                sets, steps, ends = [], ([], [], [np.zeros(0, np.int64)]), [0]
-                for i, large in zip(right, kept.column("large").to_pylist(), strict=True):
-                    mine = keys[bounds[i] : bounds[i + 1]]
-                    sets.append(packed(mine))
-                    for total, more in zip(steps, paths(mine, large or []), strict=True):
-                        total.extend(more)
-                    ends.append(len(steps[0]))
-                items = pa.StructArray.from_arrays(
-                    [pa.array(steps[0], pa.int32()), pa.array(steps[1], pa.int64()), pa.array(np.concatenate(steps[2]))], ["level", "parent", "child"]
-                )
+                # As they are kept, in whole bytes: deeper splits start from the kept sets.
+                sets = [packed(keys[bounds[i] : bounds[i + 1]]) for i in right]
+                steps = path_lists([unpacked(x) for x in sets], kept.column("large").to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    [kept.column("class"), kept.column("copies"), pa.array(sets, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)],
-                    ["class", "copies", "set", "paths"],
+                    [kept.column("class"), kept.column("copies"), pa.array(sets, pa.binary()), steps], ["class", "copies", "set", "paths"]
                 )
 
     schema = T.StructType([rows.schema["class"], rows.schema["copies"], T.StructField("set", T.BinaryType()), T.StructField("paths", PATHS)])
     return rows.mapInArrow(run, schema)
 
 
-def leaves_of(sizes: DataFrame, steps: DataFrame) -> DataFrame:
+def steps_on(sets: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``class``, ``parent``, ``child``: where the members of some nodes (``class``, ``node``) go from there."""
+    asked = sizes.groupBy("class").agg(F.collect_list("node").alias("large"))
+    rows = sets.select("class", "set").join(asked, "class")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            steps = path_lists([unpacked(x) for x in batch.column("set").to_pylist()], batch.column("large").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("class"), steps], ["class", "paths"])
+
+    schema = T.StructType([T.StructField("class", T.BinaryType()), T.StructField("paths", PATHS)])
+    return rows.mapInArrow(run, schema).select("class", F.explode("paths").alias("p")).select("class", "p.*")
+
+
+@F.arrow_udf(T.DoubleType())
+def mean_agreement(sketches: pa.Array) -> pa.Array:
+    """How much of their ranges the sketches of each list share, in the mean of all its pairs."""
+    out = []
+    for data in sketches.to_pylist():
+        sketch = np.frombuffer(b"".join(data), np.uint8).reshape(-1, RANGES)
+        same = there = 0.0
+        for own in sketch.T:
+            count = np.bincount(own, minlength=256).astype(float)
+            filled = count[1:].sum()
+            same += (count[1:] * (count[1:] - 1)).sum()
+            there += len(own) * (len(own) - 1) - count[0] * (count[0] - 1) if filled else 0.0
+        out.append(same / there if there else 0.0)
+    return pa.array(out, pa.float64())
+
+
+def dense_nodes(large: DataFrame, sketches: DataFrame) -> DataFrame:
+    """``node`` of those whose members are alike throughout, by the sketches of some members chosen by hash.
+
+    Whether a node is split or compared as it is, no pair is lost; this only tells
+    in advance which nodes splitting would multiply without end.
+    """
+    chosen = large.where(F.pmod(F.xxhash64("class", "node"), F.col("n")) < WITNESSES).join(sketches.select("class", "data"), "class")
+    judged = chosen.groupBy("node").agg(F.collect_list("data").alias("data")).select("node", mean_agreement("data").alias("agree"))
+    return judged.where(F.col("agree") >= DENSE).select("node")
+
+
+def leaves_of(sizes: DataFrame, steps: DataFrame, sets: DataFrame) -> DataFrame:
     """``class``, ``node``, ``n``: what is compared of large nodes, after splitting.
 
     ``sizes``: the members of large nodes (``class``, ``node``, ``n``); ``steps``: where each
-    class would go from there (``class``, ``level``, ``parent``, ``child``).
+    class goes from there (``class``, ``parent``, ``child``). Paths are made level by
+    level, for the nodes that are really split.
     """
     done = sizes.limit(0)
     for level in range(1, DEPTH + 1):
@@ -348,8 +387,10 @@ def leaves_of(sizes: DataFrame, steps: DataFrame) -> DataFrame:
         if level == DEPTH:
             done = done.unionByName(sizes)
             break
+        if level > 1:
+            steps = steps_on(sets, sizes)
         here = sizes.select("class", F.col("node").alias("parent"), F.col("n").alias("whole"))
-        kids = steps.where(F.col("level") == level).join(here, ["class", "parent"]).select("class", "parent", "child", "whole")
+        kids = pin(steps.join(here, ["class", "parent"]).select("class", "parent", "child", "whole"))
         counts = pin(kids.groupBy("parent", "child").agg(F.count(F.lit(1)).alias("m"), F.max("whole").alias("whole")))
         # The pairs that picks bring together, against all pairs: the members' mean similarity.
         alike = pin(counts.groupBy("parent").agg(F.sum(F.col("m") * F.col("m")).alias("pairs"), F.max("whole").alias("whole")).where(
@@ -374,12 +415,20 @@ def linked(docs: DataFrame, key: str, text: str, recall: float) -> tuple[DataFra
     met = pin(met.join(met.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "node"))
     sketches = reps.select("class", F.lit(1).alias("copies"), F.col("sketch").alias("data"))
     alike = pin(edges_of(compared(met.where(F.col("n") <= NODE).join(sketches, "class"), SKETCH_BLOCK, similar_sketches)))
-    large = met.where(F.col("n") > NODE).groupBy("class").agg(F.collect_list(F.struct("node", "n")).alias("large"))
+    big = met.where(F.col("n") > NODE)
+    dense = dense_nodes(big, sketches).withColumn("dense", F.lit(True))
+    big = pin(big.join(dense, "node", "left"))
+    mixed, whole = big.where("dense is null"), big.where("dense")
+    # Nodes of one family often have the very same members; compared as they are, one of them stands for all.
+    code = F.xxhash64("class")
+    same = whole.groupBy("node", "n").agg(F.bit_xor(code).alias("x"), F.bit_xor(F.xxhash64(code, F.lit(1))).alias("y"))
+    whole = whole.join(same.groupBy("n", "x", "y").agg(F.min("node").alias("node")).select("node"), "node", "left_semi")
+    large = big.groupBy("class").agg(F.collect_list(F.when(F.col("dense").isNull(), F.col("node"))).alias("large"))
     ends = alike.select(F.col("a").alias("class")).unionByName(alike.select(F.col("b").alias("class"))).distinct()
     wanted = ends.join(large, "class", "full").join(reps.select("class", "_rep", "copies"), "class")
     sets = pin(sets_of(docs, wanted, key, text))
     steps = sets.select("class", F.explode("paths").alias("p")).select("class", "p.*")
-    leaves = leaves_of(met.where(F.col("n") > NODE).select("class", "node", "n"), steps).distinct()
+    leaves = leaves_of(mixed.select("class", "node", "n"), steps, sets).unionByName(whole.select("class", "node", "n")).distinct()
     more = edges_of(compared(leaves.join(sketches, "class"), SKETCH_BLOCK, similar_sketches))
 
     clusters = components(alike.unionByName(more)).withColumnRenamed("node", "class").withColumnRenamed("root", "node")

@@ -136,10 +136,10 @@ def test_jaccard_recall_at_the_threshold():
         a, b = (keys[:81], keys[9:]) if k % 2 else (keys, keys[18:])
         ends = []
         for own in (a, b):
-            first = own[jaccard.picked(own, np.float64(len(own)), jaccard.runs(jaccard.RECALL), 0x51ED)]
-            levels, _, nodes = jaccard.paths(own, first.view(np.int64).tolist())
-            last = np.array(levels) == jaccard.DEPTH - 1
-            ends.append(np.concatenate([np.zeros(0, np.int64), *nodes])[last])
+            nodes = own[jaccard.picked(own, np.float64(len(own)), jaccard.runs(jaccard.RECALL), 0x51ED)].view(np.int64)
+            for _ in range(1, jaccard.DEPTH):
+                _, nodes = jaccard.paths(own, nodes.tolist())
+            ends.append(nodes)
         missed += not len(np.intersect1d(*ends))
     assert missed <= 2 * (1 - jaccard.RECALL) * n
 
