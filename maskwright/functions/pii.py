@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import fixed as X
 from .spans import (
-    AFTER, CONTEXT, MARK, first, guard, hits, let, marks, no_spans, span, to_spans,
+    AFTER, CONTEXT, MARK, first, guard, hits, let, marks, no_spans, running, span, to_spans,
 )
 
 R_EMAIL, R_US, R_INTL, R_IPV4, R_IPV6, R_CARD, R_IBAN, R_SSN, R_SSN2 = range(1, 10)
@@ -110,11 +110,37 @@ def _shrink_phones(found: Column) -> Column:
     ).otherwise(found)
 
 
+def _octet(part: Column) -> Column:
+    """Up to three ASCII digits, no needless zero in front, at most 255."""
+    return part.rlike("^(?:0|[1-9][0-9]{0,2})$") & (part.try_cast("int") <= 255)
+
+
 def detect_ipv4(text: Column) -> Column:
-    return guard(
-        text.rlike(r"\p{Nd}\.\p{Nd}{1,3}\.\p{Nd}"),
-        to_spans(hits(text, X.IPV4), "IPV4", R_IPV4),
-    )
+    """Runs of letters and digits joined by points are read as a whole.
+
+    Four parts in a row that are octets are an address, if the part before
+    does not end, and the part after does not begin, with a digit.
+    """
+    run = r"[A-Za-z\p{Nd}]++(?:\.[A-Za-z\p{Nd}]++){3,}+"
+
+    def addresses(hit: Column) -> Column:
+        def at(x, i):
+            four = F.slice(x["p"], i + 1, 4)
+            inside = (i + 4 < F.size(x["p"])) & F.coalesce(F.get(x["p"], i + 4).rlike(r"^\p{Nd}"), F.lit(False))
+            after = (i > 0) & F.coalesce(F.get(x["p"], i - 1).rlike(r"\p{Nd}$"), F.lit(False))
+            good = ~inside & ~after & F.forall(four, _octet)
+            return F.when(good, F.struct((hit["start"] + F.get(x["at"], i)).cast("int").alias("start"), F.array_join(four, ".").alias("value")))
+
+        parts = F.split(hit["value"], r"\.")
+        return let(
+            let(parts, lambda p: F.struct(p.alias("p"), running(F.transform(p, lambda v: F.length(v) + 1)).alias("at"))),
+            lambda x: F.filter(
+                F.transform(F.sequence(F.lit(0), F.size(x["p"]) - 4), lambda i: at(x, i)), lambda h: h.isNotNull()
+            ),
+        )
+
+    found = F.flatten(F.transform(hits(text, run), addresses))
+    return guard(text.rlike(r"\p{Nd}\.\p{Nd}{1,3}\.\p{Nd}"), to_spans(found, "IPV4", R_IPV4))
 
 
 def is_ipv6(c: Column) -> Column:
@@ -202,28 +228,59 @@ def luhn(digits: Column) -> Column:
     return F.call_function("luhn_check", digits)
 
 
+def of_network(digits: Column) -> Column:
+    """Whether a network gives out numbers of this length that begin so."""
+    def one(low, high, lengths):
+        head = F.substr(digits, F.lit(1), F.lit(len(low)))
+        return F.length(digits).isin(*lengths) & (head >= low) & (head <= high)
+
+    return reduce(lambda a, b: a | b, [one(*row) for row in X.CARD_NETWORKS])
+
+
 def detect_card(text: Column) -> Column:
-    def at(p):
-        tail = F.substr(text, p + 1, F.lit(40))
+    """Runs of digit groups, each joined to the next by one separator, are read group by group.
 
-        def layout(pattern):
-            def check(value):
-                digits = F.regexp_replace(value, "[^0-9]", "")
-                return F.when(
-                    (value != "") & digits.rlike(X.CARD_NETWORKS) & luhn(digits), value
+    At each group the longest printed layout that fits, with one kind of
+    separator, and gives a network's number, counts.
+    """
+    # Not from inside a word, nor from behind a decimal point.
+    run = rf"(?<![A-Za-z0-9])(?<![0-9][.,])[0-9]++(?:{X.CARD_SEP}[0-9]++)*+"
+
+    def cards(hit: Column) -> Column:
+        body = hit["value"]
+
+        def at(x, i):
+            def layout(sizes, last):
+                n = len(sizes) + 1
+                sizes_fit = F.lit(True)
+                for k, size in enumerate(sizes):
+                    sizes_fit = sizes_fit & (F.length(F.get(x["g"], i + k)) == size)
+                own = F.slice(x["g"], i + 1, n)
+                digits = F.array_join(own, "")
+                # The number ends where its last group ends, and no letter or digit follows.
+                free = (i + n < F.size(x["g"])) | ~F.coalesce(hit["after"], F.lit("")).rlike(f"^{X.GLUE}")
+                good = (
+                    (i + n <= F.size(x["g"])) & sizes_fit & F.length(F.get(x["g"], i + n - 1)).between(*last) & free
+                    & (F.size(F.array_distinct(F.slice(x["s"], i + 1, n - 1))) <= 1 if n > 1 else F.lit(True))
                 )
+                length = F.length(digits) + n - 1
+                return F.when(good & of_network(digits) & luhn(F.when(good, digits)), F.substr(x["t"], F.get(x["at"], i) + 1, length))
 
-            return let(F.regexp_extract(tail, pattern, 1), check)
+            value = F.coalesce(*[layout(*row) for row in X.CARD_LAYOUTS])
+            return F.struct((hit["start"] + F.get(x["at"], i)).cast("int").alias("start"), value.alias("value"))
 
-        return F.coalesce(*[layout(p) for p in X.CARD_LAYOUTS])
+        groups = let(F.split(body, X.CARD_SEP), lambda g: F.struct(
+            body.alias("t"), g.alias("g"), F.regexp_extract_all(body, F.lit(f"({X.CARD_SEP})"), F.lit(1)).alias("s"),
+            running(F.transform(g, lambda v: F.length(v) + 1)).alias("at"),
+        ))
+        return let(groups, lambda x: F.filter(
+            F.transform(F.sequence(F.lit(0), F.size(x["g"]) - 1), lambda i: at(x, i)), lambda h: h["value"].isNotNull()
+        ))
 
-    found = F.transform(
-        marks(text, X.CARD_START),
-        lambda p: F.struct(p.alias("start"), at(p).alias("value")),
-    )
+    found = hits(text, f"({run}){CONTEXT}", f"{MARK}$1{AFTER}$2{MARK}")
     return guard(
         text.rlike(rf"[0-9]{{13}}|[0-9]{{4}}{X.CARD_SEP}[0-9]{{4}}"),
-        to_spans(F.filter(found, lambda h: h["value"].isNotNull()), "CREDIT_CARD", R_CARD),
+        to_spans(F.flatten(F.transform(found, cards)), "CREDIT_CARD", R_CARD),
     )
 
 
@@ -241,39 +298,40 @@ def mod97(compact: Column) -> Column:
 
 
 def detect_iban(text: Column) -> Column:
+    """From a country's code and two digits on: one word, or words of four and a last one of at most four."""
+    starts = rf"(?<![A-Za-z0-9])(?=(?i:{'|'.join(X.IBAN_COUNTRIES)})[0-9]{{2}}[A-Za-z0-9{X.GROUP_SPACE[1:-1]}])"
+    words = f"^([A-Za-z0-9]+(?:{X.GROUP_SPACE}[A-Za-z0-9]+)*)"
+
     def at(p):
         tail = F.substr(text, p + 1, F.lit(60))
-        run = F.regexp_extract(tail, f"^({X.IBAN_RUN})", 1)
-
-        def pick(run):
-            groups = F.split(run, X.GROUP_SPACE)
-            whole = F.size(groups)
-            nxt = F.substr(tail, F.length(run) + 1, F.lit(1))
-            good = F.filter(
-                F.sequence(whole, F.lit(1), F.lit(-1)),
-                lambda n: let(
-                    F.array_join(F.slice(groups, F.lit(1), n), ""),
-                    lambda c: F.length(c).between(15, 34)
-                    & F.substr(c, F.lit(3), F.lit(2)).cast("int").between(2, 98)
-                    & ((n < whole) | ~nxt.rlike(f"^{X.GLUE}"))
-                    & (mod97(c) == 1),
-                ),
-            )
-            return let(
-                first(good),
-                lambda n: F.when(n == whole, run).otherwise(
-                    F.substr(run, F.lit(1), n * 5 - 1)
-                ),
-            )
 
-        return let(run, pick)
+        def pick(x):
+            g = x["g"]
+            odd = F.coalesce(F.array_position(F.transform(g, lambda w: F.length(w) == 4), F.lit(False)), F.lit(0)).cast("int")
+            fours = F.when(odd == 0, F.size(g)).otherwise(odd - 1)
+            # A shorter word may end the number; a longer one is not of it.
+            most = fours + F.when((odd > 1) & (F.length(F.get(g, fours)) < 4), 1).otherwise(0)
+            most = F.when(F.length(F.get(g, F.lit(0))) > 4, 1).otherwise(most)
+
+            def good(n):
+                compact = F.array_join(F.slice(g, F.lit(1), n), "")
+                size = F.length(compact) + n - 1
+                free = (n < F.size(g)) | ~F.substr(tail, size + 1, F.lit(1)).rlike(f"^{X.GLUE}")
+                fits = F.length(compact).between(15, 34) & F.substr(compact, F.lit(3), F.lit(2)).cast("int").between(2, 98) & free
+                return F.when(F.when(fits, mod97(compact) == 1), F.substr(tail, F.lit(1), size))
+
+            options = F.transform(F.sequence(F.least(most, F.lit(9)), F.lit(1), F.lit(-1)), good)
+            return F.when(most > 0, first(F.filter(options, lambda v: v.isNotNull())))
+
+        run = F.regexp_extract(tail, words, 1)
+        return let(F.struct(F.split(run, X.GROUP_SPACE).alias("g")), pick)
 
     found = F.transform(
-        marks(text, X.IBAN_START),
+        marks(text, starts),
         lambda p: F.struct(p.alias("start"), at(p).alias("value")),
     )
     return guard(
-        text.rlike("[A-Za-z]{2}[0-9]{2}[A-Za-z0-9   　 ]"),
+        text.rlike("[A-Za-z]{2}[0-9]{2}[A-Za-z0-9   　 ]"),
         to_spans(F.filter(found, lambda h: h["value"].isNotNull()), "IBAN", R_IBAN),
     )
 
