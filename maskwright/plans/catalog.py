@@ -7,11 +7,11 @@ rows (one or a few a row), so the work still grows with the tables.
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import pii
+from ..functions import pii, secrets
 from ..functions import placeholders as P
 from ..functions.spans import SPANS, span
 from ..operators import checks, evaluate, intervals, jsondata, known, ledger, normalize, review, search, vault
-from ..operators.detect import detect
+from ..operators.detect import detect, validate
 from ..operators.resolve import greedy, merge_islands, resolve, resolve_leftmost, resolve_overlaps
 from ..operators.restore import restore, restore_rows, trace_masks
 from ..sources import registry as reg
@@ -466,7 +466,11 @@ def registry_counts(spark, sf):
 
 def registry_errors(spark, sf):
     p = table(spark, sf, "part").select(F.col("p_name").alias("value"), F.upper(F.regexp_replace("p_brand", "[^A-Za-z0-9]", "_")).alias("entity_type"))
-    bad = table(spark, sf, "supplier").select(F.lit("  ").alias("value"), F.lit("PERSON").alias("entity_type")).where("s_suppkey < 0")
+    k = F.col("s_suppkey") % 5
+    bad = table(spark, sf, "supplier").select(
+        F.when(k == 0, F.repeat(F.lit(" "), F.col("s_suppkey"))).when(k == 1, F.concat("s_name", F.lit("\n2"))).otherwise(F.col("s_name")).alias("value"),
+        F.when(k == 2, "bad type").when(k == 3, "LITERAL").otherwise("PERSON").alias("entity_type"),
+    )
     return reg.registry_errors(p.distinct().unionByName(bad)).select("entity_type", "value", "reason")
 
 
@@ -491,6 +495,78 @@ def messages_to_sections(spark, sf):
     return sections_from_messages(packed).select("session", F.col("section").cast("bigint").alias("section"), "role", "text")
 
 
+def blocks_to_sections(spark, sf):
+    """Turns as lists of blocks: text, tool results of either kind, and documents."""
+    t, k = F.col("text"), F.concat(F.lit("title "), "conv_id")
+    one = lambda **fields: F.struct(*[v.alias(n) for n, v in fields.items()])
+    blocks = F.concat(
+        F.lit("["), F.to_json(one(type=F.lit("text"), text=t)), F.lit(","),
+        F.to_json(one(type=F.lit("tool_result"), content=F.concat(F.lit("out "), t))), F.lit(","),
+        F.to_json(one(type=F.lit("tool_result"), content=F.array(one(type=F.lit("text"), text=F.concat(F.lit("nested "), t)), one(type=F.lit("image"), text=F.lit(None).cast("string"))))),
+        F.lit(","), F.to_json(one(type=F.lit("image"), url=k)), F.lit(","),
+        F.to_json(one(type=F.lit("document"), title=k, context=F.lit("ctx"), source=one(type=F.lit("text"), data=t))), F.lit("]"),
+    )
+    message = F.concat(F.lit('[{"role":"user","content":'), blocks, F.lit("}]"))
+    rows = table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("session"), F.col("turn").alias("seq"), message.alias("messages"))
+    return sections_from_messages(rows).select("session", "seq", F.col("section").cast("bigint").alias("section"), "surface", "text")
+
+
+def detect_validated(spark, sf):
+    """Every span of every rule stands in its text as it says."""
+    return _flat(validate(detect(documents(spark, sf))), "doc_id")
+
+
+def code_values(spark, sf):
+    """Values that read as code: references, echoes of the name, dotted names, paths; and secrets, which do not."""
+    k = F.col("c_custkey")
+    kinds = [
+        F.concat(F.lit("${SECRET_"), k, F.lit("}")), _hex(), F.lit("password"), F.concat(F.lit("settings_"), k, F.lit(".api_key")),
+        F.concat(F.lit("/etc/app/"), k), F.concat(F.lit("x-"), _hex(), F.lit("!")),
+    ]
+    rows = table(spark, sf, "customer").select("c_custkey", F.get(F.array(*kinds), (k % 6).cast("int")).alias("value"))
+    return rows.select("c_custkey", secrets.is_code_value(F.col("value"), F.lit("db_password")).alias("code"))
+
+
+def unify_second_batch(spark, sf):
+    """A second batch that spells the numbers of the first in another way gets their placeholders."""
+    d = F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0")
+    c = table(spark, sf, "customer").select(
+        F.col("c_mktsegment").alias("session"), F.col("c_custkey").alias("seq"), F.lit(0).alias("section"), d.alias("d"))
+    first = mask_sessions(c.where("seq % 2 = 0").withColumn("text", F.concat(F.lit("(212) 555-"), "d")).drop("d"), normalize=True)
+    again = c.withColumn("text", F.concat(F.lit("call 212.555."), "d")).drop("d")
+    out = mask_sessions(again, pin(first.vault), normalize=True)
+    return out.entities.select("session", "seq", "value", "placeholder")
+
+
+def cut_leaks(spark, sf):
+    """Merged placeholders that hide a part, all or nothing of a value that is known."""
+    k, v = F.col("c_custkey"), _hex()
+    c = table(spark, sf, "customer").select(
+        F.col("c_mktsegment").alias("session"), k.alias("seq"), F.lit(0).alias("section"),
+        F.concat(F.lit("ref AB"), v, F.lit(" and CDEFGH")).alias("text"), v.alias("value"),
+    )
+    part = F.col("seq") % 3
+    start = F.when(part == 2, 42).otherwise(4).cast("int")
+    end = F.when(part == 0, 20).when(part == 1, 38).otherwise(49).cast("int")
+    member = F.struct(F.lit("AB").alias("value"), F.lit("NAME").alias("entity_type"))
+    entities = c.select(
+        *KEYS, start.alias("start"), end.alias("end"), F.substr("text", start + 1, end - start).alias("value"),
+        F.lit("NAME").alias("entity_type"), F.lit("merged").alias("source"), F.array(member).alias("members"),
+    )
+    full = c.select("session", "value", F.lit("TOKEN").alias("entity_type"), F.concat(F.lit("[TOKEN_"), F.col("seq") + 1, F.lit("]")).alias("placeholder"))
+    return known.cut_leaks(entities, c.drop("value"), full).select("session", "seq", "value", "entity_type", "placeholder")
+
+
+def vault_remembered(spark, sf):
+    """Spellings of customers' names: the first placeholder wins; stored and kept ones are left alone."""
+    rows = _name_entities(spark, sf)
+    full = pin(vault.assign(rows.where("seq % 3 = 0")))
+    spelled = rows.withColumn("value", F.when(F.col("seq") % 2 == 0, F.upper("value")).otherwise(F.col("value")))
+    spelled = spelled.withColumn("placeholder", F.concat(F.lit("[NAME_"), F.col("seq") + 1, F.lit("]")))
+    early = pin(vault.remember(spelled.where("seq % 5 = 0"), full))
+    return vault.remember(spelled, full, early).select("session", "value", "entity_type", "placeholder")
+
+
 def annotated_gold(spark, sf):
     s = table(spark, sf, "supplier").select(
         "s_suppkey", F.concat(F.lit("From [[ORG|"), "s_name", F.lit("]] to [[EMAIL|s"), "s_suppkey", F.lit("@example.com]] now")).alias("text")
@@ -535,15 +611,26 @@ def review_fragments(spark, sf):
         ).alias("section", "text"),
     )
     found = review.review(c, ["session"])
-    return review.request_status(c, found, c.where(F.lit(False)))
+    return review.request_status(c, found, c.where(F.col("session").cast("bigint") % 10 == 0))
+
+
+def review_unprotected(spark, sf):
+    """What is masked already, in every second text, is not proposed again."""
+    code = F.concat(_hex(), F.lit("-9"))
+    masked = F.when(F.col("c_custkey") % 2 == 0, F.array(F.struct(F.lit(15).alias("start"), F.lit(49).alias("end"))))
+    rows = table(spark, sf, "customer").select(
+        "c_custkey", F.concat(F.lit("Recovery code: "), code, F.lit(". Keep it.")).alias("text"),
+        F.coalesce(masked, F.expr("cast(array() as array<struct<start:int,end:int>>)")).alias("spans"),
+    )
+    return review.review(review.unprotected(rows, "spans").drop("spans")).select("c_custkey", "kind", "value")
 
 
 def confirm_findings(spark, sf):
     s = table(spark, sf, "supplier").select(F.concat(F.lit("Recovery code: "), F.md5("s_name"), F.lit(" .")).alias("text"), "s_suppkey")
     found = review.review(s)
     yes = found.select("value", (F.col("s_suppkey") % 2 == 0).alias("confirmed"))
-    empty = _registry(spark, sf).where(F.lit(False))
-    return review.confirm(found, yes, empty)
+    listed = table(spark, sf, "supplier").where("s_suppkey % 4 = 0").select(F.lit("PERSON").alias("entity_type"), F.md5("s_name").alias("value"))
+    return review.confirm(found, yes, listed)
 
 
 # --- JSON, ledger ------------------------------------------------------------
@@ -713,7 +800,7 @@ def evaluate_restoration(spark, sf):
 
 def evaluate_latency(spark, sf):
     ms = table(spark, sf, "events").select(F.col("value").alias("ms"))
-    return ms.agg(F.count("ms").alias("samples"), F.round(F.percentile("ms", 0.5), 4).alias("median"))
+    return evaluate.latency_stats(ms)
 
 
 def evaluate_regressions(spark, sf):
@@ -961,6 +1048,7 @@ for _f in (
     ledger_replay, ledger_seen, ledger_tools, evaluate_scores, evaluate_coverage, evaluate_characters,
     evaluate_overmasked, evaluate_leaks, evaluate_restoration, evaluate_latency, evaluate_regressions,
     corpus_fingerprints, activity_summary, activity_occurrences, activity_retention, probes_verified,
-    support_totals, resolve_one_text, merge_partial_spans, stream_settled, stream_masked, stream_restored, stream_probes, stream_activity, vault_log,
+    support_totals, blocks_to_sections, detect_validated, code_values, unify_second_batch, cut_leaks, vault_remembered,
+    review_unprotected, resolve_one_text, merge_partial_spans, stream_settled, stream_masked, stream_restored, stream_probes, stream_activity, vault_log,
 ):
     QUERIES[_f.__name__] = _f

@@ -1,7 +1,9 @@
 """Detection rules on own cases: what is found, and that offsets are right."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from maskwright.functions import pii
 from maskwright.operators.detect import detect
 
 CASES = [
@@ -39,3 +41,34 @@ def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([("x",)], "text string")
     plan = detect(df)._jdf.queryExecution().executedPlan().toString()
     assert "EvalPython" not in plan and "Exchange" not in plan
+
+
+def spans_found(spark, rule, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    return [[(s.start, s.value) for s in r.s] for r in rows.select("id", rule(F.col("text")).alias("s")).orderBy("id").collect()]
+
+
+def test_addresses_are_read_from_whole_runs(spark):
+    assert spans_found(spark, pii.detect_ipv4, [
+        "1.2.3.4, www.10.0.0.255.example", "1.2.3.4.5 x1.2.3.4 1.2.3.4y 256.1.1.1 01.2.3.4", "0.0.0.0:80 a.1.2.3.4.b", "1.2.3",
+    ]) == [[(0, "1.2.3.4"), (13, "10.0.0.255")], [], [(0, "0.0.0.0"), (13, "1.2.3.4")], []]
+
+
+def test_cards_are_read_group_by_group(spark):
+    assert spans_found(spark, pii.detect_card, [
+        "4111 1111 1111 1111.", "12 4111-1111-1111-1111 3", "4111 1111-1111 1111", "a4111111111111111 4111111111111111z", "3782 822463 10005",
+        "1.4111111111111111", "9111111111111111", "6304000000000000 5555555555554444",
+    ]) == [
+        [(0, "4111 1111 1111 1111")], [(3, "4111-1111-1111-1111")], [], [], [(0, "3782 822463 10005")], [], [],
+        [(0, "6304000000000000"), (17, "5555555555554444")],
+    ]
+
+
+def test_account_numbers_back_off_by_words(spark):
+    assert spans_found(spark, pii.detect_iban, [
+        "DE89370400440532013000", "de89 3704 0044 0532 0130 00 is mine", "DE89 3704 0044 0532 0130 01", "xDE89370400440532013000",
+        "NL91 ABNA 0417 1643 00 word", "GB82 WEST 1234 5698 7654 32", "GB82 WEST 1234 5698 7654 32é",
+    ]) == [
+        [(0, "DE89370400440532013000")], [(0, "de89 3704 0044 0532 0130 00")], [], [], [(0, "NL91 ABNA 0417 1643 00")],
+        [(0, "GB82 WEST 1234 5698 7654 32")], [(0, "GB82 WEST 1234 5698 7654 32")],
+    ]
