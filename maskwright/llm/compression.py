@@ -141,8 +141,11 @@ def dictionaries(docs: DataFrame, labels: DataFrame) -> Model:
     found = pin(sample_chunks(docs.join(F.broadcast(chosen), "key")))
     made = []
     for x in (0, 1):
-        rows = found.where(F.col("label") == x).orderBy("hash", "chunk").limit(SAMPLE_CHUNKS).collect()
-        made.append(dictionary([bytes(r["chunk"]) for r in rows]))
+        # The driver gets the chosen chunks only: their largest hash is found first, without chunks.
+        own = found.where(F.col("label") == x)
+        last = own.select("hash").orderBy("hash").limit(SAMPLE_CHUNKS).agg(F.max("hash")).first()[0]
+        rows = sorted((r["hash"], bytes(r["chunk"])) for r in own.where(F.col("hash") <= F.lit(last)).collect())
+        made.append(dictionary([chunk for _, chunk in rows[:SAMPLE_CHUNKS]]))
     return Model(*made)
 
 
