@@ -880,7 +880,7 @@ def stream_probes(spark, sf):
     base, events = _folder(spark, "probes"), _timed_events(spark, sf)
     probes, answers = _probes(_arriving(spark, events, "event_id", 3, f"{base}/in"))
     run = (
-        activity.verify_probes_stream(probes, answers).writeStream.format("parquet").option("path", f"{base}/out")
+        activity.verify_probes_stream(probes, answers, keep="2 days").writeStream.format("parquet").option("path", f"{base}/out")
         .option("checkpointLocation", f"{base}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     )
     run.awaitTermination()
