@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from maskwright.llm.components import components
+from maskwright.llm.rows import boxed
 from maskwright.llm.words import _BASE, grams, mix, pieces, span_hash, words
 from maskwright.plans.runtime import partitions, pin
 
@@ -473,21 +474,21 @@ def class_of(text: pa.Array) -> pa.Array:
 def survivors(docs: DataFrame, key: str = "doc_id", text: str = "text", recall: float = RECALL) -> DataFrame:
     """One row of each group of linked texts, that with the smallest key, and all wordless rows.
 
-    Only rows whose key occurs more than once are told apart by their words.
+    All columns stay, whatever their names. Only rows whose key occurs more than once are told apart by their words.
     """
     rows, known = linked(docs, key, text, recall)
     first = known.groupBy("root").agg(F.min(F.struct("_rep", "class")).alias("f")).select("f.*")
     stay = pin(first.unionByName(rows.where(F.col("class").isNull()).select(F.col("_key").alias("_rep"), "class")))
     ids = stay.select("_rep").distinct()
-    kept = docs.join(ids, F.col(key).eqNullSafe(F.col("_rep")), "left_semi")
-    twice = pin(rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_key"))
+    kept = boxed(docs, _key=F.col(key), _text=F.col(text)).join(ids, F.col("_key").eqNullSafe(F.col("_rep")), "left_semi")
+    twice = pin(rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("_key").alias("_again")))
     if twice.isEmpty():
-        return kept
-    same = F.col(key).eqNullSafe(F.col("_key"))
-    repeated = kept.join(twice, same, "left_semi").withColumn("__class", class_of(F.col(text)))
-    exact = F.col(key).eqNullSafe(F.col("_rep")) & F.col("__class").eqNullSafe(F.col("class"))
+        return kept.select("_row.*")
+    same = F.col("_key").eqNullSafe(F.col("_again"))
+    repeated = kept.join(twice, same, "left_semi").withColumn("_class", class_of(F.col("_text")))
+    exact = F.col("_key").eqNullSafe(F.col("_rep")) & F.col("_class").eqNullSafe(F.col("class"))
     repeated = repeated.join(stay.distinct(), exact, "left_semi")
-    worded = repeated.where(F.col("__class").isNotNull()).dropDuplicates([key, "__class"])
-    return kept.join(twice, same, "left_anti").unionByName(
-        worded.unionByName(repeated.where(F.col("__class").isNull())).select(docs.columns)
-    )
+    worded = repeated.where(F.col("_class").isNotNull()).dropDuplicates(["_key", "_class"])
+    wordless = repeated.where(F.col("_class").isNull())
+    once = kept.join(twice, same, "left_anti")
+    return once.select("_row").unionByName(worded.select("_row")).unionByName(wordless.select("_row")).select("_row.*")

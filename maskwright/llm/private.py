@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions.spans import MARK, fence, scratch
+from maskwright.llm.rows import boxed
 
 KINDS = ("email", "ip", "card", "phone")
 #: Characters before a span that the labelers see.
@@ -361,7 +362,11 @@ def masked(text: Column, spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with personal data in ``text`` replaced by placeholders; null stays null."""
+    """``docs`` with personal data in ``text`` replaced by placeholders; null stays null.
+
+    Other columns stay as they are, whatever their names.
+    """
     weights = classifier(docs, text)
-    rows = docs.withColumn("__spans", fence(chosen(scratch(F.coalesce(F.col(text), F.lit(""))), weights)))
-    return rows.withColumn(text, masked(F.col(text), F.col("__spans"))).select(docs.columns)
+    rows = boxed(docs, _text=F.col(text), _spans=fence(chosen(scratch(F.coalesce(F.col(text), F.lit(""))), weights)))
+    hidden = masked(F.col("_text"), F.col("_spans"))
+    return rows.select(*(hidden.alias(c) if c.lower() == text.lower() else F.col("_row").getField(c).alias(c) for c in docs.columns))

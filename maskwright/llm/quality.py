@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from maskwright.llm.rows import boxed
 from maskwright.llm.words import CONTINUATION, SPACE, grams, mix, pieces, repeated, span_hash, words
 from maskwright.plans.runtime import pin, small
 
@@ -106,7 +107,7 @@ def host_rates(judged: DataFrame, host: str = "source", failed: str = "base_fail
 
 
 def judge(docs: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:
-    """``key``, the measures, ``base_failed``, ``host_rate``, ``kept``: one row per row of ``docs``.
+    """``key``, the measures, ``base_failed``, ``kept``: one row per row of ``docs``.
 
     Repeated rows are each judged; a null text has no words and fails; other
     columns are ignored; an empty table gives an empty result.
@@ -123,7 +124,7 @@ def judge(docs: DataFrame, key: str = "doc_id", host: str = "source", text: str
 
 
 def keep(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that pass, with all their columns.
+    """The rows of ``docs`` that pass, with all their columns, whatever their names.
 
     Texts are measured twice, once for the hosts and once to filter, and never
     shuffled unless very many hosts are rejected.
@@ -132,8 +133,8 @@ def keep(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame
     short = m["n_words"], m["n_repeat_words"]
     judged = docs.select(F.col(host).alias("_host"), base_failed(*short).alias("_failed"))
     bad = _rejected(judged, "_host", "_failed")
-    passed = docs.where(~base_failed(*short)).withColumn("__host", F.col(host))
-    return _host_join(passed, bad.withColumnRenamed("_host", "__host"), "__host").where(F.col("_bad").isNull()).select(docs.columns)
+    passed = boxed(docs.where(~base_failed(*short)), _host=F.col(host))
+    return _host_join(passed, bad, "_host").where(F.col("_bad").isNull()).select("_row.*")
 
 
 def _rejected(judged: DataFrame, host: str, failed: str) -> DataFrame:

@@ -103,18 +103,34 @@ WITH sized AS (
   SELECT source, source_size, CASE WHEN at_cap THEN cap
          ELSE least(cap, CASE WHEN all_weight > top.weights THEN (total - top.caps) / (all_weight - top.weights) ELSE 0 END * weight) END AS target
   FROM capped, top
+), merits AS (
+  SELECT s.source, length(bin(s.size)) AS merit, sum(s.size)::BIGINT AS words FROM sized s GROUP BY ALL
+), claims AS (
+  SELECT m.*, t.source_size, t.target, 3.0::DOUBLE * sum(words) OVER w AS filled, sum(merit * words) OVER w AS claimed,
+         sum(merit * words) OVER (PARTITION BY m.source) AS all_claims
+  FROM merits m JOIN targets t ON m.source IS NOT DISTINCT FROM t.source
+  WINDOW w AS (PARTITION BY m.source ORDER BY merit DESC ROWS UNBOUNDED PRECEDING)
+), filled AS (
+  SELECT *, filled + 3.0::DOUBLE / merit * (all_claims - claimed)::DOUBLE <= target AS is_full FROM claims
+), used AS (
+  SELECT *, coalesce(max(CASE WHEN is_full THEN filled END) OVER s, 0) AS used, coalesce(max(CASE WHEN is_full THEN claimed END) OVER s, 0) AS met
+  FROM filled WINDOW s AS (PARTITION BY source)
+), due AS (
+  SELECT source, merit, words, source_size, target, CASE WHEN words = 0 THEN 0 WHEN is_full THEN 3.0::DOUBLE
+         ELSE least(3.0::DOUBLE, (target - used) / (all_claims - met)::DOUBLE * merit) END AS copies
+  FROM used
+), parts AS (
+  SELECT *, floor(copies) AS whole, copies - floor(copies) AS part, sum(floor(copies) * words) OVER (PARTITION BY source) AS certain FROM due
 ), placed AS (
-  SELECT s.doc_id, s.size, t.source, t.source_size, t.target,
-         CASE WHEN t.source_size > 0 THEN least(t.target / t.source_size, 3.0::DOUBLE) ELSE 0 END AS copies,
+  SELECT s.doc_id, s.size, d.source, d.source_size, d.target, d.whole, d.part, d.certain,
          (('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+  FROM sized s JOIN parts d ON s.source IS NOT DISTINCT FROM d.source AND length(bin(s.size)) = d.merit
 ), ranked AS (
-  SELECT *, copies - floor(copies) AS part,
-         sum(size) OVER (PARTITION BY source ORDER BY u, doc_id, size ROWS UNBOUNDED PRECEDING) AS sofar
-  FROM placed
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY pareto, doc_id, size ROWS UNBOUNDED PRECEDING) AS sofar
+  FROM (SELECT *, CASE WHEN part > 0 THEN (u / (1 - u)) / (part / (1 - part)) ELSE 'inf'::DOUBLE END AS pareto FROM placed)
 )
 SELECT doc_id, size::BIGINT AS size, source_size, target,
-       (size * (floor(copies) + CASE WHEN part > 0 AND sofar - size / 2 <= target - floor(copies) * source_size THEN 1 ELSE 0 END))::BIGINT AS taken
+       (size * (whole + CASE WHEN part > 0 AND sofar - size / 2 <= target - certain THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM ranked
 """
 

@@ -299,6 +299,38 @@ OPERATORS = {
 }
 
 
+CLASHING = ["class", "_key", "_rep", "__class", "_bad", "_is", "__none", "__source", "__last", "__copy", "__spans", "_row", "_text", "size", "_merit"]
+
+
+@pytest.mark.parametrize("stage", [quality.keep, jaccard.survivors, private.redact, mixing.repeat])
+def test_stages_keep_columns_of_any_name(spark, stage):
+    schema = "doc_id long, text string, source string" + "".join(f", `{c}` string" for c in [*CLASHING, "a.b"])
+    good = [(1000 + i, " ".join(words(80)), "good") for i in range(9)]
+    rows = [(*r, *(f"{c} {r[0]}" for c in [*CLASHING, "a.b"])) for r in ROWS + good] + [(ROWS[9][0], *ROWS[10][1:], *([None] * (len(CLASHING) + 1)))]
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    out = stage(docs)
+    plain = stage(docs.select("doc_id", "text", "source"))
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert sorted(map(repr, (r[:3] for r in got))) == sorted(map(repr, map(tuple, plain.collect()))) and got
+    given = {(r[0], r[3:]) for r in rows}
+    assert all((r[0], r[3:]) in given for r in got)
+
+
+def test_mixing_prefers_long_texts(spark):
+    """Inclusion probabilities follow merit: the copies' words by size class come near what each class is due."""
+    rows = [(i, " ".join(["w"] * (3 if i % 2 else 700)), "ab"[i % 4 // 2]) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs).collect()
+    for name, weight in (("a", 5), ("b", 2)):
+        own = [r for r in got if rows[r.doc_id][2] == name]
+        assert own[0].target == pytest.approx(sum(r["size"] for r in got) * weight / 7)
+        short, long = ([r.taken / r["size"] for r in own if r["size"] == n] for n in (3, 700))
+        assert sum(long) / len(long) == pytest.approx(own[0].target / sum(r["size"] for r in own), abs=0.02)
+        # Two binary digits against ten.
+        assert sum(short) / len(short) == pytest.approx(sum(long) / len(long) / 5, abs=0.04)
+
+
 @pytest.mark.parametrize("name", OPERATORS)
 def test_no_rows_and_null_keys(spark, name):
     schema = "doc_id long, text string, source string"
