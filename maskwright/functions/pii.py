@@ -19,8 +19,95 @@ def has_digits(text: Column) -> Column:
     return text.rlike(rf"{X.DIGIT}[^\p{{L}}]{{0,4}}{X.DIGIT}")
 
 
+def domain_of(text: Column) -> Column:
+    """The longest host name that ``text`` begins with, or an empty string.
+
+    Names between points are read in order; the last one may be cut where it
+    stops looking like a top-level name.
+    """
+    def label(part):
+        return F.length(part).between(1, X.LABEL_LENGTH) & ~part.startswith("-") & ~part.endswith("-")
+
+    def top(part):
+        coded = F.regexp_extract(part, X.TOP_PUNYCODE, 0)
+        return F.when(coded != "", coded).otherwise(F.regexp_extract(part, X.TOP_LETTERS, 0))
+
+    def ended(x):
+        tops = F.filter(F.sequence(F.lit(1), F.size(x["p"]) - 1), lambda j: (j <= x["n"]) & (top(F.get(x["p"], j)) != ""))
+        return F.when((F.size(x["p"]) > 1) & (x["n"] > 0), let(
+            F.array_max(tops), lambda j: F.concat(F.array_join(F.slice(x["p"], F.lit(1), j), "."), F.lit("."), top(F.get(x["p"], j)))
+        ))
+
+    parts = F.slice(F.split(F.regexp_extract(text, "^[A-Za-z0-9.-]*+", 0), r"\."), 1, X.DOMAIN_PARTS)
+    read = let(parts, lambda p: let(F.array_position(F.transform(p, label), False).cast("int"), lambda bad: F.struct(
+        p.alias("p"), F.when(bad > 0, bad - 1).otherwise(F.size(p)).alias("n")
+    )))
+    return F.coalesce(let(read, ended), F.lit(""))
+
+
+def _plain_local(text: Column) -> Column:
+    """Whether all of ``text`` can stand before an at sign."""
+    return (F.length(text) <= X.LOCAL_LENGTH) & text.rlike(rf"^{X.LOCAL}++(?:{X.LOCAL_SEP}{X.LOCAL}++)*+\z")
+
+
+def _local_end(text: Column) -> Column:
+    """The longest end of ``text`` that can stand before an at sign, if it begins behind a
+    separator or where a script without spaces gives way to another; else an empty string."""
+    tail = F.right(text, F.lit(X.LOCAL_LENGTH + 1))
+    behind = rf"(?:{X.LOCAL_SEP}|[{X.UNSPACED}](?![{X.UNSPACED}]))"
+    return F.regexp_extract(tail, rf"{behind}({X.LOCAL}++(?:{X.LOCAL_SEP}{X.LOCAL}++)*+)\z", 1)
+
+
+def is_email(value: Column) -> Column:
+    """Whether ``value`` is one address."""
+    sides = F.split(value, "@", -1)
+    return (F.size(sides) == 2) & let(sides, lambda s: _plain_local(F.get(s, 0)) & (domain_of(F.get(s, 1)) == F.get(s, 1)) & (F.get(s, 1) != ""))
+
+
 def detect_email(text: Column) -> Column:
-    return guard(F.contains(text, F.lit("@")), to_spans(hits(text, X.EMAIL), "EMAIL", R_EMAIL))
+    """Runs of address characters are split at their at signs.
+
+    What is left of a sign ends in a local part, what is right of it begins
+    with a host. A host takes its characters from the local part that follows;
+    that one may then begin right behind it, if it can't begin later.
+    """
+    run = rf"(?<!{X.LOCAL}|{X.LOCAL_SEP})(?:{X.LOCAL}|{X.LOCAL_SEP})*+@(?:{X.LOCAL}|{X.LOCAL_SEP}|@)*+"
+
+    def sides(x, i):
+        left, host = F.get(x["p"], i - 1), F.get(x["d"], i)
+        rest = F.substr(left, F.length(F.get(x["d"], i - 1)) + 1)
+        later = _local_end(rest)
+        return F.struct(
+            host.alias("host"),
+            F.when(host == "", "").when(_plain_local(left), left).otherwise(_local_end(left)).alias("open"),
+            F.when(host == "", "").when(later != "", later).when(_plain_local(rest), rest).otherwise("").alias("glued"),
+        )
+
+    def chosen(side, before):
+        return F.when(before == "1", side["glued"]).otherwise(side["open"])
+
+    def addresses(hit):
+        def listed(x):
+            # One digit a sign: whether an address is around it.
+            taken = F.aggregate(x["s"], F.lit("0"), lambda acc, side: F.concat(
+                acc, F.when(chosen(side, F.right(acc, F.lit(1))) != "", "1").otherwise("0")
+            ))
+            return let(taken, lambda t: F.filter(
+                F.transform(x["s"], lambda side, i: let(chosen(side, F.substr(t, i + 1, F.lit(1))), lambda local: F.when(local != "", F.struct(
+                    (hit["start"] + F.get(x["at"], i + 1) - 1 - F.length(local)).cast("int").alias("start"),
+                    F.concat(local, F.lit("@"), side["host"]).alias("value"),
+                )))), lambda h: h.isNotNull(),
+            ))
+
+        pieces = let(F.split(hit["value"], "@", -1), lambda p: F.struct(
+            p.alias("p"), F.transform(p, domain_of).alias("d"), running(F.transform(p, lambda v: F.length(v) + 1)).alias("at"),
+        ))
+        return let(let(pieces, lambda x: F.struct(
+            F.transform(F.sequence(F.lit(1), F.size(x["p"]) - 1), lambda i: sides(x, i)).alias("s"), x["at"].alias("at"),
+        )), listed)
+
+    found = F.flatten(F.transform(hits(text, run), addresses))
+    return guard(F.contains(text, F.lit("@")), to_spans(found, "EMAIL", R_EMAIL))
 
 
 def detect_phone_us(text: Column) -> Column:

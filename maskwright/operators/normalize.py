@@ -28,7 +28,7 @@ def key_email(value: Column, compose=None) -> Column:
         F.split(value, ""), lambda c: (F.lower(c) != c) & (F.upper(F.lower(c)) != c)
     )
     usable = (
-        value.rlike(rf"^{X.EMAIL_BODY}$")
+        pii.is_email(value)
         & ~local.rlike("[=&/!#$^~]|%[0-9A-Fa-f]{2}")
         & ~F.when(value.rlike(r"[^\x00-\x7f]"), odd).otherwise(F.lit(False))
     )
