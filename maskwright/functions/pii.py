@@ -110,13 +110,129 @@ def detect_email(text: Column) -> Column:
     return guard(F.contains(text, F.lit("@")), to_spans(found, "EMAIL", R_EMAIL))
 
 
+def _us_numbers(text: Column) -> Column:
+    """North American numbers: ``start``, ``value`` of each, in order, none inside another.
+
+    Runs of digit groups are read group by group: at an area code, the next two
+    groups must have their sizes, and what is between, before and behind the
+    groups decides whether they are a number, and where it begins.
+    """
+    inside = rf"[+(){X.SEP_CHARS}]"
+    run = rf"([+()]*+{X.DIGIT}++(?:{inside}++{X.DIGIT}++){{2,}}+)"
+    # Both groups always match, if only nothing: one that is left out would keep what it held elsewhere.
+    before, colons = r"(?<=(^|(?s:.)))", "::|:[0-9A-Fa-f]{1,4}:"
+    hexed = f"(?<=((?:{colons})|(?<!{colons})))"
+    found = hits(text, f"{before}{hexed}{run}(?=((?s:.{{0,24}})))", f"{MARK}$3{AFTER}$2$1($4{MARK}")
+    area, exchange, line = X.US_GROUPS
+
+    def at(x, i):
+        group = lambda k: F.coalesce(F.get(x["g"], i + k), F.lit(""))
+        # What stands before a group; nothing before the first one of the run is an empty string.
+        gap = lambda k: F.coalesce(F.get(x["s"], i + k), F.lit(""))
+        end = lambda k: F.right(gap(k), F.lit(1))
+        one = lambda k: gap(k).rlike(f"^{X.SEP}$")
+        head = lambda k: F.get(x["at"], i + k)
+        first_group = lambda k: (i + k) == 0
+        after_letter, after_colons = x["before"].rlike("^[A-Za-z]$"), x["before"].startswith(":") & (F.length(x["before"]) > 1)
+
+        enclosed = (end(0) == "(") & gap(1).rlike(rf"^\){X.SEP}?$")
+        sizes = (F.length(group(1)) == exchange) & (F.length(group(2)) == line) & one(2)
+        last = i + 3 == F.size(x["g"])
+        extension = F.when(last, F.regexp_extract(x["after"], rf"^({X.EXTENSION}(?<={X.DIGIT})(?!{X.DIGIT}))(?!{X.NOT_CLEAN})", 1)).otherwise("")
+        clean = F.when(last, ~x["after"].rlike("^[A-Za-z]")).otherwise(~gap(3).rlike(f"^{X.DASH_DOT}$"))
+
+        def trunk(k):
+            """Where the number begins if group ``k`` holds the digit before the area code."""
+            plus = end(k) == "+"
+            lead = F.when(plus, F.substr(gap(k), F.lit(1), F.length(gap(k)) - 1)).otherwise(gap(k))
+            open_start = F.when(
+                lead == "", first_group(k) & ~after_letter & ~after_colons
+            ).otherwise((F.right(lead, F.lit(1)) != "+") & ((lead != ".") | first_group(k)))
+            return F.when(open_start & F.get(x["g"], i + k).startswith(X.US_TRUNK), head(k) - F.when(plus, 1).otherwise(0))
+
+        def quad(k):
+            """Whether groups ``k`` to ``k + 3`` are a dotted address."""
+            octets = [F.coalesce(F.get(x["g"], F.greatest(i + k + n, F.lit(0))), F.lit("")).rlike(f"^{X.PADDED_OCTET}$") for n in range(4)]
+            own = (i + k >= 0) & reduce(lambda a, b: a & b, octets) & reduce(lambda a, b: a & b, [gap(k + n) == "." for n in (1, 2, 3)])
+            port = (gap(k + 4) != ".") | (group(k + 4).rlike("^[1-9]") & (F.length(group(k + 4)) <= 5) & (gap(k + 5) != "."))
+            before = F.when(i + k > 0, F.coalesce(F.right(F.get(x["s"], F.greatest(i + k, F.lit(0))), F.lit(1)), F.lit("")) != ".").otherwise(
+                (F.coalesce(F.get(x["s"], F.lit(0)), F.lit("")) != "") | (x["before"] != ".")
+            )
+            return own & port & before
+
+        merged = (F.length(group(0)) == area + 1) & one(1)
+        three = F.length(group(0)) == area
+        apart = (F.get(x["g"], F.greatest(i - 1, F.lit(0))) == X.US_TRUNK) & (i > 0) & three & (
+            (one(0) & one(1)) | (gap(0).rlike(rf"^{X.SEP}?\($") & enclosed)
+        )
+        outer = F.substr(gap(0), F.lit(1), F.length(gap(0)) - 1)
+        in_brackets = F.when(
+            three & enclosed & F.when(outer == "", first_group(0)).otherwise(F.right(outer, F.lit(1)) != "+"), head(0) - 1
+        )
+        bare = F.when(
+            three & one(1) & F.when(gap(0) == "", ~after_letter).otherwise(end(0) != "+") & ~F.when(i >= 2, quad(-2) | ((i >= 3) & quad(-3))).otherwise(False),
+            head(0),
+        )
+        plain = F.coalesce(in_brackets, bare)
+        start = F.coalesce(F.when(merged, trunk(0)), F.when(apart, trunk(-1)), plain)
+        stop = F.get(x["at"], i + 2) + line
+        value = lambda begin: F.concat(F.substr(x["t"], begin + 1, stop - begin), extension)
+        return F.when(sizes & ((extension != "") | clean) & start.isNotNull(), F.struct(
+            (x["start"] + start).cast("int").alias("start"), value(start).alias("value"),
+            (x["start"] + plain).cast("int").alias("plain"), value(plain).alias("short"),
+        ))
+
+    def numbers(hit):
+        # The character before the run, with the colons before it: no bracket, as runs take these.
+        context = F.substring_index(hit["after"], "(", 1)
+        gaps = F.split(hit["value"], rf"{X.DIGIT}++", -1)
+        read = let(F.struct(F.split(F.regexp_replace(hit["value"], "^[+()]+", ""), rf"{inside}++").alias("g"), gaps.alias("s")), lambda y: F.struct(
+            hit["value"].alias("t"), hit["start"].alias("start"), y["g"].alias("g"), y["s"].alias("s"),
+            F.transform(
+                running(F.zip_with(y["g"], F.slice(y["s"], F.lit(1), F.size(y["g"])), lambda g, s: F.length(g) + F.length(s))),
+                lambda n, k: n + F.length(F.get(y["s"], k)),
+            ).alias("at"),
+            context.alias("before"),
+            F.substr(hit["after"], F.length(context) + 2).alias("after"),
+        ))
+        return let(read, lambda x: F.filter(
+            F.transform(F.sequence(F.lit(0), F.size(x["g"]) - 3), lambda i: at(x, i)), lambda h: h.isNotNull()
+        ))
+
+    def apart_from_each_other(all_found):
+        """A number begins behind the one before, or without its first digit behind it."""
+        begin = F.struct(F.lit(0).alias("end"), F.lit("").alias("taken"))
+
+        def step(acc, h):
+            free, rest = h["start"] >= acc["end"], F.coalesce(h["plain"] >= acc["end"], F.lit(False))
+            return F.struct(
+                F.when(free, h["start"] + F.length(h["value"])).when(rest, h["plain"] + F.length(h["short"])).otherwise(acc["end"]).alias("end"),
+                F.concat(acc["taken"], F.when(free, "1").when(rest, "2").otherwise("0")).alias("taken"),
+            )
+
+        def picked(x):
+            return F.filter(F.transform(x["h"], lambda h, i: let(F.substr(x["taken"], i + 1, F.lit(1)), lambda t: F.when(t != "0", F.struct(
+                F.when(t == "1", h["start"]).otherwise(h["plain"]).alias("start"), F.when(t == "1", h["value"]).otherwise(h["short"]).alias("value"),
+            )))), lambda h: h.isNotNull())
+
+        return let(all_found, lambda a: let(F.struct(a.alias("h"), F.aggregate(a, begin, step)["taken"].alias("taken")), picked))
+
+    shaped = F.filter(found, lambda h: h["value"].rlike(rf"{X.DIGIT}{{3}}{X.SEP}{X.DIGIT}{{4}}"))
+    return apart_from_each_other(F.flatten(F.transform(shaped, numbers)))
+
+
 def detect_phone_us(text: Column) -> Column:
     return guard(
         text.rlike(rf"{X.DIGIT}{{3}}{X.SEP}{X.DIGIT}{{4}}"),
-        to_spans(hits(text, X.PHONE_US), "PHONE", R_US),
+        to_spans(_us_numbers(text), "PHONE", R_US),
     )
 
 
+def is_phone_us(value: Column) -> Column:
+    """Whether ``value`` is one North American number."""
+    return let(_us_numbers(value), lambda found: (F.size(found) == 1) & (F.get(found, 0)["value"] == value))
+
+
 def plausible(number: Column) -> Column:
     """8 to 15 digits, a "(0)" trunk prefix not counted."""
     low, high = X.PHONE_DIGITS

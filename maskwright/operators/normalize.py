@@ -59,7 +59,7 @@ def key_phone(value: Column) -> Column:
         value.rlike(rf"^{X.PHONE_INTL}{X.EXTENSION}?$") & pii.plausible(base) & ~direct.contains("(0)"),
         F.concat(F.lit("+"), _ascii_digits(direct), ext),
     )
-    return F.when(value.rlike(f"^(?:{X.PHONE_US})$"), american).otherwise(abroad)
+    return F.when(pii.is_phone_us(value), american).otherwise(abroad)
 
 
 def key_ipv6(value: Column) -> Column:
