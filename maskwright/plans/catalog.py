@@ -919,7 +919,8 @@ def _stream(spark, sf, name, transform, label):
 
     base = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     schema = table(spark, sf, name).schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    # A table is one file, or a folder of files: a pattern stands for either.
+    rows = spark.readStream.schema(schema).parquet(f"{sf}/{name}.parquet*")
     run = (
         transform(rows).writeStream.format("parquet").option("path", f"{base}/out")
         .option("checkpointLocation", f"{base}/checkpoint").outputMode("append").trigger(availableNow=True).start()
