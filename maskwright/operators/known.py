@@ -7,7 +7,7 @@ from ..functions import fixed as X
 from ..functions import placeholders as P
 from ..functions.secrets import is_code_value
 from ..functions.spans import SPANS, span
-from ..plans.runtime import pin
+from ..plans.runtime import pin, small
 from .checks import fold
 from .resolve import resolve_leftmost
 from .search import find_values
@@ -154,11 +154,13 @@ def cut_leaks(entities: DataFrame, texts: DataFrame, vault: DataFrame, text: str
             F.array(F.struct(F.col("value").alias("value"), F.col("entity_type").alias("entity_type")))
         ).alias("_v"),
     )
+    sessions = affected.select("session").distinct()
     values = vault.select("session", "value", "entity_type", "placeholder").join(
-        affected.select("session").distinct(), "session", "left_semi"
+        sessions if small(sessions) else sessions.hint("merge"), "session", "left_semi"
     )
+    # Texts, runs and kept spans may be as many as the texts: they are never broadcast by a guess.
     found = find_values(
-        texts.join(affected, KEYS, "left_semi").select(*KEYS, text), values, KEYS, by=["session"], text=text
+        texts.join(affected.hint("merge"), KEYS, "left_semi").select(*KEYS, text), values, KEYS, by=["session"], text=text
     ).withColumn("end", F.col("start") + F.length("value"))
     fused = F.aggregate(
         "_m",
@@ -174,7 +176,7 @@ def cut_leaks(entities: DataFrame, texts: DataFrame, vault: DataFrame, text: str
     kept = entities.where(F.col("source") != "merged").groupBy(*KEYS).agg(
         F.collect_list(F.struct("start", "end")).alias("_k")
     )
-    out = found.join(runs.withColumn("_m", fused), KEYS).join(kept, KEYS, "left")
+    out = found.join(runs.withColumn("_m", fused).hint("merge"), KEYS).join(kept.hint("merge"), KEYS, "left")
     touches = F.exists("_m", lambda m: (m["start"] < F.col("end")) & (F.col("start") < m["end"]))
     inside = F.exists("_m", lambda m: (m["start"] <= F.col("start")) & (F.col("end") <= m["end"]))
     hidden = F.coalesce(

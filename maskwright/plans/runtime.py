@@ -112,6 +112,17 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores * 2, key) if df.rdd.getNumPartitions() <= cores // 2 else df
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Narrow rows from which much is computed, dealt to four tasks a core.
+
+    How many files or row groups hold them says nothing about the work: a table
+    of a million short rows may be one of each. Rows are dealt out by turns, so
+    that no value of theirs can gather them. An input of more partitions stays as it is.
+    """
+    tasks = df.sparkSession.sparkContext.defaultParallelism * 4
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
+
+
 def small(df: DataFrame, limit: int | None = None) -> bool:
     """Whether ``df`` has at most ``limit`` rows (reads at most one more)."""
     limit = BROADCAST_ROWS if limit is None else limit
@@ -129,12 +140,15 @@ def lookup_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame
     counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total = left.count()
     limit = max(HOT_ROWS, total // HOT_SHARE)
+    # What the optimizer guesses of derived tables can be far too small: nothing but
+    # the hot keys may be broadcast.
+    right_rows = right.hint("merge")
     if total <= limit:
-        return left.join(right, keys, "left")
+        return left.join(right_rows, keys, "left")
     hot_keys = counts.where(F.col("_n") > limit).select(*keys)
     hot = pin(right.join(F.broadcast(hot_keys), keys, "left_semi"))
     known = left.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
     added = [c for c in right.columns if c not in keys]
     warm = known.where("_hot").select(*left.columns, *added)
     cold = known.where(F.col("_hot").isNull()).select(*left.columns)
-    return warm.unionByName(cold.join(right, keys, "left").select(*left.columns, *added))
+    return warm.unionByName(cold.join(right_rows, keys, "left").select(*left.columns, *added))
