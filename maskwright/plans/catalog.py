@@ -18,13 +18,18 @@ from ..sources import registry as reg
 from ..sources.sections import sections_from_messages, unpack
 from ..streaming import activity
 from .masking import KEYS, mask_rows, mask_sessions
-from .runtime import pin, spread
+from .runtime import dealt, pin, small, spread
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def customers(spark, sf, *more):
+    """Customers that texts are derived from: the work is in the texts, not in reading."""
+    return dealt(table(spark, sf, "customer").select("c_custkey", "c_name", *more))
+
+
 def documents(spark, sf):
     return spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
 
@@ -122,7 +127,7 @@ def notes():
 def derived_query(name):
     def run(spark, sf):
         text, _, _ = notes()[name]
-        rows = table(spark, sf, "customer").select("c_custkey", text.alias("text"))
+        rows = customers(spark, sf).select("c_custkey", text.alias("text"))
         return _flat(detect(rows), "c_custkey").select("c_custkey", "entity_type", "value")
 
     return run
@@ -444,7 +449,7 @@ def normalize_derived(spark, sf):
 def unify_spellings(spark, sf):
     """Two spellings of one number in a session share a placeholder."""
     d = F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0")
-    c = table(spark, sf, "customer").select(
+    c = customers(spark, sf, "c_mktsegment").select(
         F.col("c_mktsegment").alias("session"), F.col("c_custkey").alias("seq"), F.lit(0).alias("section"),
         F.concat(F.lit("(212) 555-"), d, F.lit(" or 212.555."), d).alias("text"),
     )
@@ -530,7 +535,7 @@ def code_values(spark, sf):
 def unify_second_batch(spark, sf):
     """A second batch that spells the numbers of the first in another way gets their placeholders."""
     d = F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0")
-    c = table(spark, sf, "customer").select(
+    c = customers(spark, sf, "c_mktsegment").select(
         F.col("c_mktsegment").alias("session"), F.col("c_custkey").alias("seq"), F.lit(0).alias("section"), d.alias("d"))
     first = mask_sessions(c.where("seq % 2 = 0").withColumn("text", F.concat(F.lit("(212) 555-"), "d")).drop("d"), normalize=True)
     again = c.withColumn("text", F.concat(F.lit("call 212.555."), "d")).drop("d")
@@ -541,7 +546,7 @@ def unify_second_batch(spark, sf):
 def cut_leaks(spark, sf):
     """Merged placeholders that hide a part, all or nothing of a value that is known."""
     k, v = F.col("c_custkey"), _hex()
-    c = table(spark, sf, "customer").select(
+    c = customers(spark, sf, "c_mktsegment").select(
         F.col("c_mktsegment").alias("session"), k.alias("seq"), F.lit(0).alias("section"),
         F.concat(F.lit("ref AB"), v, F.lit(" and CDEFGH")).alias("text"), v.alias("value"),
     )
@@ -579,9 +584,8 @@ def annotated_gold(spark, sf):
 # --- review ------------------------------------------------------------------
 
 def review_findings(spark, sf):
-    c = table(spark, sf, "customer")
     v = _hex()
-    rows = c.select(
+    rows = customers(spark, sf).select(
         F.col("c_custkey"),
         F.explode(
             F.array(
@@ -636,7 +640,7 @@ def confirm_findings(spark, sf):
 # --- JSON, ledger ------------------------------------------------------------
 
 def _json_rows(spark, sf):
-    return table(spark, sf, "customer").select(
+    return customers(spark, sf, "c_mktsegment", "c_nationkey").select(
         "c_custkey",
         F.to_json(
             F.struct(
@@ -673,7 +677,7 @@ def json_refused(spark, sf):
         F.concat(F.lit('["plain", {"id":"x-'), k, F.lit('"}]')),
     ]
     text = F.get(F.array(*bodies), (k % 5).cast("int"))
-    rows = table(spark, sf, "customer").select("c_custkey", text.alias("body"))
+    rows = customers(spark, sf).select("c_custkey", text.alias("body"))
     return mask_json_rows(rows, "body").select("c_custkey", "masked_json", "refused")
 
 
@@ -937,13 +941,24 @@ def _folder(spark, label):
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Rows of one arriving file, about; fewer are not cut.
+FILE_ROWS = 1_000_000
+
+
 def _arriving(spark, rows, order, parts, folder):
-    """Rows as a stream of files that came one after the other: ``parts`` ranges of ``order``."""
+    """Rows as a stream of files that came one after the other: ``parts`` ranges of ``order``.
+
+    Every range is the same number of files, all of which come in one batch.
+    """
     low, high = rows.agg(F.min(order), F.max(order)).first()
     part = F.floor((F.col(order) - low) * parts / (high - low + 1))
+    counts = [n for k, n in rows.groupBy(part.alias("k")).agg(F.count(F.lit(1))).collect() if k is not None]
+    # Dealt by turns, each file of a range gets rows if there are many times more rows than files.
+    files = max(1, min([spark.sparkContext.defaultParallelism * 4, *[n // FILE_ROWS for n in counts]])) if len(counts) == parts else 1
     for k in range(parts):
-        rows.where(part == k).coalesce(1).write.parquet(f"{folder}/{k:03d}")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+        one = rows.where(part == k)
+        (one.repartition(files) if files > 1 else one.coalesce(1)).write.parquet(f"{folder}/{k:03d}")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/*")
 
 
 def stream_masked(spark, sf, parts=3):
@@ -990,7 +1005,8 @@ def stream_restored(spark, sf):
         P.format_placeholder(F.lit("PERSON"), number).alias("placeholder"), F.col("c_name").alias("value"),
     )
     TableLog(spark, f"{base}/vault").append({"values": names})
-    c = table(spark, sf, "conversations")
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    c = c if small(c, 10_000) else dealt(c)
     who = (F.col("conv_id") % 20 + 1).cast("string")
     text = F.concat(F.lit("Dear [PERSON_"), who, F.lit("], "), "text", F.lit(" [person 0"), who, F.lit("] [PERSON_"), who, F.lit("0"))
     size = (F.col("conv_id") % 9 + 1).cast("int")

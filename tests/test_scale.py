@@ -2,7 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from maskwright.plans import catalog
+from maskwright.operators import known
+from maskwright.plans import catalog, runtime
+
+
+def plan(df, which="optimizedPlan"):
+    return getattr(df._jdf.queryExecution(), which)().toString()
 
 
 def test_a_stream_reads_a_table_that_is_a_folder(spark, tmp_path):
@@ -12,3 +17,42 @@ def test_a_stream_reads_a_table_that_is_a_folder(spark, tmp_path):
     got = sorted(tuple(r) for r in catalog.stream_settled(spark, str(tmp_path)).collect())
     want = turns.select(F.concat_ws("-", "conv_id", "turn"), F.md5(F.concat(F.lit("[PERSON_1] "), "text")))
     assert got == sorted(tuple(r) for r in want.collect())
+
+
+def test_customers_of_one_row_group_are_dealt_to_all_cores(spark, tmp_path):
+    rows = spark.range(100).select(
+        F.col("id").alias("c_custkey"), F.format_string("Customer#%09d", "id").alias("c_name"), F.lit("BUILDING").alias("c_mktsegment"),
+        F.lit(1).alias("c_nationkey"), F.lit(0.0).alias("c_acctbal"),
+    )
+    rows.coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    cores = spark.sparkContext.defaultParallelism
+    for df in (catalog.customers(spark, str(tmp_path)), catalog._json_rows(spark, str(tmp_path))):
+        assert df.rdd.getNumPartitions() == 4 * cores
+        assert df.count() == 100
+
+
+def test_ranges_arrive_in_batches_of_several_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(catalog, "FILE_ROWS", 20)
+    rows = spark.range(200).withColumn("half", F.col("id") % 2)
+    seen = []
+    stream = catalog._arriving(spark, rows, "half", 2, str(tmp_path / "in"))
+    keep = lambda batch, _: seen.append((batch.count(), {r.half for r in batch.select("half").distinct().collect()}))
+    stream.writeStream.foreachBatch(keep).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert seen == [(100, {0}), (100, {1})]
+    assert len(list((tmp_path / "in/000").glob("part-*.parquet"))) > 1
+
+
+def test_tables_that_only_look_small_are_not_broadcast(spark):
+    left, right = spark.range(10).withColumn("n", F.lit(1)), spark.range(10).withColumn("x", F.lit(2))
+    assert "Broadcast" not in plan(runtime.lookup_join(left, right, ["id"]), "sparkPlan")
+    text = spark.createDataFrame([("s", 0, 0, "ref ABabcdefghij")], "session string, seq int, section int, text string")
+    entity = spark.createDataFrame(
+        [("s", 0, 0, 4, 8, "ABab", "NAME", "merged", [("AB", "NAME")])],
+        "session string, seq int, section int, start int, end int, value string, entity_type string, source string, "
+        "members array<struct<value:string,entity_type:string>>",
+    )
+    vault = spark.createDataFrame([("s", "abcdefghij", "TOKEN", "[TOKEN_1]")], "session string, value string, entity_type string, placeholder string")
+    out = known.cut_leaks(entity, text, vault)
+    assert out.collect() == [("s", 0, 0, "abcdefghij", "TOKEN", "[TOKEN_1]")]
+    # Only the sessions and the values, both counted, are.
+    assert plan(out, "sparkPlan").count("BroadcastHashJoin") <= 3
