@@ -1,22 +1,30 @@
 """Overlap resolution over tables of spans: for texts with very many of them.
 
 The same results as ``operators.resolve`` gives inside a row. Spans that
-overlap form islands; small ones are resolved as arrays. In larger ones a span
-that beats every span it overlaps is kept, what it overlaps goes, and this is
-repeated. No two spans are ever paired: of two that overlap, the longer one
-covers an end of the other, so a span only needs to know the best one over each
-of its ends. A span is cut into few blocks whose length is a power of two, an
-end lies in one block of each length, and both meet there.
+overlap form islands. Spans are dealt out once, by place; an island that lies
+in one part is decided there, best first. Of the islands that may reach over
+parts small ones are resolved as arrays; in larger ones a span that beats every
+span it overlaps is kept, what it overlaps goes, and this is repeated. No two
+spans are ever paired: of two that overlap, the longer one covers an end of the
+other, so a span only needs to know the best one over each of its ends. Inside a
+part the places of kept spans are marked; in the rounds a span is cut into few
+blocks whose length is a power of two, an end lies in one block of each length,
+and both meet there.
 """
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.spans import SPANS
-from ..plans.runtime import lookup_join, pin, running_total, sweep
+from ..plans.runtime import lookup_join, partitions, pin, running_total, sweep
 from .resolve import greedy
 
 #: Islands of at most so many spans are resolved as one array.
@@ -24,6 +32,10 @@ FEW = 64
 #: After so many rounds what is left, chains in which each span waits for the one before, is
 #: resolved text by text.
 ROUNDS = 24
+#: An island of more spans than this isn't gathered in a task's memory; rounds decide it.
+GATHERED = 1 << 20
+#: Texts of a part are laid behind each other at this distance, more than any text is long.
+APART = 1 << 34
 
 LETTERS = regex.compile(r"[\p{L}\p{N}]+")
 
@@ -92,11 +104,145 @@ def _one_by_one(spans: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": kept})
 
 
+class Chunk:
+    """Whole islands of a part, sorted by text and start; ``start`` and ``end`` tell texts apart."""
+
+    def __init__(self, rows: pa.Table):
+        self.rows = rows
+        text = rows.column("_text").combine_chunks()
+        fresh = np.ones(len(rows), bool)
+        fresh[1:] = pc.not_equal(text[1:], text[:-1]).to_numpy(zero_copy_only=False)
+        self.text = np.cumsum(fresh)
+        odd = np.zeros(len(rows), bool)
+        for name in rows.column_names:
+            if name in ("end", "priority", "rule", "value"):
+                odd |= rows.column(name).is_null().to_numpy()
+        whole = lambda name: rows.column(name).cast(pa.int64()).fill_null(-APART // 4).to_numpy()
+        self.start, self.end = whole("start") + self.text * APART, whole("end") + self.text * APART
+        self.priority, self.rule = whole("priority"), whole("rule")
+        odd |= self.end <= self.start
+        reach = np.maximum.accumulate(self.end)
+        # A text whose ends so far are all null has no reach yet: its island goes on.
+        known = reach[:-1] >= self.text[1:] * APART - APART // 8
+        fresh[1:] |= known & (self.start[1:] >= reach[:-1])
+        self.begins = np.flatnonzero(fresh)
+        self.island = np.cumsum(fresh) - 1
+        self.odd = np.bincount(self.island, odd) > 0
+
+    def part(self, mask: np.ndarray) -> "Chunk":
+        return Chunk(self.rows.filter(pa.array(mask)))
+
+    def best_first(self) -> tuple[np.ndarray, np.ndarray]:
+        """The order from best to worst, and which spans are kept."""
+        order = np.lexsort((np.arange(len(self.start)), self.rule, self.start, -self.priority, self.start - self.end))
+        places = np.unique(np.concatenate((self.start, self.end - 1)))
+        first, last = np.searchsorted(places, self.start)[order].tolist(), np.searchsorted(places, self.end - 1)[order].tolist()
+        taken, kept = bytearray(len(places)), []
+        # What a span overlaps and was kept before is not shorter, so it covers an end of the span.
+        for a, b in zip(first, last):
+            free = not (taken[a] or taken[b])
+            kept.append(free)
+            if free:
+                taken[a : b + 1] = b"\1" * (b + 1 - a)
+        out = np.zeros(len(order), bool)
+        out[order] = kept
+        return order, out
+
+
+def _walk(rows: DataFrame, keys: list[str], decide: Callable[[Chunk], pa.Table], schema: T.StructType) -> DataFrame:
+    """Islands that surely lie in one part go through ``decide``; rows of all others come back with ``_rest``.
+
+    What comes from earlier parts reaches less than the longest span's length over the first
+    start of a part; what goes on in a later one is the last island.
+    """
+    for name in (*keys, "start"):
+        rows = rows.where(F.col(name).isNotNull())
+    longest = rows.agg(F.max(F.col("end") - F.col("start"))).first()[0] or 0
+    columns = rows.columns
+    parts = rows.repartitionByRange(partitions(rows.sparkSession), *keys, "start").sortWithinPartitions(*keys, "start")
+    out = T.StructType([*schema, T.StructField("_rest", T.BooleanType())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, pending, border, adrift = None, [], None, False
+
+        def given(table: pa.Table, rest: bool) -> Iterator[pa.RecordBatch]:
+            have = dict(zip(table.column_names, table.columns)) | {"_rest": pa.chunked_array([pa.array(np.full(len(table), rest))])}
+            filled = [have.get(f.name, pa.nulls(len(table), kind)).cast(kind) for f, kind in zip(out, kinds)]
+            yield from pa.table(filled, names=out.names).to_batches()
+
+        def settle(table: pa.Table, last: bool) -> Iterator[pa.RecordBatch | pa.Table]:
+            """Decide all islands but the open one, which is returned as a table."""
+            nonlocal border, adrift
+            chunk = Chunk(table)
+            if border is None:
+                border = (table.column("_text")[0], int(chunk.start[0]) - APART + longest)
+            cut = len(table) if last else int(chunk.begins[-1])
+            own = chunk.start[chunk.begins] - chunk.text[chunk.begins] * APART
+            first_text = pc.equal(table.column("_text"), border[0]).to_numpy()[chunk.begins]
+            rest = chunk.odd | (first_text & (own < border[1]))
+            rest[-1] |= last
+            rest[0] |= adrift
+            adrift = adrift and len(rest) == 1
+            rest = rest[chunk.island]
+            rest_rows, sure = rest.copy(), ~rest
+            rest_rows[cut:], sure[cut:] = False, False
+            if rest_rows.any():
+                yield from given(table.filter(pa.array(rest_rows)), True)
+            if sure.any():
+                yield from given(decide(chunk.part(sure)), False)
+            left = table[cut:]
+            if len(left) > GATHERED:
+                # Only the rows that reach furthest are needed to see where the island ends.
+                ends = left.column("end").cast(pa.int64()).fill_null(-APART // 4)
+                far = pc.equal(ends, pc.max(ends)).to_numpy()
+                keep = np.zeros(len(left), bool)
+                keep[np.flatnonzero(far)[0]] = True
+                yield from given(left.filter(pa.array(~keep)), True)
+                left, adrift = left.filter(pa.array(keep)), True
+            yield left
+
+        kinds = None
+        for batch in batches:
+            if kinds is None:
+                types = {f.name: f.type for f in batch.schema} | {"members": pa.int64(), "_rest": pa.bool_()}
+                kinds = [types[f.name] for f in out]
+            pending.append(batch)
+            if sum(map(len, pending)) < (len(held) if held is not None else 1):
+                continue
+            table = pa.Table.from_batches(pending)
+            if not len(table):
+                continue
+            table = table if held is None or not len(held) else pa.concat_tables([held, table])
+            pending = []
+            for got in settle(table.combine_chunks(), False):
+                if isinstance(got, pa.Table):
+                    held = got
+                else:
+                    yield got
+        tables = [t for t in [held, pa.Table.from_batches(pending) if pending else None] if t is not None and len(t)]
+        if tables:
+            for got in settle(pa.concat_tables(tables).combine_chunks(), True):
+                if not isinstance(got, pa.Table):
+                    yield got
+
+    return pin(parts.select(*columns, F.to_json(F.struct(*keys)).alias("_text")).mapInArrow(work, out))
+
+
 def resolve_table(spans: DataFrame, keys: list[str], few: int = FEW, rounds: int = ROUNDS) -> DataFrame:
     """The rows of ``spans`` that are kept: none overlaps another.
 
     ``spans`` has ``keys, start, end, priority, rule``. Of equal rows one is kept.
     """
+    def decide(chunk: Chunk) -> pa.Table:
+        return chunk.rows.filter(pa.array(chunk.best_first()[1]))
+
+    walked = _walk(spans, keys, decide, spans.schema)
+    done, rest = walked.where(~F.col("_rest")).select(*spans.columns), walked.where("_rest").select(*spans.columns)
+    return done.unionByName(_resolve_over_parts(rest, keys, few, rounds))
+
+
+def _resolve_over_parts(spans: DataFrame, keys: list[str], few: int, rounds: int) -> DataFrame:
+    """Islands wherever they lie: small ones as arrays, larger ones in rounds."""
     payload = [c for c in spans.columns if c not in keys]
     rows = pin(spans.withColumn("id", F.monotonically_increasing_id()))
     placed = pin(numbered_islands(rows.select(*keys, "id", "start", "end", "priority", "rule"), keys))
@@ -184,6 +330,70 @@ def still_visible(spans: DataFrame, kept: DataFrame, keys: list[str]) -> DataFra
     )
 
 
+def _showing(chunk: Chunk, lost: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    """Which of the spans ``lost`` have a letter or digit that no kept span covers.
+
+    As in ``still_visible``: each stretch between two ends is read once.
+    """
+    places = np.unique(np.concatenate((chunk.start[lost], chunk.end[lost], chunk.start[kept], chunk.end[kept])))
+    at = lambda x: np.searchsorted(places, x)
+    hidden = np.zeros(len(places), np.int64)
+    np.add.at(hidden, at(chunk.start[kept]), 1)
+    np.add.at(hidden, at(chunk.end[kept]), -1)
+    by_end = lost[np.argsort(chunk.end[lost], kind="stable")]
+    over = np.full(len(places), -1)
+    np.maximum.at(over, at(chunk.start[by_end]), np.arange(len(by_end)))
+    over = np.maximum.accumulate(over)
+    owner = by_end[over]
+    bare = np.flatnonzero((over[:-1] >= 0) & (chunk.end[owner[:-1]] > places[:-1]) & (np.cumsum(hidden)[:-1] == 0))
+    values = chunk.rows.column("value").take(pa.array(owner[bare])).to_pylist()
+    begin = places[bare] - chunk.start[owner[bare]]
+    seen = np.zeros(len(places) + 1, np.int64)
+    for k, value, a, size in zip(bare.tolist(), values, begin.tolist(), (places[bare + 1] - places[bare]).tolist()):
+        seen[k + 1] = LETTERS.search(value, a, a + size) is not None
+    upto = np.cumsum(seen)
+    return upto[at(chunk.end[lost])] > upto[at(chunk.start[lost])]
+
+
+def _merged(chunk: Chunk, keys: list[str]) -> pa.Table:
+    """Kept spans, and groups of those that show something, of whole islands."""
+    order, kept = chunk.best_first()
+    # Equal rows are one span.
+    same = np.ones(len(order), bool)
+    for x in (chunk.start, chunk.end, chunk.priority, chunk.rule):
+        same[1:] &= x[order][1:] == x[order][:-1]
+    same[0] = False
+    group = np.cumsum(~same) - 1
+    lost = order[np.bincount(group, kept[order])[group] == 0]
+    held, lost = np.flatnonzero(kept), np.sort(lost)
+    both = kept.copy()
+    if len(lost):
+        both[lost[_showing(chunk, lost, held)]] = True
+    of = np.flatnonzero(both)
+    reach = np.maximum.accumulate(chunk.end[of])
+    fresh = np.append(True, chunk.start[of][1:] >= reach[:-1])
+    group, first = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
+    n_held, n_all = np.bincount(group, kept[of]).astype(np.int64), np.bincount(group)
+    alone = of[(n_held == n_all)[group]]
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    best = order[np.minimum.reduceat(np.where(kept[of], place[of], len(order)), first)]
+    mixed = np.flatnonzero(n_held < n_all)
+    plain = chunk.rows.take(pa.array(alone))
+    plain = plain.append_column("members", pa.array(np.zeros(len(alone), np.int64)))
+    leader, begin = best[mixed], of[first[mixed]]
+    end = reach[np.append(first[1:], len(of))[mixed] - 1] - chunk.text[begin] * APART
+    rows = chunk.rows
+    merged = {k: rows.column(k).take(pa.array(leader)) for k in (*keys, "entity_type", "priority", "rule")}
+    merged["start"] = rows.column("start").take(pa.array(begin))
+    merged["end"] = pa.chunked_array([pa.array(end)]).cast(rows.schema.field("end").type)
+    merged["source"] = pa.chunked_array([pa.array(["merged"] * len(mixed), pa.string())])
+    merged["members"] = pa.chunked_array([pa.array(n_held[mixed])])
+    wanted = {n: c for n, c in zip(plain.column_names, plain.columns)}
+    columns = [pa.chunked_array([*wanted[n].chunks, *merged[n].cast(wanted[n].type).chunks], wanted[n].type) for n in merged]
+    return pa.table(columns, names=list(merged))
+
+
 def merge_partial_table(spans: DataFrame, keys: list[str], few: int = FEW) -> DataFrame:
     """``keys, start, end, entity_type, priority, rule, source, members``: spans that hide every letter of ``spans``.
 
@@ -191,7 +401,15 @@ def merge_partial_table(spans: DataFrame, keys: list[str], few: int = FEW) -> Da
     shows a letter or digit, it and all it touches become one merged span with the best
     one's type; ``members`` counts the kept spans that it replaces.
     """
-    kept = pin(resolve_table(spans, keys, few))
+    names = [*keys, "start", "end", "entity_type", "priority", "rule", "source", "members"]
+    members = T.StructField("members", T.LongType())
+    walked = _walk(spans, keys, lambda chunk: _merged(chunk, keys), T.StructType([*spans.schema, members]))
+    done, rest = walked.where(~F.col("_rest")).select(*names), walked.where("_rest").select(*spans.columns)
+    return done.unionByName(_merge_over_parts(rest, keys, few).select(*names))
+
+
+def _merge_over_parts(spans: DataFrame, keys: list[str], few: int) -> DataFrame:
+    kept = pin(_resolve_over_parts(spans, keys, few, ROUNDS))
     lost = spans.join(kept.select(*keys, "start", "end", "priority", "rule"), [*keys, "start", "end", "priority", "rule"], "left_anti")
     partial = still_visible(lost, kept, keys).where("visible > 0").select(*spans.columns)
     both = pin(kept.withColumn("held", F.lit(True)).unionByName(partial.withColumn("held", F.lit(False))).withColumn("id", F.monotonically_increasing_id()))

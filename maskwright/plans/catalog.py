@@ -407,7 +407,7 @@ def _text_of_lines(spark, sf):
 
 
 def resolve_one_text(spark, sf):
-    """Rounds decide the islands of more than four spans."""
+    """Rounds decide the islands of more than four spans that may reach over parts of the text."""
     kept = intervals.resolve_table(_text_of_lines(spark, sf), ["text"], few=4)
     return kept.select("text", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "entity_type")
 

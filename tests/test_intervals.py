@@ -87,3 +87,19 @@ def test_merging_equals_the_form_inside_a_row(spark, made):
 def test_no_spans(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert intervals.merge_partial_table(none, ["doc"]).count() == 0
+
+
+@pytest.mark.parametrize("gathered", [1 << 20, 20])
+def test_islands_of_one_part_are_decided_in_it(spark, made, monkeypatch, gathered):
+    """Only islands that may reach over parts are left for the rounds, and no row is lost or doubled."""
+    _, rows = made
+    monkeypatch.setattr(intervals, "GATHERED", gathered)
+    lone = [("lone", 40 * i + 7 * (i % 3) + k, 40 * i + 7 * (i % 3) + k + 9, "a b c d e", "A", "made", k % 2, i) for i in range(500) for k in (0, 4, 8)]
+    rows = [r for r in rows if r[0] in ("dense", "few")] + lone
+    left = []
+    over_parts = intervals._resolve_over_parts
+    monkeypatch.setattr(intervals, "_resolve_over_parts", lambda spans, *a: left.append(spans.count()) or over_parts(spans, *a))
+    got = intervals.resolve_table(spark.createDataFrame(rows, SCHEMA), ["doc"], 4).collect()
+    want = [s for doc in {r[0] for r in rows} for s in best_first([r for r in rows if r[0] == doc])]
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert left[0] < len(rows) / 2
