@@ -1,10 +1,14 @@
 """Hashed maximum-entropy language model with classes, trained and scored on Spark.
 
-The chance of a word is that of its class in its context times the word's share
-of the class. The first is a softmax over hashed features of the words before
-(the last word, the last two, and those one and two further back); the second
-follows from counts. Frequent words get their class from the company they
-keep, all others from their ending, so words never seen have a class as well.
+The chance of a word is that of its class in its context times that of the word
+within the class in its context. The first is a softmax over hashed features of the
+words before (the last word, the last two, and those one and two further back).
+The second is one over the words of the class, of the last word and the last two,
+taken in steps of two: the words are leaves of a binary tree, and at each node of a word's path
+a softmax of two, whose zero weights give shares by counts, says which way. Words beyond the
+most frequent ones share one leaf a class, by their counts. Frequent words get their
+class from the company they keep, all others from their ending, so words never
+seen have a class as well.
 
 Every task takes gradient steps over its own documents; its changes, weighted
 by how often it saw each feature, are averaged over tasks between rounds.
@@ -14,6 +18,7 @@ the cluster has cores are averaged, so scores depend on that number.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -38,9 +43,14 @@ ENDING_CLASSES = 32
 CLASSES = COMPANY_CLASSES + ENDING_CLASSES + 1
 END_CLASS = CLASSES - 1
 FEATURES = 1 << 15
+#: Weights of the softmax within classes, hashed by node and feature; a multiple of CLASSES.
+INNER = 1 << 19
+#: Features (of those of a token) that it uses.
+INNER_FEATURES = (0, 1)
 ROUNDS = 2
 #: A feature seen n times in a piece moves by RATE n / (n + STIFF) times its mean error.
 RATE, STIFF = 1.5, 4.0
+INNER_RATE = 1.5
 #: Rows of a table that are summed together.
 BLOCK = 64
 PIECE_BYTES = 1 << 20
@@ -128,14 +138,111 @@ def contexts(t: Tokens, ids: np.ndarray) -> np.ndarray:
     return np.stack((one, spread(one * size + two, 1 << 40), spread(two, 2 << 40), spread(three, 3 << 40))).astype(np.int64)
 
 
+@dataclass
+class Tree:
+    """The words of each class as leaves of a binary tree, heavy ones high.
+
+    A leaf is a word's place in the head or, behind all these, the class whose other words it
+    stands for. Of each leaf: the nodes above it and which way to go; of each node, what
+    the counts say about the way.
+    """
+
+    begin: np.ndarray
+    length: np.ndarray
+    node: np.ndarray
+    way: np.ndarray
+    prior: np.ndarray
+    #: log10 of the counts plus one that the words of the leaf for others have together, by class.
+    rest_log: np.ndarray
+
+    def leaf(self, at: np.ndarray, there: np.ndarray, klass: np.ndarray) -> np.ndarray:
+        return np.where(there, at, len(self.length) - CLASSES + klass)
+
+    def paths(self, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Token, node and way of every step to the leaves."""
+        length = self.length[leaf]
+        token = np.repeat(np.arange(len(leaf)), length)
+        at = np.arange(len(token)) + np.repeat(self.begin[leaf] - (np.cumsum(length) - length), length)
+        return token, self.node[at], self.way[at]
+
+
+def tree_of(count: np.ndarray, klass: np.ndarray, size: np.ndarray) -> Tree:
+    """Trees over words of the head, whose counts, classes and classes' sizes are given."""
+    words = len(count)
+    held = np.bincount(klass, count + 1.0, CLASSES) - np.bincount(klass[count == 0], minlength=CLASSES)
+    rest = np.maximum(size - held, 1.0)
+    leaves = words + CLASSES
+    mass, parent, way = [*(count + 1.0).tolist(), *rest.tolist()], [-1] * leaves, [0] * leaves
+    order = np.argsort(klass, kind="stable")
+    bounds = np.searchsorted(klass[order], np.arange(CLASSES + 1))
+    for c in range(CLASSES):
+        if c == END_CLASS:
+            continue
+        heap = [(mass[words + c], words + c), *((mass[w], w) for w in order[bounds[c] : bounds[c + 1]].tolist() if count[w])]
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            light = heapq.heappop(heap)
+            heavy = heap[0]
+            node = len(mass)
+            mass.append(light[0] + heavy[0])
+            parent.append(-1)
+            way.append(0)
+            parent[light[1]] = parent[heavy[1]] = node
+            way[heavy[1]] = 1
+            heapq.heapreplace(heap, (mass[node], node))
+    mass, parent, way = np.array(mass), np.array(parent), np.array(way)
+    prior = np.zeros(len(mass) - leaves, np.float32)
+    below = np.flatnonzero(parent >= 0)
+    np.add.at(prior, parent[below] - leaves, np.where(way[below] == 1, 1, -1) * np.log(mass[below]))
+    steps, now = [], np.arange(leaves)
+    own = now
+    while True:
+        up = parent[now]
+        on = up >= 0
+        own, now, up = own[on], now[on], up[on]
+        if not len(own):
+            break
+        steps.append((own, up - leaves, way[now]))
+        now = up
+    at, node, turn = (np.concatenate([x[k] for x in steps]) if steps else np.zeros(0, np.int64) for k in range(3))
+    length = np.bincount(at, minlength=leaves)
+    order = np.argsort(at, kind="stable")
+    return Tree(np.cumsum(length) - length, length, node[order].astype(np.int32), turn[order].astype(np.int8), prior, np.log10(rest))
+
+
+def inner_scores(
+    tree: Tree, inner: np.ndarray, features: np.ndarray, leaf: np.ndarray
+) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    """Of each step to the leaves: token, its weights' places, the way, and the log odds of way 1."""
+    token, node, way = tree.paths(leaf)
+    base = node.astype(np.uint64) * np.uint64(FEATURES)
+    places = [(mix(base + features[k].astype(np.uint64)[token]) & np.uint64(INNER - 1)).astype(np.int64) for k in INNER_FEATURES]
+    odds = tree.prior[node]
+    for p in places:
+        odds = odds + inner[p]
+    return token, places, way, odds
+
+
+def word_logs(tree: Tree, inner: np.ndarray, features: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+    """Log probability (natural) of each token's leaf within its class."""
+    token, _, way, odds = inner_scores(tree, inner, features, leaf)
+    return np.bincount(token, -np.logaddexp(0.0, np.where(way == 1, -odds, odds).astype(np.float64)), len(leaf))
+
+
 def class_scores(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
     """Log probabilities (natural) of all classes for each token."""
-    z = weights[features[0]]
+    z = raw_scores(weights, bias, features)
+    z -= np.log(np.exp(z).sum(1, keepdims=True))
+    return z
+
+
+def raw_scores(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
+    z = np.take(weights, features[0], axis=0)
+    more = np.empty_like(z)
     for f in features[1:]:
-        z += weights[f]
+        z += np.take(weights, f, axis=0, out=more, mode="clip")
     z += bias
     z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
     return z
 
 
@@ -224,6 +331,8 @@ class Model:
     class_log: np.ndarray
     tokens: int
     types: int
+    tree: Tree
+    inner: np.ndarray
 
 
 def past(groups: list, most: int) -> tuple[int | None, int]:
@@ -245,11 +354,11 @@ def most_frequent(vocabulary: DataFrame) -> DataFrame:
     step = F.floor(F.log2("c") * 8).cast("int")
     border, left = past(sorted(sizes(vocabulary, step), reverse=True), HEAD)
     if border is None:
-        return vocabulary.select("word", "c")
+        return vocabulary.select("word", "c", "ending")
     least, left = past(sorted(sizes(vocabulary.where(step == border), F.col("c")), reverse=True), left)
     bits = F.shiftright("word", 48)
     last, _ = past(sorted(sizes(vocabulary.where(F.col("c") == least), bits)), left)
-    return vocabulary.where((F.col("c") > least) | ((F.col("c") == least) & (bits <= last))).select("word", "c")
+    return vocabulary.where((F.col("c") > least) | ((F.col("c") == least) & (bits <= last))).select("word", "c", "ending")
 
 
 def fit(spark: SparkSession, rows: DataFrame) -> tuple[Model, DataFrame]:
@@ -264,6 +373,7 @@ def fit(spark: SparkSession, rows: DataFrame) -> tuple[Model, DataFrame]:
     head = Head(hashes[order], top["c"].to_numpy(np.int64)[order], order.astype(np.int64))
     if not len(head.hash):
         head = Head(np.zeros(1, np.uint64), np.zeros(1, np.int64), np.full(1, HEAD))
+    endings = top["ending"].to_numpy(np.int64)[order] if len(top) else np.zeros(1, np.int64)
 
     shared = spark.sparkContext.broadcast(head)
 
@@ -296,45 +406,79 @@ def fit(spark: SparkSession, rows: DataFrame) -> tuple[Model, DataFrame]:
         seen[c] += n
     size[END_CLASS] = 1 + max(0.0, seen[END_CLASS] - 1)  # its only word is the end
     bias = np.log(seen / seen.sum()).astype(np.float32)
-    model = Model(head, np.zeros((FEATURES, CLASSES), np.float32), bias, np.log10(size), whole["n"] or 0, whole["v"])
+    model = Model(head, np.zeros((FEATURES, CLASSES), np.float32), bias, np.log10(size), whole["n"] or 0, whole["v"], None, np.zeros(INNER, np.float32))
+    known = Tokens(0, head.hash, np.zeros(0, np.int64), endings)
+    model.tree = tree_of(head.count, head.classes(known, np.where(head.rank < KNOWN, head.rank, KNOWN + endings)), size)
     for half in range(ROUNDS):
-        model.weights = model.weights + one_round(spark, model, rows.where(F.col("_half") == half).select("_text"))
+        change, inner = one_round(spark, model, rows.where(F.col("_half") == half).select("_text"))
+        model.weights, model.inner = model.weights + change, model.inner + inner
     return model, vocabulary
 
 
-def one_round(spark: SparkSession, model: Model, rows: DataFrame) -> np.ndarray:
-    """The change of weights after every task has gone over its documents once."""
+def one_round(spark: SparkSession, model: Model, rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The change of weights, of classes and within them, after every task has gone over its documents once."""
     shared = spark.sparkContext.broadcast(model)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         weights, seen = m.weights.copy(), np.zeros(FEATURES)
+        inner, inner_seen = m.inner.copy(), np.zeros(INNER, np.float32)
         for batch in batches:
             for _, t in per_piece(batch.column(0)):
-                _, _, ids = m.head.ids(t)
+                at, there, ids = m.head.ids(t)
                 features, target = contexts(t, ids), m.head.classes(t, ids)
+                leaf = m.tree.leaf(at, there, target)
                 for begin in range(0, len(target), STEP_TOKENS):
                     part = slice(begin, begin + STEP_TOKENS)
                     step(weights, m.bias, features[:, part], target[part], seen)
+                    inner_step(m.tree, inner, features[:, part], leaf[part], inner_seen)
         change = (weights - m.weights) * seen[:, None].astype(np.float32)
-        yield from blocks_out(np.hstack((change, seen[:, None].astype(np.float32))))
+        lines = lambda x: np.hstack((x.reshape(-1, CLASSES), np.zeros((INNER // CLASSES, 1), np.float32)))
+        yield from blocks_out(np.vstack((
+            np.hstack((change, seen[:, None].astype(np.float32))), lines((inner - m.inner) * inner_seen), lines(inner_seen)
+        )))
 
-    total = summed(rows, learn, (FEATURES, CLASSES + 1))
+    more = INNER // CLASSES
+    total = summed(rows, learn, (FEATURES + 2 * more, CLASSES + 1))
     shared.unpersist()
-    return total[:, :-1] / np.maximum(total[:, -1:], 1.0)
+    inner, inner_seen = (total[FEATURES + k * more : FEATURES + (k + 1) * more, :-1].ravel() for k in (0, 1))
+    total = total[:FEATURES]
+    return total[:, :-1] / np.maximum(total[:, -1:], 1.0), inner / np.maximum(inner_seen, 1.0)
+
+
+def inner_step(tree: Tree, inner: np.ndarray, features: np.ndarray, leaf: np.ndarray, seen: np.ndarray) -> None:
+    """The same within classes."""
+    _, places, way, odds = inner_scores(tree, inner, features, leaf)
+    error = way - 1.0 / (1.0 + np.exp(-odds))
+    place = np.concatenate(places)
+    number = np.bincount(place, minlength=INNER)
+    total = np.bincount(place, np.tile(error, len(places)), INNER)
+    own = np.flatnonzero(number)
+    inner[own] += INNER_RATE / len(places) * total[own] / (number[own] + STIFF)
+    seen[own] += number[own]
 
 
 def step(weights: np.ndarray, bias: np.ndarray, features: np.ndarray, target: np.ndarray, seen: np.ndarray) -> None:
     """One gradient step over some tokens, each feature scaled by how often it occurs."""
-    error = -np.exp(class_scores(weights, bias, features))
+    error = raw_scores(weights, bias, features)
+    np.exp(error, out=error)
+    error *= -1 / error.sum(1, keepdims=True)
     error[np.arange(len(target)), target] += 1
     for f in features:
-        order = np.argsort(f, kind="stable")
+        order = np.argsort(f.astype(np.uint16) if FEATURES <= 1 << 16 else f, kind="stable")
         ranked = f[order]
         first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
         number = np.diff(np.append(first, len(ranked)))
         own = ranked[first]
-        total = np.add.reduceat(error[order], first, axis=0)
+        rows = np.take(error, order, axis=0)
+        # The first rows of all features at once, then the second ones; few features have many.
+        total, k, left = rows[first], 1, np.flatnonzero(number > 1)
+        while k < 8 and len(left):
+            total[left] += rows[first[left] + k]
+            k += 1
+            left = left[number[left] > k]
+        for j in left.tolist():
+            total[j] += rows[first[j] + k : first[j] + number[j]].sum(0)
         weights[own] += (RATE / len(features) / (number + STIFF)).astype(np.float32)[:, None] * total
         seen[own] += number
 
@@ -351,15 +495,15 @@ def score_texts(model: Model, column: pa.Array) -> Iterator[tuple[int, list[pa.A
     for texts, t in per_piece(column):
         at, there, ids = model.head.ids(t)
         klass = model.head.classes(t, ids)
-        features = contexts(t, ids)
+        features, leaf = contexts(t, ids), model.tree.leaf(at, there, klass)
         log = np.empty(len(klass))
         for begin in range(0, len(klass), STEP_TOKENS):
             part = slice(begin, begin + STEP_TOKENS)
             got = class_scores(model.weights, model.bias, features[:, part])
-            log[part] = got[np.arange(len(got)), klass[part]] / np.log(10)
+            log[part] = got[np.arange(len(got)), klass[part]] + word_logs(model.tree, model.inner, features[:, part], leaf[part])
+        log /= np.log(10)
         own = np.where(there, np.log10(model.head.count[at] + 1.0), 0.0)
-        within = own - model.class_log[klass]
-        within[klass == END_CLASS] = 0.0
+        within = np.where(there | (klass == END_CLASS), 0.0, -model.tree.rest_log[klass])
         n = t.rows
         rare = np.flatnonzero(~there)
         code = mix(t.hash[rare]) ^ mix(t.row[rare].astype(np.uint64) + np.uint64(1))

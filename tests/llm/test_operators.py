@@ -223,6 +223,35 @@ def test_maxent_gives_probabilities(spark):
     assert np.exp(scores).sum() == pytest.approx(1, abs=1e-5)
 
 
+def test_maxent_tells_words_of_a_class_apart_by_what_comes_before(spark, monkeypatch):
+    """Chances of a class's words add up to one in every context, follow counts before learning, and differ after."""
+    monkeypatch.setattr(maxent, "company_classes", lambda profile: np.zeros(len(profile), np.int64))
+    rng = random.Random(8)
+    names, ends = [f"n{i}" for i in range(12)], [f"e{i}" for i in range(12)]
+    rows = []
+    for i in range(300):
+        pairs = [rng.randrange(12) for _ in range(30)]
+        rows.append((" ".join(f"{names[k]} {ends[k]}" for k in pairs), i % 2))
+    model, _ = maxent.fit(spark, spark.createDataFrame(rows, "_text string, _half int"))
+    place = np.arange(len(model.head.hash))
+    klass = np.where(model.head.hash == maxent.END, maxent.END_CLASS, model.head.company[model.head.rank])
+    texts = maxent.Texts(0, np.frombuffer(b"n3 e3", np.uint8), np.array([0, 5]))
+    t = maxent.tokens(texts)
+    at, there, ids = model.head.ids(t)
+    features = maxent.contexts(t, ids)[:, 1:2]
+    rivals = place[klass == klass[at[1]]]
+    assert there.all() and len(rivals) > 1
+    spot = np.repeat(features, len(rivals) + 1, axis=1)
+    leaf = np.append(rivals, len(model.head.hash) + klass[at[1]])
+    for inner in (np.zeros_like(model.inner), model.inner):
+        assert np.exp(maxent.word_logs(model.tree, inner, spot, leaf)).sum() == pytest.approx(1, abs=1e-5)
+    by_count = maxent.word_logs(model.tree, np.zeros_like(model.inner), spot, leaf)[:-1]
+    assert by_count / np.log(10) == pytest.approx(np.log10(model.head.count[rivals] + 1.0) - model.class_log[klass[at[1]]], abs=1e-4)
+    own = list(rivals).index(at[1])
+    learned = maxent.word_logs(model.tree, model.inner, spot, leaf)
+    assert learned[own] > by_count[own] + 0.3 and learned.argmax() == own
+
+
 def test_maxent_takes_its_frequent_words_by_rank(spark, monkeypatch):
     """Also where one count has more words than there is room for."""
     monkeypatch.setattr(maxent, "HEAD", 12)
