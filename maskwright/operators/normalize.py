@@ -9,7 +9,8 @@ from pyspark.sql import types as T
 
 from ..functions import fixed as X
 from ..functions import pii
-from ..functions.spans import let
+from ..functions.spans import fence, let
+from ..plans.runtime import evenly, pin
 from .vault import ORDER, first_seen_values, number_values
 
 
@@ -136,9 +137,11 @@ def assign_normalized(
     if vault is not None:
         whole = whole.join(vault.select("session", "value"), ["session", "value"], "left_anti")
     key = F.when(F.col("source") != "merged", value_key(F.col("entity_type"), F.col("value"), normalizers))
-    keyed = whole.withColumn("key", key)
     exact = F.concat(F.lit("="), F.col("value"))
-    keyed = keyed.withColumn("class", F.coalesce(F.concat(F.lit("~"), F.col("key")), exact))
+    # Keys are costly and the rows are few bytes: they are worked out once, by all cores.
+    keyed = pin(evenly(whole).withColumn("key", key).withColumn(
+        "class", F.coalesce(F.concat(F.lit("~"), F.col("key")), exact)
+    ))
     group = ["session", "entity_type", "class"]
     heads = keyed.groupBy(*group).agg(
         F.min_by("value", place).alias("head"), F.min(place).alias("_head")
@@ -147,8 +150,8 @@ def assign_normalized(
         stored = vault
         if merged is not None:
             stored = stored.join(merged.select("session", "placeholder"), ["session", "placeholder"], "left_anti")
-        index = (
-            stored.withColumn("key", value_key(F.col("entity_type"), F.col("value"), normalizers))
+        index = pin(
+            evenly(stored).withColumn("key", fence(value_key(F.col("entity_type"), F.col("value"), normalizers)))
             .where(F.col("key").isNotNull())
             .groupBy("session", "entity_type", F.concat(F.lit("~"), F.col("key")).alias("class"))
             .agg(F.min_by("placeholder", F.struct("number", *ORDER)).alias("shared"))

@@ -120,7 +120,12 @@ def dealt(df: DataFrame) -> DataFrame:
     that no value of theirs can gather them. An input of more partitions stays as it is.
     """
     tasks = df.sparkSession.sparkContext.defaultParallelism * 4
-    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
+    return evenly(df) if df.rdd.getNumPartitions() < tasks else df
+
+
+def evenly(df: DataFrame) -> DataFrame:
+    """The same for rows behind a shuffle, which are put together to few tasks by their bytes."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism * 4)
 
 
 def small(df: DataFrame, limit: int | None = None) -> bool:

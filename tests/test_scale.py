@@ -56,3 +56,24 @@ def test_tables_that_only_look_small_are_not_broadcast(spark):
     assert out.collect() == [("s", 0, 0, "abcdefghij", "TOKEN", "[TOKEN_1]")]
     # Only the sessions and the values, both counted, are.
     assert plan(out, "sparkPlan").count("BroadcastHashJoin") <= 3
+
+
+def test_keys_of_values_are_worked_out_once(spark):
+    from pyspark.sql import types as T
+
+    from maskwright.operators.normalize import assign_normalized
+
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf(T.StringType())
+    def lower(value):
+        calls.add(1)
+        return value and value.lower()
+
+    rows = [("s", k, 0, k, k + 3, f"{'AB'[k % 2]}{'xX'[k // 2 % 2]}{k // 4}", "WORD", "regex", None) for k in range(40)]
+    entities = spark.createDataFrame(
+        rows, "session string, seq long, section int, start int, end int, value string, entity_type string, source string, members array<string>"
+    )
+    new, aliases = assign_normalized(entities, normalizers={"WORD": lower})
+    assert new.count() == 20 and aliases.count() == 20
+    assert calls.value == 40
