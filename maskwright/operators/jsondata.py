@@ -22,7 +22,9 @@ def string_tokens(body: Column) -> Column:
     # What stands before each string says what it is: only a key is followed
     # by a colon.
     found = hits(body, f"({STRING})(?=(\\s*:?))", f"{MARK}$1\ufdd1$2{MARK}")
-    decode = lambda raw: F.get_json_object(F.concat(F.lit("["), raw, F.lit("]")), "$[0]")
+    parsed = lambda raw: F.get_json_object(F.concat(F.lit("["), raw, F.lit("]")), "$[0]")
+    # Without an escape the text is what is between the quotes.
+    decode = lambda raw: F.when(raw.contains("\\"), parsed(raw)).otherwise(F.substr(raw, F.lit(2), F.length(raw) - 2))
 
     def items(found):
         keys = F.transform(

@@ -29,8 +29,9 @@ def islands(spans: Column) -> Column:
         )
 
     reach = lambda s: running(F.transform(s, lambda e: e["end"]), lambda a, b: F.greatest(a, b))
-    grouped = let(spans, lambda s: let(F.struct(s.alias("s"), reach(s).alias("reach")), runs))
-    return F.when(F.size(spans) > 0, grouped).otherwise(F.expr(f"cast(array() as array<{SPANS}>)"))
+    grouped = lambda s: let(F.struct(s.alias("s"), reach(s).alias("reach")), runs)
+    none = F.expr(f"cast(array() as array<{SPANS}>)")
+    return let(spans, lambda s: F.when(F.size(s) > 0, grouped(s)).otherwise(none))
 
 
 def _ranked(spans: Column) -> Column:
@@ -130,7 +131,7 @@ def resolve_merged(text: Column, spans: Column) -> Column:
     A merged span covers its whole group and lists the kept spans it
     replaces as ``members``; other kept spans have no members.
     """
-    return F.flatten(
+    several = F.flatten(
         F.transform(
             islands(ordered(spans)),
             lambda i: F.when(
@@ -138,6 +139,7 @@ def resolve_merged(text: Column, spans: Column) -> Column:
             ).otherwise(_merge_island(text, i)),
         )
     )
+    return F.when(F.size(spans) == 1, F.transform(spans, _alone)).otherwise(several)
 
 
 def resolve(df: DataFrame, spans: str = "spans", text: str = "text") -> DataFrame:

@@ -77,3 +77,13 @@ def test_keys_of_values_are_worked_out_once(spark):
     new, aliases = assign_normalized(entities, normalizers={"WORD": lower})
     assert new.count() == 20 and aliases.count() == 20
     assert calls.value == 40
+
+
+def test_running_sums_of_few_and_many(spark):
+    from maskwright.functions.spans import FEW, running
+
+    sizes = [None, 0, 1, 2, FEW, FEW + 1, 100]
+    lists = [None if n is None else [(k * 7) % 5 for k in range(n)] for n in sizes]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, x array<int>")
+    got = {r.i: r.sums for r in df.select("i", running(F.col("x")).alias("sums")).collect()}
+    assert got == {i: [sum(x[:k]) for k in range(len(x))] if x else [] for i, x in enumerate(lists)}
