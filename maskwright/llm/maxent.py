@@ -21,6 +21,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ from maskwright.plans.runtime import pin
 HEAD = 1 << 17
 #: The most frequent of them, which contexts tell apart and which are classed by company.
 KNOWN = 1 << 13
+#: Words of the head are looked up by so many top bits of their hashes.
+TOP_BITS = 18
 #: Most frequent words that company is measured by.
 ANCHORS = 48
 COMPANY_CLASSES = 31
@@ -104,8 +107,19 @@ class Head:
     rank: np.ndarray
     company: np.ndarray | None = None
 
+    @cached_property
+    def begin(self) -> np.ndarray:
+        """Where the hashes with the same top bits begin; few share them."""
+        return np.searchsorted(self.hash, np.arange(1 << TOP_BITS, dtype=np.uint64) << np.uint64(64 - TOP_BITS))
+
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
+        last = len(self.hash) - 1
+        at = np.minimum(self.begin[(hashes >> np.uint64(64 - TOP_BITS)).astype(np.int64)], last)
+        less = np.flatnonzero(self.hash[at] < hashes)
+        while len(less):
+            less = less[at[less] < last]
+            at[less] += 1
+            less = less[self.hash[at[less]] < hashes[less]]
         return at, self.hash[at] == hashes
 
     def ids(self, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -226,7 +240,9 @@ def inner_scores(
 def word_logs(tree: Tree, inner: np.ndarray, features: np.ndarray, leaf: np.ndarray) -> np.ndarray:
     """Log probability (natural) of each token's leaf within its class."""
     token, _, way, odds = inner_scores(tree, inner, features, leaf)
-    return np.bincount(token, -np.logaddexp(0.0, np.where(way == 1, -odds, odds).astype(np.float64)), len(leaf))
+    against = np.where(way == 1, -odds, odds).astype(np.float64)
+    # The log of 1 + exp(against), without overflow.
+    return -np.bincount(token, np.maximum(against, 0.0) + np.log1p(np.exp(-np.abs(against))), len(leaf))
 
 
 def class_scores(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
@@ -236,6 +252,13 @@ def class_scores(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) ->
     return z
 
 
+def class_logs(weights: np.ndarray, bias: np.ndarray, features: np.ndarray, klass: np.ndarray) -> np.ndarray:
+    """The same of each token's own class only."""
+    z = raw_scores(weights, bias, features)
+    own = z[np.arange(len(klass)), klass]
+    return own - np.log(np.exp(z, out=z).sum(1))
+
+
 def raw_scores(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
     z = np.take(weights, features[0], axis=0)
     more = np.empty_like(z)
@@ -499,8 +522,7 @@ def score_texts(model: Model, column: pa.Array) -> Iterator[tuple[int, list[pa.A
         log = np.empty(len(klass))
         for begin in range(0, len(klass), STEP_TOKENS):
             part = slice(begin, begin + STEP_TOKENS)
-            got = class_scores(model.weights, model.bias, features[:, part])
-            log[part] = got[np.arange(len(got)), klass[part]] + word_logs(model.tree, model.inner, features[:, part], leaf[part])
+            log[part] = class_logs(model.weights, model.bias, features[:, part], klass[part]) + word_logs(model.tree, model.inner, features[:, part], leaf[part])
         log /= np.log(10)
         own = np.where(there, np.log10(model.head.count[at] + 1.0), 0.0)
         within = np.where(there | (klass == END_CLASS), 0.0, -model.tree.rest_log[klass])

@@ -368,3 +368,14 @@ def test_no_rows_and_null_keys(spark, name):
     out = OPERATORS[name](spark.createDataFrame(rows, schema)).count()
     per_row = name in ("quality", "mix", "bpe", "private", "redact", "jaccard", "maxent")
     assert out == 4 if per_row else out <= (12 if name == "repeat" else 4)
+
+
+def test_words_of_the_head_are_found_by_their_top_bits():
+    r = np.random.default_rng(3)
+    for hashes in (np.zeros(1, np.uint64), np.array([1, 2, 3, 1 << 63, 2**64 - 1], np.uint64), np.unique(r.integers(0, 1 << 64, 5000, np.uint64))):
+        head = maxent.Head(hashes, np.ones(len(hashes)), np.arange(len(hashes)))
+        asked = np.concatenate((hashes, hashes + np.uint64(1), r.integers(0, 1 << 64, 500, np.uint64)))
+        at, there = head.find(asked)
+        place = np.minimum(np.searchsorted(hashes, asked), len(hashes) - 1)
+        assert len(head.begin) == 1 << maxent.TOP_BITS
+        assert (at == place).all() and (there == (hashes[place] == asked)).all()
