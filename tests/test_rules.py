@@ -72,3 +72,29 @@ def test_account_numbers_back_off_by_words(spark):
         [(0, "DE89370400440532013000")], [(0, "de89 3704 0044 0532 0130 00")], [], [], [(0, "NL91 ABNA 0417 1643 00")],
         [(0, "GB82 WEST 1234 5698 7654 32")], [(0, "GB82 WEST 1234 5698 7654 32")],
     ]
+
+
+def test_groups_that_fit_no_number_cost_no_reading(spark, monkeypatch):
+    from maskwright.functions.spans import HIT
+
+    read = lambda text, *_: F.when(text.isNotNull(), F.raise_error(F.lit("read in groups")).cast(f"array<{HIT}>"))
+    monkeypatch.setattr(pii, "_us_numbers", read)
+    monkeypatch.setattr(pii, "hits", read)
+    texts = ["ring +44 20 7946 0958 24h", "4111 1111 11", "3782-822463", "555-123-45678", "12-123-4567", "5551 1234 5678 x"]
+    for rule in (pii.detect_phone_us, pii.detect_card):
+        assert spans_found(spark, rule, texts) == [[]] * len(texts)
+
+
+def test_groups_that_may_be_a_number_are_read(spark):
+    assert spans_found(spark, pii.detect_phone_us, [
+        "15551234567 1555-123-4567", "1 (555) 123.4567", "(555)123-4567", "1-555 123-4567 ext. 9", "+1 555‑123–4567;", "٥٥٥-١٢٣-٤٥٦٧",
+    ]) == [
+        [(12, "1555-123-4567")], [(0, "1 (555) 123.4567")], [(0, "(555)123-4567")], [(0, "1-555 123-4567 ext. 9")], [(0, "+1 555‑123–4567")],
+        [(0, "٥٥٥-١٢٣-٤٥٦٧")],
+    ]
+    assert spans_found(spark, pii.detect_card, ["4222222222222", "3782-822463-10005 ", "12-4111-1111-1111-1111", "4000 0000 0000 0000 006"]) == [
+        [(0, "4222222222222")], [(0, "3782-822463-10005")], [(3, "4111-1111-1111-1111")], [(0, "4000 0000 0000 0000 006")],
+    ]
+    assert spans_found(spark, pii.detect_phone_intl, ["+44 20 7946 0958x12", "+44 20 7946 0958 24h", "+1 23 4", "(+49) 30 1234567, x"]) == [
+        [(0, "+44 20 7946 0958x12")], [(0, "+44 20 7946 0958")], [], [(0, "(+49) 30 1234567")],
+    ]
