@@ -98,3 +98,25 @@ def test_groups_that_may_be_a_number_are_read(spark):
     assert spans_found(spark, pii.detect_phone_intl, ["+44 20 7946 0958x12", "+44 20 7946 0958 24h", "+1 23 4", "(+49) 30 1234567, x"]) == [
         [(0, "+44 20 7946 0958x12")], [(0, "+44 20 7946 0958")], [], [(0, "(+49) 30 1234567")],
     ]
+
+
+def test_escaped_names_are_decoded_and_form_fields_end(spark):
+    from maskwright.functions import secrets
+
+    found = [
+        (r'{"pass\u0077ord":"one \"a\" b"}', [r'one \"a\" b']),
+        (r'{"b":"{\"pass\\u0077ord\":\"two\",\"n\":1}"}', ["two"]),
+        (r'{"db\u005fpassword":"three"}', ["three"]),
+        (r'{"b":"{\"\\u0064b_password\":\"four\"}"}', ["four"]),
+        (r'{"b":"{\"c\":\"{\\\"pass\\\\u0077ord\\\":\\\"five\\\"}\"}"}', ["five"]),
+        (r'{"b":"{\"c\\u0061f\":\"{\\\"password\\\":\\\"six\\\"}\"}"}', ["six"]),
+        ("pass%77ord=se%20ven&next=home", ["se%20ven"]),
+        ("a=1&db%5Fpassword=eight", ["eight"]),
+        ("body 'password=ni(ne&user=x'", ["ni(ne"]),
+        (r'{"pass\u0077ord_length":"24"}', []),
+        (r'{"pass\uZZZZord":"literal"}', []),
+        ("page%5Fsize=20&sort=up", []),
+    ]
+    got = spans_found(spark, secrets.detect_escaped_secret, [t for t, _ in found])
+    assert [[v for _, v in spans] for spans in got] == [v for _, v in found]
+    assert all(text[start:].startswith(v) for (text, _), spans in zip(found, got, strict=True) for start, v in spans)
