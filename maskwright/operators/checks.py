@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..functions import placeholders as P
-from ..functions.spans import let
+from ..functions.spans import let, no_spans
+from .resolve import resolve_overlaps
 
 WARNING = (
     "struct<code:string,entity_type:string,placeholder:string,value:string,length:int>"
@@ -28,13 +29,61 @@ def holds_token(text: Column, value: Column) -> Column:
     return text.contains(value) & F.regexp_like(text, pattern)
 
 
-def leaks_in_row(text: Column, kept: Column, spans: Column, entities: Column) -> Column:
+def kept_before(kept: Column, spans: Column) -> Column:
+    """The spans that were kept before some were merged; none in a text without a merged span."""
+    return F.when(F.exists(kept, lambda k: F.size(k["members"]) > 0), resolve_overlaps(spans)).otherwise(no_spans())
+
+
+def cut_in_row(text: Column, kept: Column, before: Column) -> Column:
+    """Where an occurrence that a merged span hides only part of may be: ``text, begin, end``.
+
+    ``before`` are the spans kept before merging. One row for every stretch outside the kept spans that lies, with what a merged span covers
+    beside it, in one gap between the spans before merging: the gap's text, and the stretch in it.
+    """
+    own = lambda g: F.struct(
+        g.alias("g"),
+        F.filter(kept, lambda k: (k["start"] < g["start"] + F.length(g["text"])) & (g["start"] < k["end"])).alias("k"),
+    )
+
+    def stretches(x: Column) -> Column:
+        g, inside = x["g"], x["k"]
+        size = F.length(g["text"])
+        edge = lambda at: F.least(F.greatest(at - g["start"], F.lit(0)), size)
+        row = lambda begin, end: F.struct(g["text"].alias("text"), begin.alias("begin"), end.alias("end"))
+        rows = F.transform(inside, lambda k, i: row(edge(F.coalesce(F.get(inside, i - 1)["end"], F.lit(0))), edge(k["start"])))
+        last = F.array(row(edge(F.get(inside, F.size(inside) - 1)["end"]), size))
+        return F.filter(F.concat(rows, last), lambda r: r["begin"] < r["end"])
+
+    reached = F.filter(F.transform(P.gaps(text, before), own), lambda x: F.size(x["k"]) > 0)
+    cut = F.flatten(F.transform(reached, stretches))
+    none = F.expr("cast(array() as array<struct<text:string,begin:int,end:int>>)")
+    return F.when(F.size(before) > 0, cut).otherwise(none)
+
+
+def _reaches(cut: Column, v: Column) -> Column:
+    """Whether the value ``v`` occurs in a gap so that it covers some of the stretch outside."""
+    size = F.length(v["value"])
+    left = F.greatest(cut["begin"] - size + 1, F.lit(0))
+    window = F.substr(cut["text"], left + 1, cut["end"] + size - 1 - left)
+
+    def token(w: Column) -> Column:
+        glued = lambda a, b: F.substr(cut["text"], a, F.lit(1)).rlike(X.WORD_CHAR) & F.substr(cut["text"], b, F.lit(1)).rlike(X.WORD_CHAR)
+        at = lambda i: (F.substr(w, i, size) == v["value"]) & ~(
+            ((left + i > 1) & glued(left + i - 1, left + i)) | glued(left + i + size - 1, left + i + size)
+        )
+        return F.exists(F.sequence(F.lit(1), F.length(w) - size + 1), at)
+
+    return let(window, lambda w: w.contains(v["value"]) & F.when(v["token"], token(w)).otherwise(True))
+
+
+def leaks_in_row(text: Column, kept: Column, spans: Column, entities: Column, cut: Column) -> Column:
     """Values of this text still visible between its placeholders.
 
     Registered values count as whole tokens, all others as substrings; no
     value is matched across a placeholder. Where a merged span swallowed the
     edge of an occurrence, the gaps between the spans it replaced are
-    searched too.
+    searched too, for occurrences that do not lie inside merged spans
+    (``cut`` says where they can be, see `cut_in_row`).
     """
     known = F.array_distinct(
         F.concat(
@@ -54,11 +103,14 @@ def leaks_in_row(text: Column, kept: Column, spans: Column, entities: Column) ->
                 ~v["token"]
                 & F.exists(known, lambda o: o["token"] & (o["value"] == v["value"]))
             )
-            & F.exists(
-                left,
-                lambda g: F.when(v["token"], holds_token(g["text"], v["value"])).otherwise(
-                    g["text"].contains(v["value"])
-                ),
+            & (
+                F.exists(
+                    left,
+                    lambda g: F.when(v["token"], holds_token(g["text"], v["value"])).otherwise(
+                        g["text"].contains(v["value"])
+                    ),
+                )
+                | F.exists(cut, lambda c: _reaches(c, v))
             ),
         )
         return F.transform(

@@ -78,15 +78,17 @@ def mask_rows(
     out = out.withColumn("masked", fence(apply_mask(F.col(text), F.col("entities"))))
     if warnings:
         used = F.array_distinct(F.transform("entities", lambda e: e["entity_type"]))
+        out = out.withColumn("_before", fence(checks.kept_before(F.col("kept"), F.col("spans"))))
+        out = out.withColumn("_cut", fence(checks.cut_in_row(F.col(text), F.col("kept"), F.col("_before"))))
         out = out.withColumn(
             "warnings",
             fence(
                 F.concat(
                     checks.placeholder_like(F.col(text), F.col("kept"), used, tolerant),
-                    checks.leaks_in_row(F.col(text), F.col("kept"), F.col("spans"), F.col("entities")),
+                    checks.leaks_in_row(F.col(text), F.col("kept"), F.col("spans"), F.col("entities"), F.col("_cut")),
                 )
             ),
-        )
+        ).drop("_before", "_cut")
     return out.drop("spans", "kept")
 
 
