@@ -1028,14 +1028,11 @@ def stream_settled(spark, sf):
     from ..streaming.mask import settle_stream
 
     def shape(d):
-        text = F.concat(F.lit("[PERSON_1] "), "text")
-        pieces = F.transform(
-            F.sequence(F.lit(0), F.floor((F.length(text) - 1) / 7).cast("int")),
-            lambda i: F.substr(text, i * 7 + 1, F.lit(7)),
-        )
-        each = d.select(
-            F.concat_ws("-", "conv_id", "turn").alias("stream_id"), F.posexplode(pieces).alias("p", "piece"), F.size(pieces).alias("n")
-        )
+        # What stands beside a generator is computed for each of its rows: no pieces there.
+        last = F.floor((F.length("t") - 1) / 7).cast("int")
+        pieces = F.transform(F.sequence(F.lit(0), last), lambda i: F.substr("t", i * 7 + 1, F.lit(7)))
+        whole = d.select(F.concat_ws("-", "conv_id", "turn").alias("stream_id"), F.concat(F.lit("[PERSON_1] "), "text").alias("t"))
+        each = whole.select("stream_id", F.posexplode(pieces).alias("p", "piece"), (last + 1).alias("n"))
         return settle_stream(each.select("stream_id", F.col("p").cast("bigint").alias("seq"), "piece", (F.col("p") == F.col("n") - 1).alias("is_final")))
 
     out = _stream(spark, sf, "conversations", shape, "settled")

@@ -87,3 +87,15 @@ def test_running_sums_of_few_and_many(spark):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, x array<int>")
     got = {r.i: r.sums for r in df.select("i", running(F.col("x")).alias("sums")).collect()}
     assert got == {i: [sum(x[:k]) for k in range(len(x))] if x else [] for i, x in enumerate(lists)}
+
+
+def test_pieces_are_not_made_again_for_each_of_them(spark, tmp_path, monkeypatch):
+    from maskwright.streaming import mask
+
+    turns = spark.createDataFrame([(1, 0, "user", "text of a turn")], "conv_id bigint, turn bigint, role string, text string")
+    made = []
+    monkeypatch.setattr(mask, "settle_stream", lambda pieces: made.append(pieces) or pieces.withColumnRenamed("piece", "text"))
+    monkeypatch.setattr(catalog, "_stream", lambda spark, sf, name, shape, label: shape(turns))
+    catalog.stream_settled(spark, str(tmp_path))
+    assert plan(made[0]).count("sequence(") == 1
+    assert [tuple(r) for r in made[0].collect()] == [("1-0", 0, "[PERSON", False), ("1-0", 1, "_1] tex", False), ("1-0", 2, "t of a ", False), ("1-0", 3, "turn", True)]
