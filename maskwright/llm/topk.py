@@ -161,7 +161,8 @@ def nearest(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: s
     asked = asked.select("dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data")).withColumn(
         "hand", F.explode(F.sequence(F.lit(0), F.lit(hands - 1)))
     )
-    met = candidates.join(asked, ["dim", "hand"]).select("dim", "q_ids", "q_data", "ids", "data")
+    # Queries, once for every hand, may look small to the optimizer; the driver could not hold them.
+    met = candidates.join(asked.hint("merge"), ["dim", "hand"]).select("dim", "q_ids", "q_data", "ids", "data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

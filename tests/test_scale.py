@@ -99,3 +99,14 @@ def test_pieces_are_not_made_again_for_each_of_them(spark, tmp_path, monkeypatch
     catalog.stream_settled(spark, str(tmp_path))
     assert plan(made[0]).count("sequence(") == 1
     assert [tuple(r) for r in made[0].collect()] == [("1-0", 0, "[PERSON", False), ("1-0", 1, "_1] tex", False), ("1-0", 2, "t of a ", False), ("1-0", 3, "turn", True)]
+
+
+def test_blocks_of_queries_are_not_broadcast(spark, tmp_path):
+    from maskwright.llm import topk
+
+    # Written first: the optimizer guesses from a file's bytes, which say little of blocks dealt to every hand.
+    rows = spark.range(200).select(F.col("id").alias("vec_id"), F.array(F.col("id") % 7, F.col("id") % 5, F.lit(1)).cast("array<float>").alias("embedding"))
+    rows.write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = topk.nearest(spark.read.parquet(str(tmp_path / "embeddings.parquet")), F.col("vec_id") % 50 == 0)
+    assert "Broadcast" not in plan(found, "sparkPlan")
+    assert found.count() == 20
